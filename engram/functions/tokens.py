@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from engram import lexicons as lx
+from engram.functions.binding import let
 from engram.functions.text import has_han, token_key
 
 
@@ -47,18 +48,21 @@ def corpus_tokens(c: Column) -> Column:
 
 
 def phrases(tokens: Column) -> Column:
-    """Distinct 2- and 3-word phrases of at least 7 characters. ``tokens`` must be a materialised column."""
-
-    def grams(size: int) -> Column:
-        starts = F.when(F.size(tokens) >= size, F.sequence(F.lit(1), F.size(tokens) - (size - 1)))
-        starts = F.coalesce(starts, F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(size)), " "))
-
-    return F.array_distinct(
-        F.filter(
-            F.concat(grams(2), grams(3)),
-            lambda p: (F.length(p) >= 7) & ~_in(p, lx.THEME_DENYLIST),
-        )
+    """Distinct 2- and 3-word phrases of at least 7 characters."""
+
+    def grams(words: Column, size: int) -> Column:
+        last = F.size(words) - (size - 1)
+        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(size)), " "))
+
+    return let(
+        tokens,
+        lambda words: F.array_distinct(
+            F.filter(
+                F.concat(grams(words, 2), grams(words, 3)),
+                lambda p: (F.length(p) >= 7) & ~_in(p, lx.THEME_DENYLIST),
+            )
+        ),
     )
 
 
@@ -91,12 +95,13 @@ def team_labels(c: Column) -> Column:
 
 def dictionary_hits(c: Column, terms: Sequence[str], whole_words: bool = False) -> Column:
     """Dictionary terms found as substrings (the specified behaviour) or, on request, as whole words."""
-    text = F.lower(c)
     if whole_words:
-        return F.array_compact(
-            F.array(*[F.when(text.rlike(lx.bounded(t)), F.lit(t)) for t in terms])
+        return let(
+            F.lower(c),
+            lambda text: F.array_compact(F.array(*[F.when(text.rlike(lx.bounded(t)), F.lit(t)) for t in terms])),
         )
-    return F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(text, t))
+    names = F.array(*[F.lit(t) for t in terms])
+    return let(F.lower(c), lambda text: F.filter(names, lambda t: F.contains(text, t)))
 
 
 def project_tags(tags: Column) -> Column:
@@ -119,42 +124,32 @@ def signals(c: Column, lexicons: dict[str, str]) -> Column:
     )
 
 
-def with_top_tokens(df, tokens_col: str, out_col: str, k: int = 5):
-    """Add ``out_col``: the ``k`` most frequent tokens per row, the one seen first winning a tie.
+def top_tokens(tokens: Column, k: int = 5) -> Column:
+    """The ``k`` most frequent tokens, the one seen first winning a tie.
 
     Sorted (token, position) pairs put equal tokens side by side, so a count is the distance to the next
     run: O(n log n) inside the row and no shuffle, however long the text.
     """
-    pairs, runs = f"__{out_col}_pairs", f"__{out_col}_runs"
-    df = df.withColumn(
-        pairs,
-        F.array_sort(F.transform(tokens_col, lambda t, i: F.struct(t.alias("t"), i.alias("i")))),
-    )
-    p = F.col(pairs)
-    # index of the first pair of every run of equal tokens, in ascending order
-    df = df.withColumn(
-        runs,
-        F.filter(
-            F.transform(
-                p,
-                lambda x, k_: F.struct(
-                    k_.alias("k"),
-                    ((k_ == 0) | (F.get(p, k_ - 1)["t"] != x["t"])).alias("first"),
-                    x["t"].alias("t"),
-                    x["i"].alias("i"),
-                ),
+    pairs = F.array_sort(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+
+    def run_starts(p: Column) -> Column:
+        marked = F.transform(
+            p,
+            lambda x, j: F.when(
+                (j == 0) | (F.get(p, j - 1)["t"] != x["t"]), F.struct(j.alias("k"), x["t"].alias("t"), x["i"].alias("i"))
             ),
-            lambda x: x["first"],
-        ),
-    )
-    r = F.col(runs)
-    counted = F.transform(
-        r,
-        lambda x, j: F.struct(
-            (x["k"] - F.coalesce(F.get(r, j + 1)["k"], F.size(p))).alias("minus_n"),
-            x["i"].alias("i"),
-            x["t"].alias("t"),
-        ),
-    )
-    top = F.transform(F.slice(F.array_sort(counted), 1, k), lambda x: x["t"])
-    return df.withColumn(out_col, top).drop(pairs, runs)
+        )
+        return F.array_compact(marked)
+
+    def ranked(p: Column, runs: Column) -> Column:
+        counted = F.transform(
+            runs,
+            lambda x, j: F.struct(
+                (x["k"] - F.coalesce(F.get(runs, j + 1)["k"], F.size(p))).alias("minus_n"),
+                x["i"].alias("i"),
+                x["t"].alias("t"),
+            ),
+        )
+        return F.transform(F.slice(F.array_sort(counted), 1, k), lambda x: x["t"])
+
+    return let(pairs, lambda p: let(run_starts(p), lambda runs: ranked(p, runs)))

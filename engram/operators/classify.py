@@ -1,13 +1,14 @@
 """Rule-based classification as one projection per memory: no shuffle, no Python.
 
 Keyword and phrase rules are substring tests; regex rules are literal ``rlike`` tests (a pattern taken from a
-joined column would be recompiled per row).  A large rule set is first narrowed by trigrams: the text's
-trigrams are intersected with the trigrams that start a pattern, and only the rules behind the common ones
-are verified.
+joined column would be recompiled per row).  A large rule set is first narrowed by the characters a pattern
+starts with; only the rules whose start occurs in the text are verified.
 """
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,10 +16,13 @@ from pyspark.sql import functions as F
 
 from engram import lexicons as lx
 from engram.functions import text as tx
-from engram.functions.tokens import coverage_tokens, facet_tokens, with_top_tokens
+from engram.functions.binding import let
+from engram.functions.tokens import coverage_tokens, facet_tokens, top_tokens
 from engram.operators.rules import Rule, category_order
 
 DIRECT_RULES = 200
+GRAM_SIZES = (8, 5, 3)
+GRAM_BUCKETS = 8192
 
 _W = "[A-Za-z0-9_]"
 _BOUNDARY = f"(?:(?<!{_W})(?={_W})|(?<={_W})(?!{_W}))"
@@ -33,12 +37,16 @@ def _hit(rule: Rule) -> Column:
     return F.struct(F.lit(rule.category).alias("category"), F.lit(rule.weight).cast("bigint").alias("weight"))
 
 
-def _literal(rule: Rule) -> Column:
-    return F.struct(
-        F.lit(rule.pattern.lower()).alias("pattern"),
-        F.lit(rule.category).alias("category"),
-        F.lit(rule.weight).cast("bigint").alias("weight"),
-    )
+_RULE = "struct<pattern:string,category:string,weight:bigint>"
+
+
+def _constant(value: list, ddl: str) -> Column:
+    """A nested literal, parsed once while the query is optimized."""
+    return F.from_json(F.lit(json.dumps(value)), ddl)
+
+
+def _row(rule: Rule) -> dict:
+    return {"pattern": rule.pattern.lower(), "category": rule.category, "weight": rule.weight}
 
 
 def _found(candidates: Column, content: Column) -> Column:
@@ -46,50 +54,62 @@ def _found(candidates: Column, content: Column) -> Column:
     return F.transform(hits, lambda r: F.struct(r["category"].alias("category"), r["weight"].alias("weight")))
 
 
-def _by_trigram(rules: Sequence[Rule], content: Column) -> Column:
-    starts: dict[str, list[Rule]] = {}
-    short: list[Rule] = []
-    for rule in rules:
-        pattern = rule.pattern.lower()
-        if len(pattern) < 3:
-            short.append(rule)
-        else:
-            starts.setdefault(pattern[:3], []).append(rule)
-    index = F.create_map(
-        *[x for gram, rs in starts.items() for x in (F.lit(gram), F.array(*[_literal(r) for r in rs]))]
-    )
-    grams = F.regexp_extract_all(content, F.lit(r"(?s)(?=(.{3}))"), F.lit(1))
-    present = F.array_intersect(grams, F.array(*[F.lit(g) for g in starts]))
-    candidates = F.flatten(F.transform(present, lambda g: F.element_at(index, g)))
-    found = _found(candidates, content)
-    return F.concat(found, _found(F.array(*[_literal(r) for r in short]), content)) if short else found
+def _by_grams(rules: Sequence[Rule], content: Column) -> list[Column]:
+    """Candidates through the first characters of their pattern, then verified.
+
+    Patterns are bucketed by the checksum of their first 8, 5 or 3 characters. A text looks up the buckets of
+    its own character runs of that length: work per text grows with its length, hardly with the rule count.
+    """
+    parts = []
+    short = [r for r in rules if len(r.pattern) < GRAM_SIZES[-1]]
+    if short:
+        parts.append(_found(_constant([_row(r) for r in short], f"array<{_RULE}>"), content))
+    upper = None
+    for size in GRAM_SIZES:
+        group = [r for r in rules if len(r.pattern) >= size and (upper is None or len(r.pattern) < upper)]
+        upper = size
+        if not group:
+            continue
+        buckets: list[list] = [[] for _ in range(GRAM_BUCKETS)]
+        for rule in group:
+            gram = rule.pattern.lower()[:size]
+            buckets[zlib.crc32(gram.encode()) % GRAM_BUCKETS].append(_row(rule))
+        grams = F.regexp_extract_all(content, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+        wanted = F.array_distinct(F.transform(grams, lambda g: F.pmod(F.crc32(g), F.lit(GRAM_BUCKETS)).cast("int")))
+        parts.append(_found(_bucket_rules(wanted, buckets), content))
+    return parts
+
+
+def _bucket_rules(wanted: Column, buckets: list[list]) -> Column:
+    index = _constant(buckets, f"array<array<{_RULE}>>")
+    return F.flatten(F.transform(wanted, lambda b: F.get(index, b)))
 
 
 def matched_rules(rules: Sequence[Rule], content: Column, regex_text: Column | None = None) -> Column:
     """array<struct<category, weight>> of all rules that match. ``content`` must be lower-cased."""
     literal = [r for r in rules if r.match_type in ("keyword", "phrase")]
     regex = [r for r in rules if r.match_type == "regex"]
-    parts = [F.array().cast("array<struct<category:string,weight:bigint>>")]
-    if literal and len(literal) <= DIRECT_RULES:
-        parts.append(_found(F.array(*[_literal(r) for r in literal]), content))
-    elif literal:
-        parts.append(_by_trigram(literal, content))
-    if regex:
-        target = content if regex_text is None else regex_text
-        parts.append(
-            F.array_compact(F.array(*[F.when(target.rlike(jvm_regex(r.pattern)), _hit(r)) for r in regex]))
-        )
-    return F.concat(*parts)
 
+    def found(text: Column, raw: Column) -> Column:
+        parts = [F.array().cast("array<struct<category:string,weight:bigint>>")]
+        if literal and len(literal) <= DIRECT_RULES:
+            parts.append(_found(_constant([_row(r) for r in literal], f"array<{_RULE}>"), text))
+        elif literal:
+            parts.extend(_by_grams(literal, text))
+        if regex:
+            parts.append(F.array_compact(F.array(*[F.when(raw.rlike(jvm_regex(r.pattern)), _hit(r)) for r in regex])))
+        return F.concat(*parts)
+
+    return let(content, lambda text: found(text, text if regex_text is None else regex_text))
 
-def with_scores(df: DataFrame, matched: str, order: Sequence[str] = tuple(lx.CATEGORY_PRIORITY)) -> DataFrame:
-    """Add ``scores``: array<struct<minus_score, priority, category>>, best first; and ``total_score``."""
-    m = F.col(matched)
+
+def category_scores(matched: Column, order: Sequence[str] = tuple(lx.CATEGORY_PRIORITY)) -> Column:
+    """array<struct<minus_score, priority, category>>, the winner first."""
     ranks = F.array(*[F.lit(c) for c in order])
 
-    def score(c: Column) -> Column:
+    def score(hits: Column, c: Column) -> Column:
         total = F.aggregate(
-            F.filter(m, lambda r: r["category"] == c), F.lit(0).cast("bigint"), lambda a, r: a + r["weight"]
+            F.filter(hits, lambda r: r["category"] == c), F.lit(0).cast("bigint"), lambda a, r: a + r["weight"]
         )
         place = F.array_position(ranks, c)
         return F.struct(
@@ -98,13 +118,11 @@ def with_scores(df: DataFrame, matched: str, order: Sequence[str] = tuple(lx.CAT
             c.alias("category"),
         )
 
-    # `matched` is read twice on purpose: an expression used once would be inlined into the lambda.
-    return df.withColumns(
-        {
-            "scores": F.array_sort(F.transform(F.array_distinct(F.transform(m, lambda r: r["category"])), score)),
-            "total_score": F.aggregate(m, F.lit(0).cast("bigint"), lambda a, r: a + r["weight"]),
-        }
-    )
+    def all_scores(hits: Column) -> Column:
+        names = F.array_distinct(F.transform(hits, lambda r: r["category"]))
+        return F.array_sort(F.transform(names, lambda c: score(hits, c)))
+
+    return let(matched, all_scores)
 
 
 def fallback_category(tokens: Column, available: Sequence[str]) -> Column:
@@ -122,34 +140,28 @@ def fallback_category(tokens: Column, available: Sequence[str]) -> Column:
 def classify(df: DataFrame, rules: Sequence[Rule], tags: int = 5) -> DataFrame:
     """Add category, confidence and tags. Needs ``content``."""
     available = category_order([r.category for r in rules])
-    df = df.withColumns(
-        {
-            "__matched": matched_rules(rules, tx.normalized(F.col("content"))),
-            "__tokens": facet_tokens(F.col("content")),
-        }
-    )
-    df = with_scores(df, "__matched")
-    best = F.get(F.col("scores"), 0)
-    top, total = -best["minus_score"], F.col("total_score")
-    df = df.withColumns(
-        {
-            "category": F.when(total > 0, best["category"]).otherwise(
-                fallback_category(F.col("__tokens"), available)
-            ),
-            "confidence": F.when(total > 0, tx.ratio2(top, total)).otherwise(F.lit(lx.UNMATCHED_CONFIDENCE)),
-        }
-    )
-    df = with_top_tokens(df, "__tokens", "tags", tags)
-    return df.drop("__matched", "__tokens", "scores", "total_score")
+    scores = category_scores(matched_rules(rules, tx.normalized(F.col("content"))))
+
+    def verdict(s: Column, tokens: Column) -> Column:
+        total = -F.aggregate(s, F.lit(0).cast("bigint"), lambda a, x: a + x["minus_score"])
+        best = F.get(s, F.lit(0))
+        return F.struct(
+            F.when(total > 0, best["category"]).otherwise(fallback_category(tokens, available)).alias("category"),
+            F.when(total > 0, tx.ratio2(-best["minus_score"], total))
+            .otherwise(F.lit(lx.UNMATCHED_CONFIDENCE))
+            .alias("confidence"),
+            top_tokens(tokens, tags).alias("tags"),
+        )
+
+    result = let(facet_tokens(F.col("content")), lambda tokens: let(scores, lambda s: verdict(s, tokens)))
+    kept = [c for c in df.columns if c not in ("category", "confidence", "tags")]
+    return df.withColumn("__verdict", result).select(*kept, "__verdict.*")
 
 
 def rule_scores(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One row per (memory, category) that scored."""
-    df = df.select(
-        "owner_id", "id", matched_rules(rules, tx.normalized(F.col("content"))).alias("__matched")
-    )
-    scored = with_scores(df, "__matched")
-    return scored.select("owner_id", "id", F.explode("scores").alias("s")).select(
+    scores = category_scores(matched_rules(rules, tx.normalized(F.col("content"))))
+    return df.select("owner_id", "id", F.explode(scores).alias("s")).select(
         "owner_id", "id", F.col("s.category").alias("category"), (-F.col("s.minus_score")).alias("score")
     )
 
@@ -162,11 +174,8 @@ def low_confidence(classified: DataFrame, below: float) -> DataFrame:
 def coverage(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Per memory: winning category without fallback, null when no rule matches. Regexes see the raw text."""
     order = [c for c in lx.CATEGORY_PRIORITY if c not in ("activity", "identity")]
-    matched = matched_rules(rules, F.lower("content"), F.col("content"))
-    scored = with_scores(df.withColumn("__matched", matched), "__matched", order)
-    return scored.withColumn("category", F.get(F.col("scores"), 0)["category"]).drop(
-        "__matched", "scores", "total_score"
-    )
+    scores = category_scores(matched_rules(rules, F.lower("content"), F.col("content")), order)
+    return df.withColumn("category", F.get(scores, F.lit(0))["category"])
 
 
 def coverage_report(covered: DataFrame, top_categories: int = 20, top_tokens: int = 30) -> DataFrame:

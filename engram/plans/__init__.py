@@ -1 +1,8 @@
+"""Driver queries."""
 
+
+def load() -> tuple[dict, dict]:
+    """(queries, oracle SQL) of every plan module."""
+    from engram.plans import classify_queries, corpus_queries, dedupe_queries, registry, text_queries  # noqa: F401
+
+    return registry.QUERIES, registry.ORACLES
