@@ -47,16 +47,20 @@ def running(
     previous: dict[str, str] | None = None,
     max_group_rows: int = MAX_GROUP_ROWS,
     sized_by: DataFrame | None = None,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """Add per-group running columns in ascending ``order`` (which must be total inside a group).
 
     ``number``  name of a 1-based row number;
     ``sums``    {new column: BIGINT column} inclusive prefix sums;
     ``previous`` {new column: column} value of the row before, null on the first row;
-    ``sized_by`` a cheaper frame with the same keys and at least as many rows, to measure group sizes on.
+    ``sized_by`` a cheaper frame with the same keys and at least as many rows, to measure group sizes on;
+    ``group_rows`` the largest group, where the caller has measured it already.
     """
     sums, previous = dict(sums or {}), dict(previous or {})
-    if largest_group(sized_by or df, keys) <= max_group_rows:
+    if group_rows is None:
+        group_rows = largest_group(sized_by or df, keys)
+    if group_rows <= max_group_rows:
         return _scan(df, keys, order, number, sums, previous)
     return _sliced(df, keys, order, number, sums, previous)
 
