@@ -3,6 +3,6 @@
 
 def load() -> tuple[dict, dict]:
     """(queries, oracle SQL) of every plan module."""
-    from engram.plans import classify_queries, corpus_queries, dedupe_queries, ops_queries, period_queries, registry, text_queries  # noqa: F401
+    from engram.plans import classify_queries, corpus_queries, dedupe_queries, ops_queries, period_queries, profile_queries, registry, validate_queries, text_queries  # noqa: F401
 
     return registry.QUERIES, registry.ORACLES
