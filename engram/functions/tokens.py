@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from engram import lexicons as lx
 from engram.functions.binding import let
+from engram.functions.lexicon import mentions
 from engram.functions.text import has_han, token_key
 
 
@@ -119,8 +120,9 @@ def relation_targets(c: Column, lead: str) -> Column:
 
 def signals(c: Column, lexicons: dict[str, str]) -> Column:
     """Names of the lexicons that fire, in lexicon order."""
-    return F.array_compact(
-        F.array(*[F.when(c.rlike("(?iu)" + p), F.lit(name)) for name, p in lexicons.items()])
+    return let(
+        F.lower(c),
+        lambda low: F.array_compact(F.array(*[F.when(mentions(low, p), F.lit(name)) for name, p in lexicons.items()])),
     )
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from engram import lexicons as lx
 from engram.functions import text as tx
 from engram.functions.binding import let
+from engram.functions.lexicon import jvm_regex, mentions
 from engram.functions.tokens import coverage_tokens, facet_tokens, top_tokens
 from engram.operators.rules import Rule, category_order
 
@@ -24,15 +25,6 @@ DIRECT_RULES = 200
 GRAM_SIZES = (8, 5, 3)
 GRAM_BUCKETS = 8192
 
-_W = "[A-Za-z0-9_]"
-_BOUNDARY = f"(?:(?<!{_W})(?={_W})|(?<={_W})(?!{_W}))"
-
-
-def jvm_regex(pattern: str) -> str:
-    """A rule pattern (ECMAScript, flags i and u) for the JVM engine."""
-    return "(?iu)" + pattern.replace(r"\b", _BOUNDARY).replace(r"\p{Script=Han}", r"\p{IsHan}")
-
-
 def _hit(rule: Rule) -> Column:
     return F.struct(F.lit(rule.category).alias("category"), F.lit(rule.weight).cast("bigint").alias("weight"))
 
@@ -97,7 +89,7 @@ def matched_rules(rules: Sequence[Rule], content: Column, regex_text: Column | N
         elif literal:
             parts.extend(_by_grams(literal, text))
         if regex:
-            parts.append(F.array_compact(F.array(*[F.when(raw.rlike(jvm_regex(r.pattern)), _hit(r)) for r in regex])))
+            parts.append(F.array_compact(F.array(*[F.when(raw.rlike("(?iu)" + jvm_regex(r.pattern)), _hit(r)) for r in regex])))
         return F.concat(*parts)
 
     return let(content, lambda text: found(text, text if regex_text is None else regex_text))
@@ -128,13 +120,15 @@ def category_scores(matched: Column, order: Sequence[str] = tuple(lx.CATEGORY_PR
 def fallback_category(tokens: Column, available: Sequence[str]) -> Column:
     """Category from the first lexicon test that fires on the space-joined facet tokens."""
     default = next((c for c in lx.DEFAULT_CATEGORIES if c in available), available[0] if available else "task")
-    joined = F.array_join(tokens, " ")
-    chain = None
-    for pattern, preferred in lx.FALLBACK_TESTS:
-        chosen = next((c for c in preferred if c in available), default)
-        test = joined.rlike("(?iu)" + pattern)
-        chain = F.when(test, chosen) if chain is None else chain.when(test, chosen)
-    return chain.otherwise(default)
+
+    def chain(joined: Column) -> Column:
+        out = F
+        for pattern, preferred in lx.FALLBACK_TESTS:
+            chosen = next((c for c in preferred if c in available), default)
+            out = out.when(mentions(joined, pattern), chosen)
+        return out.otherwise(default)
+
+    return let(F.array_join(tokens, " "), chain)
 
 
 def classify(df: DataFrame, rules: Sequence[Rule], tags: int = 5) -> DataFrame:

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from engram import profile_lexicons as pl
 from engram.functions import metadata as md
 from engram.functions import text as tx
-from engram.operators.classify import jvm_regex
+from engram.functions.lexicon import mentions
 from engram.operators.ranking import top_per_group, union_all
+from engram.session import materialize
 
 ITEMS_PER_KIND = 10
 SUMMARY_EVIDENCE = 5
@@ -22,21 +23,17 @@ ITEM_EVIDENCE = 3
 KINDS = tuple(pl.ITEM_LABELS)
 
 
-def _test(c: Column, pattern: str) -> Column:
-    return F.coalesce(c.rlike(jvm_regex(pattern)), F.lit(False))
-
-
 def _with_terms(pattern: str, terms: Sequence[str]) -> str:
     return "|".join([pattern, *terms])
 
 
-def flagged(memories: DataFrame, newest_first: bool = True) -> DataFrame:
-    """Profile memories with their classification flags, score and place.
+def flagged(memories: DataFrame, newest_first: bool = True, product_terms: Sequence[str] = ()) -> DataFrame:
+    """Profile memories with everything their texts say, worked out once and written down.
 
-    Adds: pos, is_summary, item_kind, product_or_doc, file_or_demo, fact_only, temporal_plan, ephemeral,
-    robot_constraint, companion_style, attribute_kind, stable, score, quote.
+    Adds pos, the classification flags, item kinds, facets, persona signals, score and quote.  All steps below
+    read this table several times and touch no pattern again.
     """
-    c, v = F.col("content"), F.col("__v")
+    c, v, low = F.col("content"), F.col("__v"), F.col("__low")
     time = F.desc("created_at") if newest_first else F.asc("created_at")
     df = memories.filter(F.lower("memory_type").isin("fact", "insight", "pinned")).withColumns(
         {
@@ -45,17 +42,22 @@ def flagged(memories: DataFrame, newest_first: bool = True) -> DataFrame:
             "__m": F.from_json("metadata_json", "map<string,string>"),
         }
     )
+    # few bytes but much work per row: deal the rows out evenly
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df.repartition(slices, "owner_id", "id").withColumn("__low", F.lower(c))
     meta = F.coalesce(
         F.concat(F.map_keys("__m"), F.map_values("__m")), F.array().cast("array<string>")
     )
-    df = df.withColumn("__meta", meta).withColumn("__labels", F.lower(F.array_join(F.concat("tags", "__meta"), " ")))
-    hay = F.concat_ws(" ", F.lower(c), F.col("__labels"))
+    df = df.withColumn("__meta", F.transform(meta, F.lower)).withColumn(
+        "__labels", F.concat_ws(" ", F.lower(F.array_join("tags", " ")), F.array_join("__meta", " "))
+    )
+    hay = F.concat_ws(" ", low, F.col("__labels"))
 
-    def meta_test(pattern: str) -> Column:
-        return F.exists("__meta", lambda x: _test(x, pattern))
+    def metamentions(pattern: str) -> Column:
+        return F.exists("__meta", lambda x: mentions(x, pattern))
 
     def either(pattern: str) -> Column:
-        return _test(c, pattern) | meta_test(pattern)
+        return mentions(low, pattern) | metamentions(pattern)
 
     def has(text: Column, tokens: Sequence[str]) -> Column:
         tests = [F.contains(text, F.lit(t.lower())) for t in tokens]
@@ -71,23 +73,27 @@ def flagged(memories: DataFrame, newest_first: bool = True) -> DataFrame:
         *[F.when((kind_key == k) | (raw_kind == label), k) for k, label in pl.ATTRIBUTE_LABELS.items()]
     )
     guessed = F.when(
-        ~_test(c, pl.DISLIKE),
+        ~mentions(low, pl.DISLIKE),
         F.coalesce(*[F.when(either(p), k) for k, p in pl.ATTRIBUTE_LEXICONS.items()]),
     )
     df = df.withColumns(
         {
-            "is_summary": _test(tx.collapsed(c), pl.SUMMARY_PREFIX) | has(F.col("__labels"), pl.SUMMARY_TOKENS),
+            "is_summary": mentions(tx.collapsed(low), pl.SUMMARY_PREFIX) | has(F.col("__labels"), pl.SUMMARY_TOKENS),
             "item_kind": item_kind,
-            "product_or_doc": _test(c, pl.PRODUCT_OR_DOC) & ~_test(c, pl.ABOUT_USER),
-            "file_or_demo": _test(c, pl.FILE_OR_DEMO),
-            "fact_only": _test(c, pl.FACT_ONLY),
-            "temporal_plan": _test(c, pl.TEMPORAL_PLAN),
-            "ephemeral": _test(c, pl.EPHEMERAL),
-            "robot_constraint": _test(c, pl.CONSTRAINT) & (_test(c, pl.ROBOT_TARGET) | _test(c, pl.ROBOT_BEHAVIOR)),
-            "companion_style": (_test(c, pl.PREFERENCE) | _test(c, pl.PREFERENCE_WIDE)) & _test(c, pl.COMPANION_TARGET),
+            "product_or_doc": mentions(low, pl.PRODUCT_OR_DOC) & ~mentions(low, pl.ABOUT_USER),
+            "file_or_demo": mentions(low, pl.FILE_OR_DEMO),
+            "fact_only": mentions(low, pl.FACT_ONLY),
+            "temporal_plan": mentions(low, pl.TEMPORAL_PLAN),
+            "ephemeral": mentions(low, pl.EPHEMERAL),
+            "robot_constraint": mentions(low, pl.CONSTRAINT) & (mentions(low, pl.ROBOT_TARGET) | mentions(low, pl.ROBOT_BEHAVIOR)),
+            "companion_style": (mentions(low, pl.PREFERENCE) | mentions(low, pl.PREFERENCE_WIDE)) & mentions(low, pl.COMPANION_TARGET),
             "explicit_attribute": explicit,
             "attribute_kind": F.coalesce(explicit, guessed),
             "lasting_words": either("|".join([pl.STABLE, *pl.ATTRIBUTE_LEXICONS.values(), pl.PERSONA, pl.PREFERENCE, pl.DISLIKE, pl.WORK_STYLE])),
+            "priority_words": mentions(low, pl.PRIORITY),
+            "plan_words": mentions(low, pl.PLAN_CONTENT),
+            "facets": _facet_hits(either),
+            "signals": text_signals(tx.collapsed(low), product_terms),
             "score": md.memory_score(v, F.col("memory_type"), F.col("tags")),
             "quote": tx.preview(c, 180),
             "m_title": md.string_of(v, ["title", "label", "name", "summary"]),
@@ -107,13 +113,15 @@ def flagged(memories: DataFrame, newest_first: bool = True) -> DataFrame:
     lasting = F.when(named, ~F.col("ephemeral")).otherwise(
         ~F.col("temporal_plan") & ~F.col("ephemeral") & F.col("lasting_words")
     )
-    return df.withColumn("stable", usable & lasting).drop("__v", "__m", "__labels", "lasting_words")
+    return materialize(
+        df.withColumn("stable", usable & lasting).drop("__v", "__m", "__meta", "__low", "__labels", "lasting_words")
+    )
 
 
 def _matches(kind: str) -> Column:
     free = ~(F.col("product_or_doc") | F.col("file_or_demo"))
     own = {
-        "current_priority": _test(F.col("content"), pl.PRIORITY),
+        "current_priority": F.col("priority_words"),
         "companion_style": free & F.col("companion_style"),
         "robot_constraint": free & F.col("robot_constraint"),
     }[kind]
@@ -187,7 +195,7 @@ def _pooled(sources: DataFrame, patterns: Sequence[str]) -> DataFrame:
     ids = _evidence_ids(flat, ["owner_id"], "o", ITEM_EVIDENCE)
     hits = sources.groupBy("owner_id").agg(
         F.sum("importance").alias("importance"),
-        *[F.bool_or(_test(F.col("text"), p)).alias(f"hit_{i}") for i, p in enumerate(patterns)],
+        *[F.bool_or(mentions(F.lower("text"), p)).alias(f"hit_{i}") for i, p in enumerate(patterns)],
     )
     return hits.join(ids, "owner_id")
 
@@ -207,7 +215,7 @@ def profile_items(flags: DataFrame, product_terms: Sequence[str] = ()) -> DataFr
     )
     free = ~(F.col("product_or_doc") | F.col("file_or_demo"))
     companion = _pooled(
-        _sources(candidates, flags, "companion_style", free & _test(F.col("content"), pl.PLAN_CONTENT)),
+        _sources(candidates, flags, "companion_style", free & F.col("plan_words")),
         [p for p, _ in pl.COMPANION_PARTS],
     )
     parts = F.array_compact(F.array(*[F.when(F.col(f"hit_{i}"), text) for i, (_, text) in enumerate(pl.COMPANION_PARTS)]))
@@ -275,16 +283,16 @@ def _label(group: str, label: str, test: Column, seq: int, cited: bool) -> Colum
 def _plan_labels(c: Column, first: int) -> list[Column]:
     out = []
     for i, (label, p, also) in enumerate(pl.PLAN_SIGNALS):
-        test = _test(c, p) if also is None else _test(c, p) & _test(c, also)
+        test = mentions(c, p) if also is None else mentions(c, p) & mentions(c, also)
         out.append(_label("plan", label, test, first + i, False))
     return out
 
 
 def text_signals(c: Column, product_terms: Sequence[str] = ()) -> Column:
-    """array<struct<grp, label, seq, cited>> of the fixed labels one memory text supports."""
-    frontend = _test(c, pl.FRONTEND)
-    with_ai = _test(c, pl.AI_CONTEXT)
-    role = ~frontend & _test(c, pl.PRODUCT_ROLE) & _test(c, _with_terms(pl.AI_PRODUCT, product_terms))
+    """array<struct<grp, label, seq, cited>> of the fixed labels that one lower-cased text supports."""
+    frontend = mentions(c, pl.FRONTEND)
+    with_ai = mentions(c, pl.AI_CONTEXT)
+    role = ~frontend & mentions(c, pl.PRODUCT_ROLE) & mentions(c, _with_terms(pl.AI_PRODUCT, product_terms))
     labels = [
         _label("identity", pl.ID_AI_FRONTEND, frontend & with_ai, 0, True),
         _label("identity", pl.ID_FRONTEND, frontend & ~with_ai, 0, True),
@@ -292,19 +300,16 @@ def text_signals(c: Column, product_terms: Sequence[str] = ()) -> Column:
     ]
     for i, (group, label, pattern) in enumerate(pl.TEXT_SIGNALS):
         pattern = _with_terms(pattern, product_terms) if i == 0 else pattern
-        labels.append(_label(group, label, _test(c, pattern), 1 + i, True))
+        labels.append(_label(group, label, mentions(c, pattern), 1 + i, True))
     return F.array_compact(F.array(*labels, *_plan_labels(c, 20)))
 
 
-def persona_signals(flags: DataFrame, items: DataFrame, product_terms: Sequence[str] = ()) -> DataFrame:
+def persona_signals(flags: DataFrame, items: DataFrame) -> DataFrame:
     """(owner_id, grp, label, o): distinct labels with the place where each was first seen."""
-    c = tx.collapsed(F.col("content"))
-    from_memories = flags.filter("stable").select(
-        "owner_id", F.lit(0).alias("part"), "pos", F.explode(text_signals(c, product_terms)).alias("s")
-    )
-    text = F.concat_ws(" ", "title", "summary")
+    from_memories = flags.filter("stable").select("owner_id", F.lit(0).alias("part"), "pos", F.explode("signals").alias("s"))
+    text = F.lower(F.concat_ws(" ", "title", "summary"))
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
-    style = _label("style", pl.STYLE_SIGNAL[0], (F.col("kind") != "current_priority") & _test(text, pl.STYLE_SIGNAL[1]), 0, False)
+    style = _label("style", pl.STYLE_SIGNAL[0], (F.col("kind") != "current_priority") & mentions(text, pl.STYLE_SIGNAL[1]), 0, False)
     priority = F.when(F.col("kind") == "current_priority", text).otherwise(F.lit(""))
     from_items = items.select(
         "owner_id",
@@ -316,19 +321,19 @@ def persona_signals(flags: DataFrame, items: DataFrame, product_terms: Sequence[
     return rows.groupBy("owner_id", "grp", "label").agg(F.min("o").alias("o"))
 
 
-def _facets(flags: DataFrame) -> DataFrame:
-    """Best-scored stable memory per facet: owner_id, f, pos, id, text; the generic one only where no other holds."""
-    c = F.col("content")
-    open_ = flags.filter("stable and not temporal_plan")
+def _facet_hits(either) -> Column:
+    """Numbers of the facets a memory can stand for; the last one is the generic facet."""
+    tests = [either(p) if deny is None else either(p) & ~either(deny) for _, p, deny in pl.FACETS]
+    tests.append(either(pl.STABLE))
+    return F.array_compact(F.array(*[F.when(t, F.lit(i)) for i, t in enumerate(tests)]))
 
-    def either(pattern: str) -> Column:
-        return _test(c, pattern) | F.exists("__meta", lambda x: _test(x, pattern))
 
-    tests = [
-        (label, either(p) if deny is None else either(p) & ~either(deny)) for label, p, deny in pl.FACETS
-    ] + [(pl.GENERIC_FACET, either(pl.STABLE))]
-    hits = F.array_compact(F.array(*[F.when(t, F.struct(F.lit(i).alias("f"), F.lit(label).alias("label"))) for i, (label, t) in enumerate(tests)]))
-    rows = open_.select("owner_id", "pos", "id", "score", "content", F.explode(hits).alias("h")).select("*", "h.*").drop("h")
+def _facets(flags: DataFrame) -> DataFrame:
+    """Best-scored stable memory per facet: owner_id, f, id, text."""
+    names = F.array(*[F.lit(label) for label, _, _ in pl.FACETS], F.lit(pl.GENERIC_FACET))
+    rows = flags.filter("stable and not temporal_plan").select(
+        "owner_id", "pos", "id", "score", "content", F.explode("facets").alias("f")
+    ).withColumn("label", F.get(names, F.col("f")))
     best = top_per_group(rows, ["owner_id", "f"], [F.desc(F.round("score", 6)), F.asc("pos")], 1)
     return best.select(
         "owner_id", "f", "id", F.concat(F.col("label"), F.lit("："), tx.summary_clause(F.col("content"))).alias("text")
@@ -347,8 +352,8 @@ def _descriptions(flags: DataFrame) -> DataFrame:
     return top_per_group(first, ["owner_id"], [F.asc("k")], SUMMARY_EVIDENCE)
 
 
-def profile_summary(flags: DataFrame, items: DataFrame, product_terms: Sequence[str] = ()) -> DataFrame:
-    """(owner_id, text, message, evidence) for every owner with profile memories."""
+def profile_summary(flags: DataFrame, items: DataFrame) -> DataFrame:
+    """(owner_id, text, message, evidence) for every owner with profile memories. Read ``items`` from a table."""
     owners = flags.groupBy("owner_id").agg(F.count(F.lit(1)).alias("memories"))
 
     # at most the fixed labels per owner
@@ -356,19 +361,19 @@ def profile_summary(flags: DataFrame, items: DataFrame, product_terms: Sequence[
         pairs = F.sort_array(F.collect_list(F.when(F.col("grp") == group, F.struct("o", "label"))))
         return F.transform(pairs, lambda x: x["label"])
 
-    signals = persona_signals(flags, items, product_terms)
+    signals = persona_signals(flags, items)
     s = signals.groupBy("owner_id").agg(
         F.countDistinct("label").alias("n_signals"),
         *[listed(g).alias(g) for g in ("identity", "domain", "trait", "style", "plan")],
     )
     first = F.get(F.col("identity"), F.lit(0))
-    both = F.exists("identity", lambda x: F.contains(x, F.lit("前端"))) & F.exists("domain", lambda x: _test(x, pl.AI_CONTEXT))
+    both = F.exists("identity", lambda x: F.contains(x, F.lit("前端"))) & F.exists("domain", lambda x: mentions(F.lower(x), pl.AI_CONTEXT))
     identity = F.when(both, pl.ID_AI_FRONTEND).otherwise(F.coalesce(first, F.lit(pl.ID_DEFAULT)))
 
     def part(column: str, lead: str, n: int) -> Column:
         return F.when(F.size(column) > 0, F.concat(F.lit(lead), F.array_join(F.slice(column, 1, n), "、")))
 
-    action = F.exists("style", lambda x: _test(x, pl.STYLE_ACTION))
+    action = F.exists("style", lambda x: mentions(x, pl.STYLE_ACTION))
     clauses = F.array_compact(
         F.array(
             F.concat(F.lit("你是一位"), identity),
@@ -433,15 +438,14 @@ def profile_summary(flags: DataFrame, items: DataFrame, product_terms: Sequence[
         F.coalesce("persona", F.when(count > 0, fallback_text), F.lit("")).alias("text"),
         message.alias("message"),
     )
-    return texts.join(_summary_evidence(flags, items, texts, d, f, product_terms), "owner_id", "left").select(
+    return texts.join(_summary_evidence(flags, items, texts, d, f), "owner_id", "left").select(
         "owner_id", "text", "message", F.coalesce("evidence", nothing).alias("evidence")
     )
 
 
-def _summary_evidence(flags, items, texts, descriptions, facets, product_terms) -> DataFrame:
+def _summary_evidence(flags, items, texts, descriptions, facets) -> DataFrame:
     """First five distinct memory ids behind the summary text."""
-    c = tx.collapsed(F.col("content"))
-    cited = flags.filter("stable").filter(F.exists(text_signals(c, product_terms), lambda s: s["cited"]))
+    cited = flags.filter("stable").filter(F.exists("signals", lambda s: s["cited"]))
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     zero = F.lit(0).cast("bigint")
     signal_rows = cited.select(

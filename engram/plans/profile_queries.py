@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from engram import lexicons as lx
 from engram import profile_lexicons as pl
 from engram.operators import profile as pr
 from engram.plans import tables as tb
 from engram.plans.registry import query
+from engram.plans.text_queries import _limit_sql
+from engram.session import materialize
 from engram.sources.memories import profile_memories
 
 SENTENCES = (
@@ -76,7 +79,7 @@ def profile_flags(spark, sf):
     )
 
 
-_WS = "[" + __import__("engram.lexicons", fromlist=["WS_CLASS"]).WS_CLASS + "]*"
+_WS = "[" + lx.WS_CLASS + "]*"
 _NO_LABEL = f"regexp_replace(c, '^{_WS}[A-Za-z0-9_{_WS[1:-2]}\\x{{4e00}}-\\x{{9fff}}-]{{1,24}}{_WS}[:：]{_WS}', '')"
 
 
@@ -112,7 +115,7 @@ alli AS (SELECT owner_id, kind, title, summary, importance, fp AS o, len(ids) AS
   UNION ALL SELECT made.*, len(evidence), evidence FROM made JOIN sev USING (owner_id, kind)),
 items AS (SELECT owner_id, kind, place, title, summary, CAST(floor(round(importance, 6) + 0.5) AS BIGINT) AS importance, evidence_count, evidence FROM
   (SELECT *, row_number() OVER (PARTITION BY owner_id, kind ORDER BY round(importance, 6) DESC, o) AS place FROM alli) WHERE place <= 10)"""
-ITEMS = ITEMS.replace("{limited}", __import__("engram.plans.text_queries", fromlist=["_limit_sql"])._limit_sql("parts", 150))
+ITEMS = ITEMS.replace("{limited}", _limit_sql("parts", 150))
 
 
 @query(
@@ -145,5 +148,5 @@ def profile_signals(spark, sf):
 @query("profile_summary")
 def profile_summary(spark, sf):
     flags = _flags(spark, sf)
-    summary = pr.profile_summary(flags, pr.profile_items(flags))
+    summary = pr.profile_summary(flags, materialize(pr.profile_items(flags)))
     return summary.withColumn("evidence", F.array_join("evidence", ","))
