@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import hmac
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -328,11 +331,6 @@ def ordered_calls(calls: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> Dat
 
 def hashed_owner(column: str, pepper: str):
     """HMAC-SHA256 of a key column as hex: Arrow batches, because the JVM side has no HMAC."""
-    import hashlib
-    import hmac
-
-    import pandas as pd
-
     secret = pepper.encode()
 
     @F.pandas_udf("string")

@@ -1,8 +1,23 @@
 """Driver queries."""
 
+from importlib import import_module
+
+MODULES = (
+    "text_queries",
+    "classify_queries",
+    "dedupe_queries",
+    "corpus_queries",
+    "ops_queries",
+    "period_queries",
+    "validate_queries",
+    "profile_queries",
+    "stream_queries",
+)
+
 
 def load() -> tuple[dict, dict]:
     """(queries, oracle SQL) of every plan module."""
-    from engram.plans import classify_queries, corpus_queries, dedupe_queries, ops_queries, period_queries, profile_queries, registry, validate_queries, text_queries  # noqa: F401
-
+    for name in MODULES:
+        import_module(f"engram.plans.{name}")
+    registry = import_module("engram.plans.registry")
     return registry.QUERIES, registry.ORACLES

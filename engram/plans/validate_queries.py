@@ -9,16 +9,17 @@ from engram.operators import validate as va
 from engram.plans import tables as tb
 from engram.plans.registry import query
 
-KEY = F.col("event_id")
+def _key():
+    return F.col("event_id")
 
 
 def _events(spark, sf):
-    return tb.events(spark, sf).withColumns({"owner_id": F.col("user_id"), "id": KEY.cast("string"), "pos": KEY})
+    return tb.events(spark, sf).withColumns({"owner_id": F.col("user_id"), "id": _key().cast("string"), "pos": _key()})
 
 
 def _memories(spark, sf):
     """Every event but each ninth is a known memory."""
-    return _events(spark, sf).filter(KEY % 9 != 0).select("owner_id", "id")
+    return _events(spark, sf).filter(_key() % 9 != 0).select("owner_id", "id")
 
 
 def _pick(values, index):
@@ -26,7 +27,7 @@ def _pick(values, index):
 
 
 def _ids():
-    return F.array(F.col("id"), F.lit("zz"), F.lit(" "), (KEY - 1).cast("string"), F.col("id"))
+    return F.array(F.col("id"), F.lit("zz"), F.lit(" "), (_key() - 1).cast("string"), F.col("id"))
 
 
 _MEM = "known AS (SELECT user_id AS owner_id, event_id AS mid, CAST(event_id AS VARCHAR) AS id FROM events WHERE event_id % 9 <> 0)"
@@ -47,7 +48,7 @@ def evidence_validation(spark, sf):
 
 
 def _refs(spark, sf):
-    ref = F.when(KEY % 4 == 0, F.concat(F.lit("x"), "id")).otherwise(F.concat(F.lit(" "), "id"))
+    ref = F.when(_key() % 4 == 0, F.concat(F.lit("x"), "id")).otherwise(F.concat(F.lit(" "), "id"))
     return _events(spark, sf).select("owner_id", "event_type", "pos", ref.alias("id"))
 
 
@@ -86,9 +87,9 @@ def repair_themes(spark, sf):
     proposed = e.filter(F.col("user_id") % 6 != 0).select(
         "owner_id",
         "pos",
-        _pick(_THEME_NAMES, KEY % 5).alias("name"),
-        F.when(KEY % 2 == 0, F.floor("value").cast("bigint")).otherwise(-1).alias("n"),
-        F.when(KEY % 3 == 0, F.concat(F.lit(" text "), "id")).otherwise("  ").alias("description"),
+        _pick(_THEME_NAMES, _key() % 5).alias("name"),
+        F.when(_key() % 2 == 0, F.floor("value").cast("bigint")).otherwise(-1).alias("n"),
+        F.when(_key() % 3 == 0, F.concat(F.lit(" text "), "id")).otherwise("  ").alias("description"),
     )
     fallback = e.filter(F.col("user_id") % 2 == 0).select("owner_id").distinct().select(
         "owner_id",
@@ -125,8 +126,8 @@ def repair_entities(spark, sf):
         "owner_id",
         F.col("event_type").alias("kind"),
         "pos",
-        _pick(_LABELS, KEY % 5).alias("label"),
-        F.when(KEY % 2 == 0, F.floor("value").cast("bigint")).otherwise(0).alias("count"),
+        _pick(_LABELS, _key() % 5).alias("label"),
+        F.when(_key() % 2 == 0, F.floor("value").cast("bigint")).otherwise(0).alias("count"),
         _ids().alias("evidence"),
     )
     fallback = e.select("owner_id", F.col("event_type").alias("kind")).distinct().select(
@@ -158,8 +159,8 @@ def repair_relations(spark, sf):
         "pos",
         F.lit(" user ").alias("source"),
         F.col("event_type").alias("relation"),
-        _pick(("Bo Li", "bo-li", "", "Al"), KEY % 4).alias("target"),
-        F.when(KEY % 3 == 0, F.col("value") / 100).alias("confidence"),
+        _pick(("Bo Li", "bo-li", "", "Al"), _key() % 4).alias("target"),
+        F.when(_key() % 3 == 0, F.col("value") / 100).alias("confidence"),
         _ids().alias("evidence"),
         F.array(F.lit(" "), F.concat(F.lit("said "), "id")).alias("excerpts"),
     )
@@ -188,10 +189,10 @@ def repair_discoveries(spark, sf):
     proposed = e.select(
         "owner_id",
         "pos",
-        _pick(("focus_area", "odd", "routine", ""), KEY % 4).alias("kind"),
-        F.when(KEY % 3 == 0, F.concat(F.lit("card:"), (KEY % 5).cast("string"))).alias("id"),
-        F.when(KEY % 2 == 0, "Own routine").alias("title"),
-        F.when(KEY % 5 != 0, F.concat(F.lit("sum "), "id")).alias("summary"),
+        _pick(("focus_area", "odd", "routine", ""), _key() % 4).alias("kind"),
+        F.when(_key() % 3 == 0, F.concat(F.lit("card:"), (_key() % 5).cast("string"))).alias("id"),
+        F.when(_key() % 2 == 0, "Own routine").alias("title"),
+        F.when(_key() % 5 != 0, F.concat(F.lit("sum "), "id")).alias("summary"),
         F.lit(None).cast("double").alias("confidence"),
         _ids().alias("evidence"),
     )
@@ -219,7 +220,7 @@ def repair_discoveries(spark, sf):
 )
 def repair_quality(spark, sf):
     e, memories = _events(spark, sf), _memories(spark, sf)
-    reason = F.when(KEY % 2 == 0, " short ")
+    reason = F.when(_key() % 2 == 0, " short ")
     low = e.select("owner_id", "pos", F.col("id").alias("memory_id"), reason.alias("reason"))
     no_low = low.filter("false").select("owner_id", F.lit(1).cast("bigint").alias("place"), "memory_id", "reason")
     clusters = e.select("owner_id", "pos", F.col("id").alias("canonical_id"), _ids().alias("duplicate_ids"))
@@ -253,8 +254,8 @@ def repair_highlights(spark, sf):
     proposed = e.select(
         "owner_id",
         F.col("idx").alias("pos"),
-        F.when(KEY % 3 == 0, "Evidence  1").when(KEY % 3 == 1, "other").alias("title"),
-        F.when(KEY % 2 == 0, F.concat(F.lit("detail "), "id")).alias("detail"),
+        F.when(_key() % 3 == 0, "Evidence  1").when(_key() % 3 == 1, "other").alias("title"),
+        F.when(_key() % 2 == 0, F.concat(F.lit("detail "), "id")).alias("detail"),
         _ids().alias("evidence"),
     )
     fallback = e.select("owner_id").distinct().select(
@@ -274,8 +275,8 @@ def repair_highlights(spark, sf):
       CASE event_id % 3 WHEN 2 THEN 0 ELSE 1 END AS repaired FROM events""",
 )
 def repair_text_lists(spark, sf):
-    given = F.when(KEY % 3 == 0, F.array(F.concat(F.lit(" "), "event_type"), F.lit(" "), F.lit("b"))).when(
-        KEY % 3 == 1, F.array(F.lit(""))
+    given = F.when(_key() % 3 == 0, F.array(F.concat(F.lit(" "), "event_type"), F.lit(" "), F.lit("b"))).when(
+        _key() % 3 == 1, F.array(F.lit(""))
     )
     own = F.array(F.lit("own"))
     return tb.events(spark, sf).select(
@@ -312,9 +313,9 @@ def report_violations(spark, sf):
     items = e.select(
         "owner_id",
         F.when(kind == "click", "theme").when(kind == "view", "entity").otherwise("relation").alias("section"),
-        F.when((kind == "click") & (KEY % 40 == 0), " The ").when((kind == "view") & (KEY % 30 == 0), "platform").otherwise("fine").alias("name"),
+        F.when((kind == "click") & (_key() % 40 == 0), " The ").when((kind == "view") & (_key() % 30 == 0), "platform").otherwise("fine").alias("name"),
         F.lit("user").alias("source"),
-        F.when((kind == "error") & (KEY % 20 == 0), " ").otherwise("knows").alias("relation"),
+        F.when((kind == "error") & (_key() % 20 == 0), " ").otherwise("knows").alias("relation"),
         F.lit("Bo").alias("target"),
     )
     refs = e.select("owner_id", kind.alias("section"), "pos", "id")

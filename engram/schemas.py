@@ -2,30 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    ArrayType,
+    BooleanType,
+    DataType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampType,
+)
+
+TEXT, INT, LONG, TIME, FLAG = StringType(), IntegerType(), LongType(), TimestampType(), BooleanType()
 
 
-def _schema(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
+def struct(**fields: DataType) -> StructType:
+    return StructType([StructField(name, type_) for name, type_ in fields.items()])
 
 
-MEMORY = _schema(
-    "owner_id STRING, id STRING, content STRING, created_at TIMESTAMP, updated_at TIMESTAMP, memory_type STRING, "
-    "state STRING, tags ARRAY<STRING>, metadata_json STRING"
+MEMORY = struct(
+    owner_id=TEXT,
+    id=TEXT,
+    content=TEXT,
+    created_at=TIME,
+    updated_at=TIME,
+    memory_type=TEXT,
+    state=TEXT,
+    tags=ArrayType(TEXT),
+    metadata_json=TEXT,
 )
-UPLOADED = "STRUCT<id: STRING, content: STRING, created_at: STRING, metadata_json: STRING>"
-BATCH = _schema(
-    f"job_id STRING, batch_index INT, memory_count INT, payload_hash STRING, memories ARRAY<{UPLOADED}>"
+BATCH = struct(
+    job_id=TEXT,
+    batch_index=INT,
+    memory_count=INT,
+    payload_hash=TEXT,
+    memories=ArrayType(struct(id=TEXT, content=TEXT, created_at=TEXT, metadata_json=TEXT)),
 )
-SNAPSHOT_DOCUMENT = _schema(
-    "fetchedAt STRING, memoryCount INT, memories ARRAY<STRUCT<id: STRING, content: STRING, createdAt: STRING, "
-    "updatedAt: STRING, memoryType: STRING, tags: ARRAY<STRING>>>"
+SNAPSHOT_DOCUMENT = struct(
+    fetchedAt=TEXT,
+    memoryCount=INT,
+    memories=ArrayType(
+        struct(id=TEXT, content=TEXT, createdAt=TEXT, updatedAt=TEXT, memoryType=TEXT, tags=ArrayType(TEXT))
+    ),
 )
-RULE = _schema(
-    "id STRING, version STRING, category STRING, label STRING, lang STRING, match_type STRING, pattern STRING, "
-    "weight INT, enabled BOOLEAN"
+RULE = struct(
+    id=TEXT,
+    version=TEXT,
+    category=TEXT,
+    label=TEXT,
+    lang=TEXT,
+    match_type=TEXT,
+    pattern=TEXT,
+    weight=INT,
+    enabled=FLAG,
 )
-AUDIT = _schema(
-    "request_id STRING, owner_id STRING, ts TIMESTAMP, route STRING, job_id STRING, batch_index INT, "
-    "memory_count INT, status_code INT, latency_ms INT"
+AUDIT = struct(
+    request_id=TEXT,
+    owner_id=TEXT,
+    ts=TIME,
+    route=TEXT,
+    job_id=TEXT,
+    batch_index=INT,
+    memory_count=INT,
+    status_code=INT,
+    latency_ms=INT,
 )
+FINISHED_BATCH = struct(job_id=TEXT, batch_index=LONG)
+EVENT_VERSION = struct(job_id=TEXT, version=LONG)
