@@ -40,7 +40,7 @@ def epoch_folder(path: str, epoch: int) -> str:
 
 def earlier(spark: SparkSession, path: str, epoch: int, schema: StructType) -> DataFrame:
     """What micro-batches before ``epoch`` wrote; empty at first."""
-    with_epoch = StructType([*schema.fields]).add("epoch", "bigint")
+    with_epoch = StructType([*schema.fields]).add("epoch", schemas.LONG)
     try:
         table = spark.read.schema(with_epoch).parquet(path)
     except AnalysisException as error:
@@ -70,7 +70,7 @@ def dedupe_batch(
     now = F.current_timestamp() if now is None else now
 
     def seen(kind: str, key: str) -> DataFrame:
-        schema = StructType([*[df.schema[c] for c in scope], df.schema[key]]).add("seen_at", "timestamp")
+        schema = StructType([*[df.schema[c] for c in scope], df.schema[key]]).add("seen_at", schemas.TIME)
         held = earlier(spark, f"{out}/{kind}", epoch, schema)
         if ttl_hours is not None:
             held = held.filter(F.col("seen_at") > now - F.make_dt_interval(hours=F.lit(ttl_hours)))
