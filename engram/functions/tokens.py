@@ -73,7 +73,9 @@ def coverage_tokens(c: Column) -> Column:
 
 def proper_names(c: Column) -> Column:
     found = F.regexp_extract_all(c, F.lit(lx.bounded(lx.PROPER_NAME)), F.lit(0))
-    return F.array_distinct(F.filter(found, meaningful_label))
+    return F.filter(
+        F.array_distinct(found), lambda name: (F.length(name) >= 3) & ~_in(F.lower(name), lx.ENTITY_DENYLIST)
+    )
 
 
 def team_labels(c: Column) -> Column:
@@ -91,7 +93,9 @@ def team_labels(c: Column) -> Column:
         ),
         lambda x: x.isNotNull(),
     )
-    return F.array_distinct(F.concat(labels, hinted))
+    low = F.lower(c)
+    possible = F.contains(low, F.lit("team")) | F.contains(low, F.lit("group"))
+    return F.when(possible, F.array_distinct(F.concat(labels, hinted))).otherwise(F.array().cast("array<string>"))
 
 
 def dictionary_hits(c: Column, terms: Sequence[str], whole_words: bool = False) -> Column:
@@ -115,7 +119,10 @@ def project_tags(tags: Column) -> Column:
 
 def relation_targets(c: Column, lead: str) -> Column:
     pattern = f"(?<![A-Za-z0-9_]){lead} {lx.RELATION_TARGET}(?![A-Za-z0-9_])"
-    return F.filter(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), meaningful_label)
+    found = F.filter(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), meaningful_label)
+    if not lead.replace(" ", "").isalnum():
+        return found
+    return F.when(F.contains(c, F.lit(f"{lead} ")), found).otherwise(F.array().cast("array<string>"))
 
 
 def signals(c: Column, lexicons: dict[str, str]) -> Column:
@@ -132,7 +139,7 @@ def top_tokens(tokens: Column, k: int = 5) -> Column:
     Sorted (token, position) pairs put equal tokens side by side, so a count is the distance to the next
     run: O(n log n) inside the row and no shuffle, however long the text.
     """
-    pairs = F.array_sort(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+    pairs = F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
 
     def run_starts(p: Column) -> Column:
         marked = F.transform(
@@ -152,6 +159,6 @@ def top_tokens(tokens: Column, k: int = 5) -> Column:
                 x["t"].alias("t"),
             ),
         )
-        return F.transform(F.slice(F.array_sort(counted), 1, k), lambda x: x["t"])
+        return F.transform(F.slice(F.sort_array(counted), 1, k), lambda x: x["t"])
 
     return let(pairs, lambda p: let(run_starts(p), lambda runs: ranked(p, runs)))

@@ -20,9 +20,10 @@ from engram.functions.binding import let
 from engram.functions.lexicon import jvm_regex, mentions
 from engram.functions.tokens import coverage_tokens, facet_tokens, top_tokens
 from engram.operators.rules import Rule, category_order
+from engram.session import materialize
 
 DIRECT_RULES = 200
-GRAM_SIZES = (8, 5, 3)
+GRAM_SIZES = (10, 8, 6, 5, 4, 3)
 GRAM_BUCKETS = 8192
 
 def _hit(rule: Rule) -> Column:
@@ -49,27 +50,22 @@ def _found(candidates: Column, content: Column) -> Column:
 def _by_grams(rules: Sequence[Rule], content: Column) -> list[Column]:
     """Candidates through the first characters of their pattern, then verified.
 
-    Patterns are bucketed by the checksum of their first 8, 5 or 3 characters. A text looks up the buckets of
-    its own character runs of that length: work per text grows with its length, hardly with the rule count.
+    Patterns are bucketed by the checksum of their first characters, as many as leave only a few patterns
+    shorter than that; those are tested one by one.  A text looks up the buckets of its own character runs of
+    that length: the work grows with the text, hardly with the number of rules.
     """
-    parts = []
-    short = [r for r in rules if len(r.pattern) < GRAM_SIZES[-1]]
-    if short:
-        parts.append(_found(_constant([_row(r) for r in short], f"array<{_RULE}>"), content))
-    upper = None
-    for size in GRAM_SIZES:
-        group = [r for r in rules if len(r.pattern) >= size and (upper is None or len(r.pattern) < upper)]
-        upper = size
-        if not group:
-            continue
-        buckets: list[list] = [[] for _ in range(GRAM_BUCKETS)]
-        for rule in group:
-            gram = rule.pattern.lower()[:size]
-            buckets[zlib.crc32(gram.encode()) % GRAM_BUCKETS].append(_row(rule))
-        grams = F.regexp_extract_all(content, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
-        wanted = F.array_distinct(F.transform(grams, lambda g: F.pmod(F.crc32(g), F.lit(GRAM_BUCKETS)).cast("int")))
-        parts.append(_found(_bucket_rules(wanted, buckets), content))
-    return parts
+    size = next(
+        (g for g in GRAM_SIZES if sum(len(r.pattern) < g for r in rules) <= DIRECT_RULES), GRAM_SIZES[-1]
+    )
+    short = [r for r in rules if len(r.pattern) < size]
+    parts = [_found(_constant([_row(r) for r in short], f"array<{_RULE}>"), content)] if short else []
+    buckets: list[list] = [[] for _ in range(GRAM_BUCKETS)]
+    for rule in rules:
+        if len(rule.pattern) >= size:
+            buckets[zlib.crc32(rule.pattern.lower()[:size].encode()) % GRAM_BUCKETS].append(_row(rule))
+    grams = F.regexp_extract_all(content, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+    wanted = F.array_distinct(F.transform(grams, lambda g: F.pmod(F.crc32(g), F.lit(GRAM_BUCKETS)).cast("int")))
+    return [*parts, _found(_bucket_rules(wanted, buckets), content)]
 
 
 def _bucket_rules(wanted: Column, buckets: list[list]) -> Column:
@@ -112,7 +108,7 @@ def category_scores(matched: Column, order: Sequence[str] = tuple(lx.CATEGORY_PR
 
     def all_scores(hits: Column) -> Column:
         names = F.array_distinct(F.transform(hits, lambda r: r["category"]))
-        return F.array_sort(F.transform(names, lambda c: score(hits, c)))
+        return F.sort_array(F.transform(names, lambda c: score(hits, c)))
 
     return let(matched, all_scores)
 
@@ -174,17 +170,22 @@ def coverage(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 def coverage_report(covered: DataFrame, top_categories: int = 20, top_tokens: int = 30) -> DataFrame:
     """Long form (section, name, n): totals, largest categories, most frequent tokens of unmatched texts."""
-    totals = covered.agg(
+    missing = F.col("category").isNull()
+    # read three times below: keep the verdict and, for unmatched texts, their tokens
+    slim = materialize(
+        covered.select("category", F.when(missing, coverage_tokens(F.col("content"))).alias("tokens"))
+    )
+    totals = slim.agg(
         F.count(F.lit(1)).alias("total"),
         F.count("category").alias("matched"),
-        F.count_if(F.col("category").isNull()).alias("unmatched"),
+        F.count_if(missing).alias("unmatched"),
     ).selectExpr("stack(3, 'total', total, 'matched', matched, 'unmatched', unmatched) as (name, n)")
 
     def top(counted: DataFrame, k: int) -> DataFrame:
         return counted.orderBy(F.desc("n"), "name").limit(k)
 
-    by_category = covered.filter("category is not null").groupBy(F.col("category").alias("name"))
-    tokens = covered.filter("category is null").select(F.explode(coverage_tokens(F.col("content"))).alias("name"))
+    by_category = slim.filter("category is not null").groupBy(F.col("category").alias("name"))
+    tokens = slim.select(F.explode("tokens").alias("name"))
     parts = {
         "totals": totals,
         "category": top(by_category.agg(F.count(F.lit(1)).alias("n")), top_categories),

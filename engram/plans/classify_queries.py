@@ -13,6 +13,7 @@ from engram.operators import dedupe as dd
 from engram.operators import rules as ru
 from engram.plans import tables as tb
 from engram.plans.registry import query
+from engram.session import materialize
 
 CATEGORIES = ru.category_order([r.category for r in tb.RULES])
 
@@ -166,8 +167,10 @@ _BATCH_KEYS = ["job_id", "batch_index"]
 
 
 def _batches(spark, sf):
-    return _classified(spark, sf).withColumns(
-        {"job_id": F.col("owner_id"), "batch_index": F.floor(F.col("doc_id") / 100).cast("bigint")}
+    """Verdicts without the texts, written down once because every batch result reads them several times."""
+    index = F.floor(F.col("doc_id") / 100).cast("bigint")
+    return materialize(
+        _classified(spark, sf).select(F.col("owner_id").alias("job_id"), index.alias("batch_index"), "category", "tags")
     )
 
 

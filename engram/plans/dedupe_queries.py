@@ -8,6 +8,7 @@ from engram.functions import text as tx
 from engram.operators import dedupe as dd
 from engram.plans import tables as tb
 from engram.plans.registry import query
+from engram.session import materialize
 
 # owner = language here: few owners, one of them holding most rows
 HASHED = f"{tb.MEM}, h AS (SELECT * REPLACE (tags[2] AS owner_id), sha256({tb.sql_norm('content')}) AS hash FROM mem)"
@@ -50,14 +51,19 @@ def duplicate_clusters(spark, sf):
 
 @query("duplicate_clusters_all", f"""WITH {CLUSTERS} SELECT owner_id, cluster_index, canonical_id, copies - 1 AS duplicates FROM allc""")
 def duplicate_clusters_all(spark, sf):
-    return dd.duplicate_clusters(hashed(spark, sf), top_n=None).select(
+    return dd.duplicate_clusters(_keys(spark, sf), top_n=None).select(
         "owner_id", "cluster_index", "canonical_id", "duplicates"
     )
 
 
+def _keys(spark, sf):
+    """Ids and hashes without the texts, written down once: clusters and members read them repeatedly."""
+    return materialize(hashed(spark, sf).select("owner_id", "id", "doc_id", "created_at", "content_hash"))
+
+
 def _export(spark, sf):
-    df = hashed(spark, sf)
-    members = dd.cluster_members(df, dd.duplicate_clusters(df)).select(
+    df, keys = hashed(spark, sf), _keys(spark, sf)
+    members = dd.cluster_members(keys, dd.duplicate_clusters(keys)).select(
         "owner_id", "cluster_index", "canonical_id", F.col("id").alias("duplicate_id")
     )
     # memories of every seventh minute are gone from the snapshot
@@ -98,7 +104,7 @@ def duplicate_quality(spark, sf):
     FROM todo GROUP BY owner_id""",
 )
 def duplicate_cleanup(spark, sf):
-    df = hashed(spark, sf)
+    df = _keys(spark, sf)
     clusters = dd.duplicate_clusters(df, top_n=None)
     members = dd.cluster_members(df, clusters).select("owner_id", "id", "doc_id")
     history = members.filter(F.col("doc_id") % 6 == 0).select("owner_id", "id")

@@ -68,6 +68,7 @@ def dedupe_batch(
     """
     spark = df.sparkSession
     now = F.current_timestamp() if now is None else now
+    df = df.persist()
 
     def seen(kind: str, key: str) -> DataFrame:
         schema = StructType([*[df.schema[c] for c in scope], df.schema[key]]).add("seen_at", schemas.TIME)
@@ -85,6 +86,7 @@ def dedupe_batch(
     for kind, key in (("ids", id_col), ("hashes", hash_col)):
         keys = df.select(*scope, key).distinct().withColumn("seen_at", now)
         keys.write.mode("overwrite").parquet(epoch_folder(f"{out}/{kind}", epoch))
+    df.unpersist()
 
 
 def dedupe_stream(stream: DataFrame, out: str, scope, id_col, hash_col, order, ttl_hours: int | None = 24, **trigger) -> StreamingQuery:
@@ -107,7 +109,7 @@ def merge_batch(df: DataFrame, epoch: int, out: str, rules: Sequence[Rule]) -> N
     keys = ["job_id", "batch_index"]
     done = earlier(spark, f"{out}/batches", epoch, schemas.FINISHED_BATCH)
     new = df.join(done, keys, "left_anti").dropDuplicates([*keys, "id"])
-    classified = cl.classify(new, rules).select(*keys, "category", "tags")
+    classified = cl.classify(new, rules).select(*keys, "category", "tags").persist()
     universe = category_order([r.category for r in rules])
     counts = ag.category_counts(classified, keys, universe).select(
         *keys, F.lit("category").alias("kind"), F.col("category").alias("key"), "count"
@@ -115,8 +117,9 @@ def merge_batch(df: DataFrame, epoch: int, out: str, rules: Sequence[Rule]) -> N
         ag.tag_counts(classified, keys).select(*keys, F.lit("tag").alias("kind"), F.col("tag").alias("key"), "count")
     )
     counts.write.mode("overwrite").parquet(epoch_folder(f"{out}/counts", epoch))
-    finished = new.groupBy(*keys).agg(F.count(F.lit(1)).alias("processed"))
+    finished = classified.groupBy(*keys).agg(F.count(F.lit(1)).alias("processed"))
     finished.write.mode("overwrite").parquet(epoch_folder(f"{out}/batches", epoch))
+    classified.unpersist()
 
 
 def merge_stream(stream: DataFrame, out: str, rules: Sequence[Rule], **trigger) -> StreamingQuery:
