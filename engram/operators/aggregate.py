@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram import lexicons as lx
@@ -18,20 +18,30 @@ def _rank(category: Column) -> Column:
 
 
 def category_counts(classified: DataFrame, keys: Sequence[str], universe: Sequence[str]) -> DataFrame:
-    """Counts per (keys, category); categories of ``universe`` that did not occur count 0."""
+    """Counts per (keys, category); categories of ``universe`` that did not occur count 0.
+
+    The memories are read once: their counts meet in one small map per group, which the universe is looked up in.
+    """
     counted = classified.groupBy(*keys, "category").agg(F.count(F.lit(1)).alias("n"))
-    names = F.array(*[F.lit(c) for c in universe])
-    zeros = counted.select(*keys).distinct().select(*keys, F.explode(names).alias("category"), F.lit(0).alias("n"))
-    return counted.unionByName(zeros).groupBy(*keys, "category").agg(F.sum("n").cast("bigint").alias("count"))
+    per_group = counted.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("category", "n"))).alias("m"))
+    names = F.array_union(F.array(*[F.lit(c) for c in universe]), F.map_keys("m"))
+    return per_group.select(*keys, "m", F.explode(names).alias("category")).select(
+        *keys, "category", F.coalesce(F.try_element_at("m", F.col("category")), F.lit(0)).cast("bigint").alias("count")
+    )
 
 
 def cards(counts: DataFrame, keys: Sequence[str], top: int | None = None) -> DataFrame:
-    """Category cards: count, share of all memories of the group, rank by count and priority."""
-    totals = counts.groupBy(*keys).agg(F.sum("count").alias("total"))
-    shared = counts.join(totals, list(keys)).withColumn("share", tx.ratio2(F.col("count"), F.col("total")))
+    """Category cards: count, share of all memories of the group, place by count and priority."""
+    # a group holds one row per category
+    group = Window.partitionBy(*keys)
     order = [F.desc("count"), _rank(F.col("category")), F.asc("category")]
-    # the group is the category list: bounded by the rule set
-    return top_per_group(shared, keys, order, top or 100_000, rank="place").drop("total")
+    placed = counts.withColumns(
+        {
+            "share": tx.ratio2(F.col("count"), F.sum("count").over(group)),
+            "place": F.row_number().over(group.orderBy(*order)).cast("bigint"),
+        }
+    )
+    return placed if top is None else placed.filter(F.col("place") <= top)
 
 
 def tag_counts(classified: DataFrame, keys: Sequence[str]) -> DataFrame:

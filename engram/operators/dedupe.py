@@ -56,9 +56,20 @@ def copies(df: DataFrame) -> DataFrame:
 
 
 def unique_memories(df: DataFrame) -> DataFrame:
-    """The earliest memory of every distinct text per owner."""
-    firsts = copies(df).select("owner_id", F.col("canonical_at").alias("created_at"), F.col("canonical_id").alias("id"))
-    return df.join(firsts, ["owner_id", "created_at", "id"], "left_semi")
+    """The earliest memory of every distinct text per owner.
+
+    Copies are cut to one per task before they are shuffled, so a text copied a million times stays cheap.
+    """
+    return top_per_group(df, ["owner_id", "content_hash"], [F.asc("created_at"), F.asc("id")], 1)
+
+
+def first_copy(df: DataFrame, values: Sequence[str]) -> DataFrame:
+    """``values`` of the earliest memory per owner and text, where the texts themselves are not needed any more.
+
+    A plain aggregate: rows shrink to key and values before the shuffle.
+    """
+    earliest = F.min_by(F.struct(*values), F.struct("created_at", "id"))
+    return df.groupBy("owner_id", "content_hash").agg(earliest.alias("v")).select("owner_id", "content_hash", "v.*")
 
 
 def duplicate_clusters(df: DataFrame, top_n: int | None = 10) -> DataFrame:

@@ -151,7 +151,8 @@ total AS (SELECT owner_id, sum(n) AS t FROM filled GROUP BY 1)"""
 def category_cards(spark, sf):
     """Flagship: distinct texts per owner, classified, as category cards."""
     hashed = tb.documents(spark, sf).withColumn("content_hash", tx.content_hash(tx.normalized(F.col("content"))))
-    classified = cl.classify(dd.unique_memories(hashed), tb.RULES)
+    # classifying is row work, so it goes first: one scan, and no text in any shuffle
+    classified = dd.first_copy(cl.classify(hashed, tb.RULES), ["category"])
     return ag.cards(ag.category_counts(classified, ["owner_id"], CATEGORIES), ["owner_id"])
 
 
