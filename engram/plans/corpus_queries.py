@@ -249,6 +249,25 @@ def chunk_insights(spark, sf):
     return cp.chunk_insights(cp.extract(chunked, ["owner_id", "chunk"], LEXICONS, leads=LEADS))
 
 
+@query(
+    "cleaned_insights",
+    f"""WITH {tb.SES}, r AS (SELECT owner_id, conv_id AS chunk, role AS section, turn AS pos,
+        {tb.sql_trim("CASE WHEN turn % 4 = 0 THEN '  ' ELSE ' ' || substring(content, 1, 20) || ' ' END")} AS value FROM ses)
+    SELECT owner_id, chunk, section, value, place FROM (SELECT *, row_number() OVER (PARTITION BY owner_id, chunk, section ORDER BY pos) AS place
+      FROM r WHERE value <> '') WHERE place <= 12""",
+)
+def cleaned_insights(spark, sf):
+    padded = F.concat(F.lit(" "), F.substring("content", 1, 20), F.lit(" "))
+    raw = tb.sessions(spark, sf).select(
+        "owner_id",
+        F.col("conv_id").alias("chunk"),
+        F.col("role").alias("section"),
+        F.col("turn").alias("pos"),
+        F.when(F.col("turn") % 4 == 0, "  ").otherwise(padded).alias("value"),
+    )
+    return cp.cleaned_insights(raw)
+
+
 def _texts(items) -> str:
     return f"array_to_string(list_filter([{', '.join(items)}], lambda x: x IS NOT NULL), '\n')"
 
