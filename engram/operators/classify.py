@@ -24,7 +24,6 @@ from engram.session import materialize
 
 DIRECT_RULES = 200
 GRAM_SIZES = (10, 8, 6, 5, 4, 3)
-GRAM_BUCKETS = 8192
 
 def _hit(rule: Rule) -> Column:
     return F.struct(F.lit(rule.category).alias("category"), F.lit(rule.weight).cast("bigint").alias("weight"))
@@ -59,12 +58,14 @@ def _by_grams(rules: Sequence[Rule], content: Column) -> list[Column]:
     )
     short = [r for r in rules if len(r.pattern) < size]
     parts = [_found(_constant([_row(r) for r in short], f"array<{_RULE}>"), content)] if short else []
-    buckets: list[list] = [[] for _ in range(GRAM_BUCKETS)]
+    # sparse buckets: a text's runs rarely hit one by chance
+    n = 1 << max(13, (16 * len(rules)).bit_length())
+    buckets: list[list] = [[] for _ in range(n)]
     for rule in rules:
         if len(rule.pattern) >= size:
-            buckets[zlib.crc32(rule.pattern.lower()[:size].encode()) % GRAM_BUCKETS].append(_row(rule))
+            buckets[zlib.crc32(rule.pattern.lower()[:size].encode()) % n].append(_row(rule))
     grams = F.regexp_extract_all(content, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
-    wanted = F.array_distinct(F.transform(grams, lambda g: F.pmod(F.crc32(g), F.lit(GRAM_BUCKETS)).cast("int")))
+    wanted = F.array_distinct(F.transform(grams, lambda g: F.pmod(F.crc32(g), F.lit(n)).cast("int")))
     return [*parts, _found(_bucket_rules(wanted, buckets), content)]
 
 
