@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.llm import near
+from engram.llm import decontaminate, near
 from engram.llm.store import table
 
 
@@ -13,5 +13,32 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op3_near_duplicates,)}
-ORACLES: dict[str, str] = {}
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that repeat ten words of a benchmark item, by a suffix automaton."""
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op3_near_duplicates, op9_decontaminate)}
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP9_SQL = rf'''
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce({_WORDS}, []) AS words FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item_id, {_WORDS} AS words FROM benchmark WHERE text IS NOT NULL),
+iw AS (
+  SELECT DISTINCT item_id, least(len(words), 10) AS n, array_to_string(words[k:k + least(len(words), 10) - 1], ' ') AS win
+  FROM (SELECT item_id, words, unnest(range(1, len(words) - least(len(words), 10) + 2)) AS k FROM i WHERE len(words) > 0)),
+sizes AS (SELECT DISTINCT n FROM iw),
+dw AS (
+  SELECT row_id, k, n, array_to_string(words[k:k + n - 1], ' ') AS win
+  FROM (SELECT row_id, words, n, unnest(range(1, len(words) - n + 2)) AS k FROM d, sizes WHERE len(words) >= n)),
+met AS (SELECT row_id, k, n, item_id FROM dw JOIN iw USING (n, win)),
+hit AS (SELECT row_id, count(DISTINCT p) AS n_hit FROM (SELECT row_id, unnest(range(k, k + n)) AS p FROM met) GROUP BY 1),
+ids AS (SELECT row_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list_distinct(list(item_id))), ',') AS ids
+        FROM met GROUP BY 1)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (row_id) LEFT JOIN ids USING (row_id)'''
+
+ORACLES: dict[str, str] = {"op9_decontaminate": OP9_SQL}
