@@ -306,8 +306,7 @@ def digest(found: DataFrame) -> DataFrame:
     said = lambda spans: F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
     )
-    base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in BASE]))
-    counts = [
-        F.size(F.filter("spans", lambda s, k=r.kind: s["kind"] == k)).cast("long").alias(f"n_{r.kind}") for r in BASE
-    ]
+    of_kind = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    base = of_kind(*[r.kind for r in BASE])
+    counts = [F.size(of_kind(r.kind)).cast("long").alias(f"n_{r.kind}") for r in BASE]
     return found.select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said("spans").alias("spans"))
