@@ -11,18 +11,12 @@ from engram.llm.store import save
 BLOCK_ROWS = 256
 
 
-def star_pairs(rows: DataFrame, key: str = "key", id_: str = "id") -> DataFrame:
-    """(a, b): the smallest id of each key, and each other id of it. Groups are never gathered."""
-    heads = rows.groupBy(key).agg(F.min(id_).alias("a"), F.max(id_).alias("last")).filter("a < last").drop("last")
-    return rows.select(key, F.col(id_).alias("b")).join(heads, key).filter("a < b").select("a", "b").distinct()
-
-
-def cross_pairs(rows: DataFrame, counted: DataFrame, test, columns: list[str]) -> DataFrame:
-    """(a, b) with a < b that share a key, lie in different components and pass ``test(left, right)``.
+def active_rows(rows: DataFrame, counted: DataFrame, test, columns: list[str]) -> DataFrame:
+    """(key, id) of the rows that share their key with a row of another component that passes ``test(left, right)``.
 
     ``rows``: key, id, comp and ``columns``. ``counted``: key, n (rows of that key) for the keys to compare. A group
     of more than BLOCK_ROWS rows is cut into blocks by hash; each pair of blocks is a join key of its own, so one
-    task never meets more than two blocks of a group.
+    task never meets more than two blocks of a group. A semi join stops at the first partner: pairs are not listed.
     """
     blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
     spread = rows.join(counted, "key").select(
@@ -30,16 +24,44 @@ def cross_pairs(rows: DataFrame, counted: DataFrame, test, columns: list[str]) -
     )
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
     spread = spread.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-    left = spread.select(*[F.col(c).alias(f"a_{c}") for c in spread.columns])
-    right = spread.select(*[F.col(c).alias(f"b_{c}") for c in spread.columns])
-    met = [F.col(f"a_{c}") == F.col(f"b_{c}") for c in ("key", "low", "high")]
-    # rows of one block meet under (own, own) only; rows of two blocks under the pair of them only
-    apart = (F.col("a_own") != F.col("b_own")) | (F.col("a_low") == F.col("a_high"))
-    kept = (F.col("a_id") < F.col("b_id")) & (F.col("a_comp") != F.col("b_comp")) & apart
-    condition: Column = test(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))
-    for part in (*met, kept):
-        condition = condition & part
-    return left.join(right, condition).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    left = spread.select(*[F.col(c).alias(f"a_{c}") for c in ("key", "id", "comp", *columns, "low", "high")])
+    right = spread.select(*[F.col(c).alias(f"b_{c}") for c in ("key", "id", "comp", *columns, "low", "high")])
+    condition: Column = F.col("a_comp") != F.col("b_comp")
+    for c in ("key", "low", "high"):
+        condition = condition & (F.col(f"a_{c}") == F.col(f"b_{c}"))
+    condition = condition & test(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))
+    return left.join(right, condition, "left_semi").select(F.col("a_key").alias("key"), F.col("a_id").alias("id"))
+
+
+def blocks_to_compare(rows: DataFrame) -> DataFrame:
+    """(block, id, comp, side) so that every two rows of one ``group`` with different ``comp`` meet in some block.
+
+    ``rows``: id, comp, group, one row for an id. Groups are cut by hash into chunks of about BLOCK_ROWS rows; a component
+    that fills chunks of its own is not compared with itself. A block is two chunks (side 0 and 1), or one (side 0).
+    """
+    sizes = rows.groupBy("group", "comp").agg(F.count("*").alias("n"))
+    label = F.when(F.col("n") > BLOCK_ROWS, F.col("comp"))
+    sizes = sizes.select("group", "comp", label.alias("label"), "n")
+    parts = sizes.groupBy("group", "label").agg(F.ceil(F.sum("n") / BLOCK_ROWS).cast("int").alias("parts"))
+    parts = parts.select(F.col("group").alias("within"), F.col("label").alias("of"), "parts")
+    plan = save(
+        sizes.join(parts, (F.col("group") == F.col("within")) & F.col("label").eqNullSafe(F.col("of"))).select(
+            "group", "comp", "label", "parts"
+        )
+    )
+    chunk = lambda k: F.xxhash64("group", F.coalesce("label", F.lit(0)), F.col("label").isNull(), k)
+    chunks = plan.select("group", "label", "parts").distinct()
+    chunks = chunks.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    chunks = chunks.select("group", "label", chunk(F.col("k")).alias("chunk"))
+    a, b = chunks.alias("a"), chunks.alias("b")
+    alike = F.coalesce(F.col("a.label") == F.col("b.label"), F.lit(False))
+    pairs = a.join(b, (F.col("a.group") == F.col("b.group")) & (F.col("a.chunk") <= F.col("b.chunk")) & ~alike)
+    pairs = pairs.select(F.xxhash64("a.chunk", "b.chunk").alias("block"), F.col("a.chunk").alias("x"), F.col("b.chunk").alias("y"))
+    first = pairs.select("block", F.col("x").alias("chunk"), F.lit(0).alias("side"))
+    second = pairs.filter("x < y").select("block", F.col("y").alias("chunk"), F.lit(1).alias("side"))
+    placed = rows.join(plan, ["group", "comp"])
+    placed = placed.select("id", "comp", chunk(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).alias("chunk"))
+    return first.union(second).join(placed, "chunk").select("block", "id", "comp", "side")
 
 
 def components(links: DataFrame) -> DataFrame:

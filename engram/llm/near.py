@@ -1,15 +1,16 @@
 """Near-duplicate documents by a chosen-path join over word shingles, with every link confirmed on full sets.
 
 1. Documents with the same shingle set form a class (id: a 64-bit hash of the set). Only classes go on.
-2. Star round: classes that share a band of minwise tokens are paired with one head per band. Confirmed pairs join
-   large groups of near copies into components early, in a number of pairs that grows with the rows.
+2. Star rounds: classes that share a band of minwise tokens are paired with one head per band, another one each round.
+   Confirmed pairs join large groups of near copies into components early, in a number of pairs that grows with the rows.
 3. Trees: each tree sends every class down paths. A node picks one or two token positions from its own hash (1.25 on
    average, one over the similarity), and its children are the values found there. A node with few classes is
    compared exhaustively, a larger one is branched again; a node that lies in one component has nothing left to
    find and ends. Independent trees repeat this: a pair at exactly the limit stays together for d levels of one
    tree with a chance of 0.58 (d = 4) to 0.41 (d = 8), so TREES = 16 miss it with a chance below 2e-4.
-4. Pairs whose signatures agree in too few places (five standard deviations below the limit) go no further; the others are
-   confirmed on the full shingle sets, recomputed for their documents only.
+4. A class goes on if some class of another component in its node has a signature that allows the similarity (within
+   five standard deviations). These are compared on their full shingle sets, recomputed for their documents only, in
+   blocks of bounded size, which report links and no other pairs.
 5. Connected components over all confirmed links.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm import words as w
-from engram.llm.graph import components, cross_pairs, star_pairs
+from engram.llm.graph import active_rows, blocks_to_compare, components
 from engram.llm.store import save
 
 POSITIONS = 64
@@ -32,6 +33,7 @@ TREES = 16
 MAX_DEPTH = 8
 LEAF_ROWS = 32
 BANDS, BAND_WIDTH = 8, 6
+STAR_ROUNDS = 3
 
 _MULTIPLIERS = np.random.default_rng(7).integers(0, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SKETCH = [f"s{k}" for k in range(POSITIONS // 8)]
@@ -116,21 +118,92 @@ def _plausible(percent: int):
     return test
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of class ids whose full sets are similar enough."""
-    pairs = save(pairs)
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    heads = classes.join(ids, "id").select(F.col("doc_id").alias("head")).distinct()
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose signatures and set sizes allow the similarity."""
+    sides = [classes.select(*[F.col(c).alias(f"{side}_{c}") for c in ("id", "n_shingles", *_SKETCH)]) for side in "ab"]
+    both = pairs.join(sides[0], F.col("a") == F.col("a_id")).join(sides[1], F.col("b") == F.col("b_id"))
+    return both.filter(_plausible(percent)(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))).select("a", "b")
+
+
+def _full(ids: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """id, members (the whole shingle set) of the classes in ``ids``, from the text of one document each."""
+    heads = classes.join(ids, "id", "left_semi").select(F.col("doc_id").alias("head")).distinct()
     texts = docs.join(heads, docs["doc_id"].eqNullSafe(F.col("head")), "left_semi").select("text")
-    sets = save(texts.mapInArrow(_full_sets(size), "id long, members array<long>").dropDuplicates(["id"]))
+    return save(texts.mapInArrow(_full_sets(size), "id long, members array<long>").dropDuplicates(["id"]))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
     left = sets.select(F.col("id").alias("a"), F.col("members").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("members").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("shared", shared)
+    both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
     union = F.size("x") + F.size("y") - F.col("shared")
     return save(both.filter(100 * F.col("shared") >= percent * union).select("a", "b"))
 
 
+def _block_links(percent: int):
+    """Links between rows of a block that lie on different sides (or in one chunk) and in different components.
+
+    A row is compared with one row after another until it is linked; what is linked already is not compared again.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by([("side", "ascending"), ("id", "ascending")])
+        ids, comps = table["id"].to_numpy(), table["comp"].to_numpy().copy()
+        lists = table["members"].combine_chunks()
+        flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+        count = np.diff(offsets)
+        owner = np.repeat(np.arange(len(ids)), count)
+        order = np.argsort(flat, kind="stable")
+        new = np.concatenate([[True], np.diff(flat[order]) != 0]) if len(flat) else np.zeros(0, bool)
+        element = np.empty(len(flat), np.int64)
+        element[order] = np.cumsum(new) - 1
+        holders, start = owner[order], np.concatenate([np.flatnonzero(new), [len(flat)]])
+        split = int((table["side"].to_numpy() == 0).sum())
+        found = []
+        # each row of the first side against all rows of the second, or all later rows of one chunk
+        for k in range(split):
+            low = split if split < len(ids) else k + 1
+            own = element[offsets[k] : offsets[k + 1]]
+            met = np.concatenate([holders[start[e] : start[e + 1]] for e in own]) if len(own) else np.zeros(0, np.int64)
+            shared = np.bincount(met, minlength=len(ids))
+            near = np.flatnonzero(100 * shared[low:] >= percent * (count[k] + count[low:] - shared[low:])) + low
+            for j in near:
+                if comps[j] != comps[k]:
+                    found.append((ids[k], ids[j]))
+                    comps[comps == comps[j]] = comps[k]
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _with_comp(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    return rows.join(groups, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+
+def _star_rounds(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(id, comp) of classes that confirmed star pairs join, and the full sets read for them.
+
+    Each round draws another head for each band and pairs it with the classes of the band outside its component.
+    """
+    bands = [F.xxhash64(F.lit(k), F.slice("sig", k * BAND_WIDTH + 1, BAND_WIDTH)) for k in range(BANDS)]
+    banded = classes.select("id", F.explode(F.array(*bands)).alias("key"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    banded = save(banded.join(shared, "key"))
+    sets = _full(banded.select("id").distinct(), classes, docs, size)
+    groups = classes.limit(0).select("id", F.col("id").alias("comp"))
+    for k in range(STAR_ROUNDS):
+        rows = _with_comp(banded, groups)
+        drawn = F.struct(F.xxhash64("id", F.lit(k)).alias("by"), F.col("id").alias("head"), F.col("comp").alias("of"))
+        heads = rows.groupBy("key").agg(F.min(drawn).alias("m")).select("key", "m.head", "m.of")
+        pairs = rows.join(heads, "key").filter("comp != of")
+        pairs = pairs.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+        links = _linked(_likely(pairs, classes, percent), sets, percent)
+        groups = components(links.union(groups.toDF("a", "b")))
+    return groups, sets
+
+
 def _token(node: Column, depth: int, k: int) -> tuple[Column, Column]:
     position = F.pmod(F.xxhash64(node, F.lit(depth), F.lit(k)), F.lit(POSITIONS)).cast("int")
     return position, F.xxhash64(node, F.lit(depth), position, F.get("sig", position))
@@ -145,8 +218,8 @@ def _branches(depth: int) -> Column:
     return F.explode(F.when(twice, F.array(first, second)).otherwise(F.array(first)))
 
 
-def _tree_pairs(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes in different components that meet in a small node of any tree."""
+def _tree_rows(classes: DataFrame, percent: int) -> DataFrame:
+    """(key, id) of classes that meet a likely partner of another component in a small node of any tree."""
     rows = classes.select("id", "comp", "sig", F.explode(F.sequence(F.lit(1), F.lit(TREES)).cast("array<long>")).alias("node"))
     leaves = []
     for depth in range(1, MAX_DEPTH + 1):
@@ -162,7 +235,7 @@ def _tree_pairs(classes: DataFrame, percent: int) -> DataFrame:
     members = reduce(DataFrame.union, [leaf for leaf, _ in leaves])
     counted = reduce(DataFrame.union, [small for _, small in leaves]).select(F.col("node").alias("key"), "n")
     members = members.join(classes.select("id", "n_shingles", *_SKETCH), "id")
-    return cross_pairs(members, counted, _plausible(percent), ["n_shingles", *_SKETCH])
+    return active_rows(members, counted, _plausible(percent), ["n_shingles", *_SKETCH])
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -177,33 +250,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     docs = docs.select("doc_id", "text")
     schema = ", ".join(f"{s} long" for s in _SKETCH)
     found = save(docs.mapInArrow(_signatures(size), f"doc_id long, n_shingles long, id long, sig array<int>, {schema}"))
-    one = found.filter("id is not null").groupBy("id")
-    classes = one.agg(F.min("doc_id").alias("doc_id"))
-    full = found.filter("id is not null").alias("f").join(
-        classes.alias("c"), (F.col("f.id") == F.col("c.id")) & F.col("f.doc_id").eqNullSafe(F.col("c.doc_id"))
-    )
-    classes = save(full.select("f.id", "f.doc_id", "f.n_shingles", "f.sig", *_SKETCH).dropDuplicates(["id"]))
-
-    banded = classes.select(
-        "id",
-        F.posexplode(
-            F.array(*[F.xxhash64(F.lit(k), F.slice("sig", k * BAND_WIDTH + 1, BAND_WIDTH)) for k in range(BANDS)])
-        ).alias("band", "key"),
-    )
-    stars = star_pairs(banded)
-    a, b = classes.select(*[F.col(c).alias(f"a_{c}") for c in classes.columns]), classes.select(
-        *[F.col(c).alias(f"b_{c}") for c in classes.columns]
-    )
-    test = _plausible(percent)(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))
-    stars = stars.join(a, F.col("a") == F.col("a_id")).join(b, F.col("b") == F.col("b_id")).filter(test).select("a", "b")
-    stars = _confirm(stars, classes, docs, size, percent)
-    early = components(stars)
-    rows = save(
-        classes.join(early, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    )
-    links = _confirm(_tree_pairs(rows, percent), classes, docs, size, percent).union(stars)
-    groups = components(links)
-    classes = classes.select("id", "doc_id").join(groups, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    same = ["n_shingles", "sig", *_SKETCH]  # equal for all rows of a class
+    one = found.filter("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in same])
+    classes = save(one)
+    groups, sets = _star_rounds(classes, docs, size, percent)
+    rows = save(_with_comp(classes, groups))
+    met = save(_tree_rows(rows, percent).distinct())
+    heads = met.groupBy("key").agg(F.min("id").alias("head"))
+    wide = components(met.join(heads, "key").select(F.col("id").alias("a"), F.col("head").alias("b")))
+    wide = wide.select("id", F.col("comp").alias("group")).join(rows.select("id", "comp"), "id")
+    more = _full(wide.select("id").join(sets, "id", "left_anti"), classes, docs, size)
+    blocks = blocks_to_compare(save(wide)).join(sets.union(more), "id")
+    links = blocks.select("block", "side", "id", "comp", "members").groupBy("block").applyInArrow(_block_links(percent), "a long, b long")
+    groups = components(links.union(groups.toDF("a", "b")))
+    classes = _with_comp(classes.select("id", "doc_id"), groups)
     least = classes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     classes = classes.join(least, "comp").select("id", "component_id")
     out = found.select("doc_id", "n_shingles", "id").join(classes, "id", "left")
