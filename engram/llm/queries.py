@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.llm import decontaminate, near, secrets
+from engram.llm import decontaminate, mixing, near, secrets
 from engram.llm.store import small_batches, table
 
 
@@ -18,6 +18,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secrets(table(spark, sf_dir, "documents")))
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources takes of each document, by the cube method."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that repeat ten words of a benchmark item, by a suffix automaton."""
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -36,6 +41,7 @@ QUERIES = {
     f.__name__: _registered(f)
     for f in (
         op3_near_duplicates,
+        op6_mix_sources,
         op9_decontaminate,
         op10_secrets,
     )
