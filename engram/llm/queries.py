@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.llm import decontaminate, mixing, near, secrets
+from engram.llm import decontaminate, mixing, near, secrets, toxicity
 from engram.llm.store import small_batches, table
 
 
@@ -23,6 +23,11 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text by boosted trees, calibrated."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that repeat ten words of a benchmark item, by a suffix automaton."""
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -42,6 +47,7 @@ QUERIES = {
     for f in (
         op3_near_duplicates,
         op6_mix_sources,
+        op7_toxicity,
         op9_decontaminate,
         op10_secrets,
     )
