@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.llm import decontaminate, mixing, near, secrets, toxicity
+from engram.llm import decontaminate, lines, mixing, near, secrets, toxicity
 from engram.llm.store import small_batches, table
 
 
@@ -18,6 +18,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secrets(table(spark, sf_dir, "documents")))
 
 
+def op5_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat, exactly or nearly, a line kept elsewhere."""
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all sources takes of each document, by the cube method."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -46,6 +51,7 @@ QUERIES = {
     f.__name__: _registered(f)
     for f in (
         op3_near_duplicates,
+        op5_dedup_lines,
         op6_mix_sources,
         op7_toxicity,
         op9_decontaminate,
