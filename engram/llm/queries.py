@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.llm import decontaminate, lines, mixing, near, secrets, toxicity
+from engram.llm import decontaminate, html_text, lines, mixing, near, secrets, toxicity, urls
 from engram.llm.store import small_batches, table
 
 
@@ -18,6 +18,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secrets(table(spark, sf_dir, "documents")))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Allow or block every page by rules, or by boosted trees on the spelling of its URL."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op5_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that repeat, exactly or nearly, a line kept elsewhere."""
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -33,6 +38,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by line-block distribution."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that repeat ten words of a benchmark item, by a suffix automaton."""
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -51,9 +61,11 @@ QUERIES = {
     f.__name__: _registered(f)
     for f in (
         op3_near_duplicates,
+        op4_url_filter,
         op5_dedup_lines,
         op6_mix_sources,
         op7_toxicity,
+        op8_html_text,
         op9_decontaminate,
         op10_secrets,
     )
