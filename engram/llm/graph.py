@@ -14,17 +14,19 @@ BLOCK_ROWS = 256
 def active_rows(rows: DataFrame, counted: DataFrame, test, columns: list[str]) -> DataFrame:
     """(key, id) of the rows that share their key with a row of another component that passes ``test(left, right)``.
 
-    ``rows``: key, id, comp and ``columns``. ``counted``: key, n (rows of that key) for the keys to compare. A group
+    ``rows``: key, id, comp, rank and ``columns``. ``counted``: key, n (rows of that key), top, for the keys to compare. Rows whose
+    rank is the top of their key (over 0) are partners only: one large component in a key is not listed. A group
     of more than BLOCK_ROWS rows is cut into blocks by hash; each pair of blocks is a join key of its own, so one
     task never meets more than two blocks of a group. A semi join stops at the first partner: pairs are not listed.
     """
     blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
     spread = rows.join(counted, "key").select(
-        "key", "id", "comp", *columns, F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"), blocks.alias("of")
+        "key", "id", "comp", *columns, F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"), blocks.alias("of"),
+        ((F.col("rank") > 0) & (F.col("rank") == F.col("top"))).alias("is_top"),
     )
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
     spread = spread.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-    left = spread.select(*[F.col(c).alias(f"a_{c}") for c in ("key", "id", "comp", *columns, "low", "high")])
+    left = spread.filter(~F.col("is_top")).select(*[F.col(c).alias(f"a_{c}") for c in ("key", "id", "comp", *columns, "low", "high")])
     right = spread.select(*[F.col(c).alias(f"b_{c}") for c in ("key", "id", "comp", *columns, "low", "high")])
     condition: Column = F.col("a_comp") != F.col("b_comp")
     for c in ("key", "low", "high"):

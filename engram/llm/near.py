@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm import words as w
-from engram.llm.graph import active_rows, blocks_to_compare, components
+from engram.llm.graph import BLOCK_ROWS, active_rows, blocks_to_compare, components
 from engram.llm.store import save
 
 POSITIONS = 64
@@ -218,24 +218,28 @@ def _branches(depth: int) -> Column:
     return F.explode(F.when(twice, F.array(first, second)).otherwise(F.array(first)))
 
 
-def _tree_rows(classes: DataFrame, percent: int) -> DataFrame:
-    """(key, id) of classes that meet a likely partner of another component in a small node of any tree."""
-    rows = classes.select("id", "comp", "sig", F.explode(F.sequence(F.lit(1), F.lit(TREES)).cast("array<long>")).alias("node"))
+def _tree_rows(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(key, id) of classes that meet a likely partner of another component in a node of any tree; all nodes (key, n, top).
+
+    Classes of the component with the top rank of a node are not listed, only their partners.
+    """
+    rows = classes.select("id", "comp", "rank", "sig", F.explode(F.sequence(F.lit(1), F.lit(TREES)).cast("array<long>")).alias("node"))
     leaves = []
     for depth in range(1, MAX_DEPTH + 1):
-        rows = save(rows.select("id", "comp", _branches(depth).alias("node")))
-        nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"))
-        nodes = save(nodes.filter("n > 1 and x < y").select("node", "n"))
+        rows = save(rows.select("id", "comp", "rank", _branches(depth).alias("node")))
+        nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("rank").alias("top"))
+        nodes = save(nodes.filter("n > 1 and x < y").select("node", "n", "top"))
         small = nodes.filter(F.col("n") <= LEAF_ROWS) if depth < MAX_DEPTH else nodes
-        leaves.append((rows.join(small, "node").select(F.col("node").alias("key"), "id", "comp"), small))
+        leaves.append((rows.join(small, "node").select(F.col("node").alias("key"), "id", "comp", "rank"), small))
         large = nodes.filter(F.col("n") > LEAF_ROWS)
         if depth == MAX_DEPTH or large.isEmpty():
             break
-        rows = rows.join(large, "node").select("id", "node").join(classes.select("id", "comp", "sig"), "id")
+        rows = rows.join(large, "node").select("id", "node").join(classes.select("id", "comp", "rank", "sig"), "id")
     members = reduce(DataFrame.union, [leaf for leaf, _ in leaves])
-    counted = reduce(DataFrame.union, [small for _, small in leaves]).select(F.col("node").alias("key"), "n")
+    counted = reduce(DataFrame.union, [small for _, small in leaves]).select(F.col("node").alias("key"), "n", "top")
     members = members.join(classes.select("id", "n_shingles", *_SKETCH), "id")
-    return active_rows(members, counted, _plausible(percent), ["n_shingles", *_SKETCH])
+    met = save(active_rows(members, counted, _plausible(percent), ["n_shingles", *_SKETCH]).distinct())
+    return met, counted
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -254,11 +258,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     one = found.filter("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in same])
     classes = save(one)
     groups, sets = _star_rounds(classes, docs, size, percent)
-    rows = save(_with_comp(classes, groups))
-    met = save(_tree_rows(rows, percent).distinct())
-    heads = met.groupBy("key").agg(F.min("id").alias("head"))
-    wide = components(met.join(heads, "key").select(F.col("id").alias("a"), F.col("head").alias("b")))
-    wide = wide.select("id", F.col("comp").alias("group")).join(rows.select("id", "comp"), "id")
+    rows = _with_comp(classes, groups)
+    # large components get a rank by size, a hash tells equal sizes apart
+    large = rows.groupBy("comp").agg(F.count("*").alias("n")).filter(F.col("n") >= BLOCK_ROWS)
+    order = F.least("n", F.lit(1 << 22)) * F.lit(1 << 40) + F.pmod(F.xxhash64("comp"), F.lit(1 << 40))
+    large = save(large.select("comp", order.alias("rank")))
+    rows = save(rows.join(large, "comp", "left").withColumn("rank", F.coalesce("rank", F.lit(0).cast("long"))))
+    met, nodes = _tree_rows(rows, percent)
+    # components that may be linked: those that meet in a node, and the top one of that node
+    met = met.join(rows.select("id", "comp"), "id").select("key", "comp").distinct()
+    heads = met.groupBy("key").agg(F.min("comp").alias("head"))
+    tops = nodes.filter("top > 0").join(large.withColumnRenamed("comp", "of"), F.col("top") == F.col("rank")).select("key", "of")
+    pairs = met.join(heads, "key").select("comp", "head").union(met.join(tops, "key").select("comp", "of"))
+    wide = components(pairs.toDF("a", "b")).select(F.col("id").alias("comp"), F.col("comp").alias("group"))
+    wide = rows.select("id", "comp").join(wide, "comp")
     more = _full(wide.select("id").join(sets, "id", "left_anti"), classes, docs, size)
     blocks = blocks_to_compare(save(wide)).join(sets.union(more), "id")
     links = blocks.select("block", "side", "id", "comp", "members").groupBy("block").applyInArrow(_block_links(percent), "a long, b long")

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.llm import decontaminate, html_text, lines, mixing, near, secrets, toxicity, urls
+from engram.llm import decontaminate, html_text, lines, mixing, near, quality, secrets, toxicity, urls
 from engram.llm.store import small_batches, table
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text by a linear scorer trained on weak labels."""
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share at least 80 % of their two-word shingles, by chosen paths."""
     return near.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
@@ -60,6 +65,7 @@ def _registered(query):
 QUERIES = {
     f.__name__: _registered(f)
     for f in (
+        op2_quality,
         op3_near_duplicates,
         op4_url_filter,
         op5_dedup_lines,
