@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm import words as w
-from engram.llm.store import save
+from engram.llm.store import Shared, save
 
 #: Words of one automaton, apart from one last item; its states take about 0.7 KB a word.
 MAX_WORDS = 100_000
@@ -156,9 +156,9 @@ def merged(spans: list[tuple]) -> list[tuple]:
     return out
 
 
-def _scan(broadcast, columns: list[str], again: bool):
+def _scan(shared, columns: list[str], again: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = broadcast.value
+        scanner = shared.value
         for batch in batches:
             for low, words in w.chunks(batch.column("text"), w.ALNUM):
                 n, bounds = words.n, words.bounds()
@@ -210,7 +210,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, keep: tuple
         # the text goes on only where it is kept or another part must read it
         columns = list(dict.fromkeys([*keep, "text"] if k < parts - 1 else keep))
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-        run = _scan(docs.sparkSession.sparkContext.broadcast(scanner), columns, again=k > 0)
+        run = _scan(Shared(docs.sparkSession, scanner), columns, again=k > 0)
         found = found.mapInArrow(run, f"{schema}, n_words long, spans {SPANS}, items array<string>")
     return found
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm import words as w
+from engram.llm.store import Shared
 
 # ---- regex trees -------------------------------------------------------------------------------------------------
 Node = tuple
@@ -264,9 +265,9 @@ class Scanner:
         return sorted(out)
 
 
-def _scan(broadcast):
+def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner: Scanner = broadcast.value
+        scanner = shared.value
         start = scanner.link()
         kinds = [r.kind for r in scanner.rules]
         for batch in batches:
@@ -295,7 +296,7 @@ def secrets(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
 
     A null or empty text has no spans; every row gives one row. Rules are BASE and MORE unless given.
     """
-    scanner = docs.sparkSession.sparkContext.broadcast(Scanner(rules or BASE + MORE))
+    scanner = Shared(docs.sparkSession, Scanner(rules or BASE + MORE))
     kinds = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kinds}, spans array<struct<kind: string, start: long, end: long>>"
     return docs.select("doc_id", "text").mapInArrow(_scan(scanner), schema)
