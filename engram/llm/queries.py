@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from engram.llm import decontaminate, html_text, lines, mixing, near, quality, secrets, toxicity, urls
+from engram.llm import ann, decontaminate, html_text, lines, mixing, near, quality, secrets, toxicity, urls
 from engram.llm.store import small_batches, table
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector, by beam search in pruned graphs."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every text by a linear scorer trained on weak labels."""
     return quality.quality(table(spark, sf_dir, "documents"))
@@ -65,6 +71,7 @@ def _registered(query):
 QUERIES = {
     f.__name__: _registered(f)
     for f in (
+        op1_nearest,
         op2_quality,
         op3_near_duplicates,
         op4_url_filter,
