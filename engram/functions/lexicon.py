@@ -43,8 +43,8 @@ def mentions(lowered: Column, pattern: str) -> Column:
     Plain words become substring tests, tens of times cheaper than a long alternation; only the alternatives
     that need it stay regular expressions.
     """
-    parts = [q for p in alternatives(pattern.lower()) for q in (alternatives(p) if p.startswith("(") else [p])]
-    words = [p for p in dict.fromkeys(parts) if not _META.search(p)]
+    parts = [q for p in alternatives(pattern) for q in (alternatives(p) if p.startswith("(") else [p])]
+    words = [p.lower() for p in dict.fromkeys(parts) if not _META.search(p)]
     rest = [p for p in dict.fromkeys(parts) if _META.search(p)]
 
     def test(text: Column) -> Column:
@@ -53,7 +53,7 @@ def mentions(lowered: Column, pattern: str) -> Column:
             listed = F.from_json(F.lit(json.dumps(words)), "array<string>")
             out = F.exists(listed, lambda w: F.contains(text, w))
         if rest:
-            by_regex = text.rlike(jvm_regex("|".join(rest)))
+            by_regex = text.rlike("(?iu)" + jvm_regex("|".join(rest)))  # not lowered: \S and \s differ
             out = out | by_regex if words else by_regex
         return out
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zoneinfo
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -221,9 +222,25 @@ def day_key(c: Column) -> Column:
     return F.when(head.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), head).otherwise(F.lit("unknown-date"))
 
 
+def _zone(tz: Column) -> Column:
+    return F.when(F.length(trimmed(F.coalesce(tz, F.lit("")))) > 0, trimmed(tz)).otherwise(F.lit("UTC"))
+
+
+def _known_zone(zone: Column) -> Column:
+    """Whether a zone is in the IANA table; a name that Java does not know must not reach the conversion."""
+    return zone.isin(sorted(zoneinfo.available_timezones() - {"localtime", "Factory", "posixrules"}))
+
+
 def request_day_key(ts: Column, tz: Column) -> Column:
-    zone = F.when(F.length(trimmed(F.coalesce(tz, F.lit("")))) > 0, trimmed(tz)).otherwise(F.lit("UTC"))
-    return F.concat(F.date_format(F.from_utc_timestamp(ts, zone), "yyyy-MM-dd"), F.lit("@"), zone)
+    """Local day and zone of a request; null for an unknown zone."""
+    zone = _zone(tz)
+    local = F.date_format(F.from_utc_timestamp(ts, zone), "yyyy-MM-dd")
+    return F.when(_known_zone(zone), F.concat(local, F.lit("@"), zone))
+
+
+def request_zone_error(tz: Column) -> Column:
+    """``INVALID_TIMEZONE`` for a zone that does not exist, else null."""
+    return F.when(~_known_zone(_zone(tz)), F.lit("INVALID_TIMEZONE"))
 
 
 def iso(c: Column) -> Column:

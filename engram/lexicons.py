@@ -26,45 +26,56 @@ def bounded(body: str) -> str:
 
 
 # --- fixed values: facet stop words ------------------------------------------
-FACET_STOPWORDS_EN = (
-    "a am an and are as at be been being but by can could did do does done for from had has have "
-    "he her hers herself him himself his i if in into is it its itself may me might mine my myself "
-    "of on or our ours ourselves shall she should so than that the their theirs them themselves "
-    "then there these they this those to too us very was we were what when where which who whom "
-    "why will with would you your yours yourself yourselves"
-).split()
-FACET_STOPWORDS_ZH = (
-    "的 了 和 是 在 我 也 一个 一些 一样 一直 一下 一种 一般 不是 不会 不能 不用 不过 他们 她们 它们 "
-    "你们 我们 你 你的 你们的 他 他的 他们的 她 她的 她们的 它 它的 我的 我们的 自己 以及 因为 所以 如果 "
-    "但是 并且 而且 或者 然后 还有 已经 还是 可以 可能 没有 就是 其实 比较 非常 特别 这样 那样 这个 那个 "
-    "这些 那些 这里 那里 什么 的话 时候"
-).split()
+FACET_STOPWORDS_EN = [
+    "a", "am", "an", "and", "are", "as", "at", "be", "been", "being", "but", "by", "can", "could", "did",
+    "do", "does", "done", "for", "from", "had", "has", "have", "he", "her", "hers", "herself", "him",
+    "himself", "his", "i", "if", "in", "into", "is", "it", "its", "itself", "may", "me", "might", "mine",
+    "my", "myself", "of", "on", "or", "our", "ours", "ourselves", "shall", "she", "should", "so", "than",
+    "that", "the", "their", "theirs", "them", "themselves", "then", "there", "these", "they", "this", "those",
+    "to", "too", "us", "very", "was", "we", "were", "what", "when", "where", "which", "who", "whom", "why",
+    "will", "with", "would", "you", "your", "yours", "yourself", "yourselves",
+]
+FACET_STOPWORDS_ZH = [
+    "的", "了", "和", "是", "在", "我", "也", "一个", "一些", "一样", "一直", "一下", "一种", "一般", "不是", "不会", "不能", "不用", "不过",
+    "他们", "她们", "它们", "你们", "我们", "你", "你的", "你们的", "他", "他的", "他们的", "她", "她的", "她们的", "它", "它的", "我的",
+    "我们的", "自己", "以及", "因为", "所以", "如果", "但是", "并且", "而且", "或者", "然后", "还有", "已经", "还是", "可以", "可能", "没有",
+    "就是", "其实", "比较", "非常", "特别", "这样", "那样", "这个", "那个", "这些", "那些", "这里", "那里", "什么", "的话", "时候",
+]
 FACET_STOPWORDS = FACET_STOPWORDS_EN + FACET_STOPWORDS_ZH
 
 # --- fixed values: corpus stop words -----------------------------------------
-THEME_STOPWORDS_EN = (
-    "the and for with from into that this have has had been were was will would should could there "
-    "their about after before because while where when what which then than them they your ours "
-    "ourselves myself herself himself itself user users agent assistant self team project task "
-    "system memory workflow workflows group thing things item items info information data using "
-    "used use like just more less very also over under through across within without each every"
-).split()
-THEME_STOPWORDS_ZH = (
-    "的 了 和 是 在 与 及 一个 这个 那个 需要 可以 进行 通过 我们 他们 自己 用户 团队 项目 系统 记忆 工作流 "
-    "一些 这种 这个人 这个团队 事情 内容 信息 数据 以及 然后 这里"
-).split()
+THEME_STOPWORDS_EN = [
+    "the", "and", "for", "with", "from", "into", "that", "this", "have", "has", "had", "been", "were", "was",
+    "will", "would", "should", "could", "there", "their", "about", "after", "before", "because", "while",
+    "where", "when", "what", "which", "then", "than", "them", "they", "your", "ours", "ourselves", "myself",
+    "herself", "himself", "itself", "user", "users", "agent", "assistant", "self", "team", "project", "task",
+    "system", "memory", "workflow", "workflows", "group", "thing", "things", "item", "items", "info",
+    "information", "data", "using", "used", "use", "like", "just", "more", "less", "very", "also", "over",
+    "under", "through", "across", "within", "without", "each", "every",
+]
+THEME_STOPWORDS_ZH = [
+    "的", "了", "和", "是", "在", "与", "及", "一个", "这个", "那个", "需要", "可以", "进行", "通过", "我们", "他们", "自己", "用户", "团队",
+    "项目", "系统", "记忆", "工作流", "一些", "这种", "这个人", "这个团队", "事情", "内容", "信息", "数据", "以及", "然后", "这里",
+]
 THEME_DENYLIST = THEME_STOPWORDS_EN + THEME_STOPWORDS_ZH + ["end"]
 ENTITY_DENYLIST = THEME_STOPWORDS_EN + THEME_STOPWORDS_ZH + ["platform"]
-PROJECT_TAG_DENYLIST = "work plan task tasks project projects memory workflow agent user".split()
+PROJECT_TAG_DENYLIST = [
+    "work", "plan", "task", "tasks", "project", "projects", "memory", "workflow", "agent", "user",
+]
 
 # --- fixed values: dictionaries for substring hits ---------------------------
 # Deployment-specific product names are not listed; pass them as extra terms.
-TOOL_TERMS = (
-    "react typescript javascript node go python docker kubernetes mysql redis neovim vscode github "
-    "gitlab openai qwen claude terraform prometheus grafana feishu"
-).split()
-PLACE_TERMS = "shanghai beijing singapore tokyo office home hangzhou".split()
-TEAM_HINTS = "backend frontend platform security sales product".split()
+TOOL_TERMS = [
+    "react", "typescript", "javascript", "node", "go", "python", "docker", "kubernetes", "mysql", "redis",
+    "neovim", "vscode", "github", "gitlab", "openai", "qwen", "claude", "terraform", "prometheus", "grafana",
+    "feishu",
+]
+PLACE_TERMS = [
+    "shanghai", "beijing", "singapore", "tokyo", "office", "home", "hangzhou",
+]
+TEAM_HINTS = [
+    "backend", "frontend", "platform", "security", "sales", "product",
+]
 
 # --- fixed values: relation patterns (group 1 is the target) -----------------
 RELATION_TARGET = f"([A-Z][a-z]+(?:{WS_RUN}[A-Z][a-z]+)?)"
@@ -163,13 +174,19 @@ DUPLICATE_REASON = "Duplicate content matched the canonical memory in this clust
 TRUNCATION_MARK = "\n\n[...content truncated...]\n\n"
 
 # --- fixed values: category order and fallback tests -------------------------
-CATEGORY_PRIORITY = (
-    "policy privacy_safety incident_risk status_metric system_config environment_runtime artifact command_tool "
-    "deployment debugging coding automation communication collaboration plan decision project learning task activity "
-    "schedule relationship profile identity preference emotion health_wellbeing life_log experience"
-).split()
-LEGACY_CATEGORIES = "identity emotion preference experience activity".split()
-DEFAULT_CATEGORIES = "task activity project experience".split()
+CATEGORY_PRIORITY = [
+    "policy", "privacy_safety", "incident_risk", "status_metric", "system_config", "environment_runtime",
+    "artifact", "command_tool", "deployment", "debugging", "coding", "automation", "communication",
+    "collaboration", "plan", "decision", "project", "learning", "task", "activity", "schedule",
+    "relationship", "profile", "identity", "preference", "emotion", "health_wellbeing", "life_log",
+    "experience",
+]
+LEGACY_CATEGORIES = [
+    "identity", "emotion", "preference", "experience", "activity",
+]
+DEFAULT_CATEGORIES = [
+    "task", "activity", "project", "experience",
+]
 UNMATCHED_CONFIDENCE = 0.35
 # (pattern on the space-joined facet tokens, preferred categories in order)
 FALLBACK_TESTS = (
@@ -211,34 +228,37 @@ FALLBACK_TESTS = (
     (r"(生活|旅行|餐厅|跑步|做饭|雍和宫|daily life|travel|restaurant|running|cooking)", ("life_log", "experience")),
     (r"(经历过|参加了|去过|第一次|tried|attended|went to|first time)", ("experience", "life_log")),
 )
-HIGH_VALUE_REGEX_CATEGORIES = (
-    "policy plan debugging automation system_config environment_runtime artifact status_metric"
-).split()
+HIGH_VALUE_REGEX_CATEGORIES = [
+    "policy", "plan", "debugging", "automation", "system_config", "environment_runtime", "artifact",
+    "status_metric",
+]
 
 # --- fixed values: period dimensions -----------------------------------------
-DIMENSIONS = "long_term_goal focus_area emotion preference_signal growth_signal".split()
+DIMENSIONS = [
+    "long_term_goal", "focus_area", "emotion", "preference_signal", "growth_signal",
+]
 
 # --- fixed values: status machines and report states -------------------------
 JOB_TRANSITIONS = {
-    "CREATED": "UPLOADING CANCELLED EXPIRED",
-    "UPLOADING": "PROCESSING PARTIAL CANCELLED FAILED EXPIRED",
-    "PROCESSING": "PARTIAL COMPLETED PARTIAL_FAILED FAILED CANCELLED EXPIRED",
-    "PARTIAL": "PROCESSING COMPLETED PARTIAL_FAILED FAILED CANCELLED EXPIRED",
-    "COMPLETED": "",
-    "PARTIAL_FAILED": "PROCESSING FAILED CANCELLED EXPIRED",
-    "FAILED": "",
-    "CANCELLED": "",
-    "EXPIRED": "",
+    "CREATED": ("UPLOADING", "CANCELLED", "EXPIRED"),
+    "UPLOADING": ("PROCESSING", "PARTIAL", "CANCELLED", "FAILED", "EXPIRED"),
+    "PROCESSING": ("PARTIAL", "COMPLETED", "PARTIAL_FAILED", "FAILED", "CANCELLED", "EXPIRED"),
+    "PARTIAL": ("PROCESSING", "COMPLETED", "PARTIAL_FAILED", "FAILED", "CANCELLED", "EXPIRED"),
+    "COMPLETED": (),
+    "PARTIAL_FAILED": ("PROCESSING", "FAILED", "CANCELLED", "EXPIRED"),
+    "FAILED": (),
+    "CANCELLED": (),
+    "EXPIRED": (),
 }
 BATCH_TRANSITIONS = {
-    "EXPECTED": "UPLOADED FAILED",
-    "UPLOADED": "QUEUED FAILED",
-    "QUEUED": "RUNNING RETRYING FAILED DLQ",
-    "RUNNING": "SUCCEEDED FAILED RETRYING DLQ",
-    "SUCCEEDED": "",
-    "FAILED": "RETRYING DLQ",
-    "RETRYING": "RUNNING FAILED DLQ",
-    "DLQ": "",
+    "EXPECTED": ("UPLOADED", "FAILED"),
+    "UPLOADED": ("QUEUED", "FAILED"),
+    "QUEUED": ("RUNNING", "RETRYING", "FAILED", "DLQ"),
+    "RUNNING": ("SUCCEEDED", "FAILED", "RETRYING", "DLQ"),
+    "SUCCEEDED": (),
+    "FAILED": ("RETRYING", "DLQ"),
+    "RETRYING": ("RUNNING", "FAILED", "DLQ"),
+    "DLQ": (),
 }
 ACTIVE_JOB_STATUSES = ("UPLOADING", "PROCESSING", "PARTIAL")
 RUNNING_REPORT_STATUSES = ("QUEUED", "PREPARING", "ANALYZING", "SYNTHESIZING")

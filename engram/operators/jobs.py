@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +23,7 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataF
 
 
 def allowed_pairs(transitions: dict[str, str]) -> list[str]:
-    return [f"{a}>{b}" for a, bs in transitions.items() for b in bs.split()]
+    return [f"{a}>{b}" for a, bs in transitions.items() for b in bs]
 
 
 def transition_violations(
@@ -329,16 +327,16 @@ def ordered_calls(calls: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> Dat
     ).drop("stage_rank")
 
 
-def hashed_owner(column: str, pepper: str):
-    """HMAC-SHA256 of a key column as hex: Arrow batches, because the JVM side has no HMAC."""
+def hmac_keys(pepper: str) -> tuple[str, str]:
+    """The 64-byte inner and outer key of HMAC-SHA256, as hex; a longer pepper is hashed first."""
     secret = pepper.encode()
-
-    @F.pandas_udf("string")
-    def digest(keys: pd.Series) -> pd.Series:
-        return keys.map(
-            lambda k: None if k is None else hmac.new(secret, k.encode(), hashlib.sha256).hexdigest()
-        )
-
-    return digest(F.col(column))
+    secret = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    return bytes(b ^ 0x36 for b in secret).hex(), bytes(b ^ 0x5C for b in secret).hex()
 
 
+def hashed_owner(column: str, pepper: str) -> Column:
+    """HMAC-SHA256 of a key column as hex: two rounds of SHA-256 behind constant keys. Null stays null."""
+    inner, outer = hmac_keys(pepper)
+    message = F.encode(F.col(column), "utf-8")
+    first = F.sha2(F.concat(F.unhex(F.lit(inner)), message), 256)
+    return F.sha2(F.concat(F.unhex(F.lit(outer)), F.unhex(first)), 256)

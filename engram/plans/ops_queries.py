@@ -89,7 +89,13 @@ def owner_activity(spark, sf):
     return jb.owner_activity(audit, owners).select("owner_id", _ts("first_seen"), _ts("last_seen"), "plan_code")
 
 
-@query("owner_hashes")
+_INNER, _OUTER = jb.hmac_keys("pepper")
+
+
+@query(
+    "owner_hashes",
+    f"""SELECT c_custkey, sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(CAST(c_custkey AS VARCHAR))))) AS owner_hash FROM customer""",
+)
 def owner_hashes(spark, sf):
     customers = tb.table(spark, sf, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("k"))
     return customers.select("c_custkey", jb.hashed_owner("k", "pepper").alias("owner_hash"))
@@ -291,7 +297,7 @@ _LOG_STATUS = """CASE WHEN o_orderpriority = '1-URGENT' THEN 'COMPLETED' WHEN o_
     "transition_audit",
     f"""WITH l AS (SELECT o_orderkey, o_custkey, {_LOG_STATUS} AS status, o_orderdate FROM orders),
       s AS (SELECT *, lag(status) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS from_status FROM l),
-      ok(f, t) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, bs in lx.JOB_TRANSITIONS.items() for b in bs.split())})
+      ok(f, t) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, bs in lx.JOB_TRANSITIONS.items() for b in bs)})
     SELECT o_custkey AS entity_id, o_orderkey AS event_id, from_status, status FROM s
     WHERE from_status IS NOT NULL AND (from_status, status) NOT IN (SELECT (f, t) FROM ok)""",
 )
@@ -544,10 +550,11 @@ def edit_overlay(spark, sf):
 
 # --- calls --------------------------------------------------------------------
 
-_CODES = (
-    "QWEN_HTTP_ERROR DEEP_ANALYSIS_SOURCE_FETCH_FAILED QWEN_REQUEST_FAILED QWEN_REQUEST_TIMEOUT QWEN_EMPTY_RESPONSE "
-    "QWEN_NOT_CONFIGURED QWEN_JSON_PARSE_FAILED OTHER"
-).split()
+# fixed values: error codes of calls
+_CODES = [
+    "QWEN_HTTP_ERROR", "DEEP_ANALYSIS_SOURCE_FETCH_FAILED", "QWEN_REQUEST_FAILED", "QWEN_REQUEST_TIMEOUT",
+    "QWEN_EMPTY_RESPONSE", "QWEN_NOT_CONFIGURED", "QWEN_JSON_PARSE_FAILED", "OTHER",
+]
 _HTTP = (401, 403, 408, 429, 500, 503, 404, 400, 418)
 _CALL_SQL = f"""c AS (SELECT event_id, user_id, ts, value, event_type,
    [{", ".join(repr(x) for x in _CODES)}, NULL][event_id % 9 + 1] AS code, [{", ".join(map(str, _HTTP))}][event_id % 17 % 9 + 1] AS http FROM events)"""

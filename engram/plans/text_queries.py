@@ -58,21 +58,23 @@ def head_tail_trim(spark, sf):
 @query(
     "request_day_keys",
     """WITH z AS (SELECT event_id, ts, CASE user_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'Asia/Shanghai'
-          WHEN 2 THEN 'America/New_York' ELSE ' UTC ' END AS tz FROM events),
+          WHEN 2 THEN 'America/New_York' ELSE CASE WHEN event_id % 5 = 0 THEN 'Mars/Base' ELSE ' UTC ' END END AS tz FROM events),
       n AS (SELECT event_id, ts, CASE WHEN trim(tz) = '' THEN 'UTC' ELSE trim(tz) END AS tz FROM z)
     SELECT event_id, strftime(ts, '%Y-%m-%d') AS day_key,
       strftime(ts + CASE tz WHEN 'Asia/Shanghai' THEN INTERVAL 8 HOUR WHEN 'America/New_York' THEN INTERVAL '-5' HOUR
-        ELSE INTERVAL 0 HOUR END, '%Y-%m-%d') || '@' || tz AS request_day_key FROM n""",
+        WHEN 'UTC' THEN INTERVAL 0 HOUR END, '%Y-%m-%d') || '@' || tz AS request_day_key,
+      CASE WHEN tz = 'Mars/Base' THEN 'INVALID_TIMEZONE' END AS zone_error FROM n""",
 )
 def request_day_keys(spark, sf):
     user = F.col("user_id")
     zone = (
         F.when(user % 4 == 0, "").when(user % 4 == 1, "Asia/Shanghai").when(user % 4 == 2, "America/New_York")
-    ).otherwise(" UTC ")
+    ).when(F.col("event_id") % 5 == 0, "Mars/Base").otherwise(" UTC ")
     return tb.events(spark, sf).select(
         "event_id",
         tx.day_key(F.col("ts")).alias("day_key"),
         tx.request_day_key(F.col("ts"), zone).alias("request_day_key"),
+        tx.request_zone_error(zone).alias("zone_error"),
     )
 
 

@@ -68,5 +68,5 @@ AUDIT = struct(
     status_code=INT,
     latency_ms=INT,
 )
-FINISHED_BATCH = struct(job_id=TEXT, batch_index=LONG)
-EVENT_VERSION = struct(job_id=TEXT, version=LONG)
+
+JOB_VERSION = struct(job_id=TEXT, version=LONG)

@@ -1,9 +1,9 @@
 """Structured Streaming versions of the job operators.
 
 Every sink is a folder with one sub-folder per micro-batch, written in overwrite mode: a replayed micro-batch
-replaces its own output, so results are exactly-once without locks.  State that must be looked up (seen ids,
-finished batches, versions) is a table keyed like any other join, never one group per job, so a single large
-job spreads over all tasks.
+replaces its own output, so results are exactly-once without locks.  State that must be looked up (seen ids and
+hashes, versions) is a table of its live keys, joined like any other and never one group per job, so a single
+large job spreads over all tasks.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from engram.operators import classify as cl
 from engram.operators import dedupe as dd
 from engram.operators import jobs as jb
 from engram.operators import periods as pd
-from engram.operators.ranking import attach
 from engram.operators.rules import Rule, category_order
 
 
@@ -38,16 +37,20 @@ def epoch_folder(path: str, epoch: int) -> str:
     return f"{path}/epoch={epoch}"
 
 
-def earlier(spark: SparkSession, path: str, epoch: int, schema: StructType) -> DataFrame:
-    """What micro-batches before ``epoch`` wrote; empty at first."""
-    with_epoch = StructType([*schema.fields]).add("epoch", schemas.LONG)
+def held(spark: SparkSession, path: str, epoch: int, schema: StructType) -> DataFrame:
+    """State as the micro-batch before ``epoch`` left it; empty at first."""
     try:
-        table = spark.read.schema(with_epoch).parquet(path)
+        return spark.read.schema(schema).parquet(slot_folder(path, epoch - 1))
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
-    return table.filter(F.col("epoch") < epoch).drop("epoch")
+
+
+def slot_folder(path: str, epoch: int) -> str:
+    """State is one row for each live key, in two folders by turns: a micro-batch reads one and replaces the other,
+    so a replay finds what the first try found, and nothing but live keys is ever read."""
+    return f"{path}/slot={epoch % 2}"
 
 
 def run(stream: DataFrame, process: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
@@ -72,20 +75,20 @@ def dedupe_batch(
 
     def seen(kind: str, key: str) -> DataFrame:
         schema = StructType([*[df.schema[c] for c in scope], df.schema[key]]).add("seen_at", schemas.TIME)
-        held = earlier(spark, f"{out}/{kind}", epoch, schema)
+        keys = held(spark, f"{out}/{kind}", epoch, schema)
         if ttl_hours is not None:
-            held = held.filter(F.col("seen_at") > now - F.make_dt_interval(hours=F.lit(ttl_hours)))
-        return held.select(*scope, key).distinct()
+            keys = keys.filter(F.col("seen_at") > now - F.make_dt_interval(hours=F.lit(ttl_hours)))
+        return keys
 
-    fresh = (
-        dd.first_seen(df, scope, id_col, hash_col, order)
-        .join(seen("ids", id_col), [*scope, id_col], "left_anti")
-        .join(seen("hashes", hash_col), [*scope, hash_col], "left_anti")
-    )
+    live = {"ids": (id_col, seen("ids", id_col)), "hashes": (hash_col, seen("hashes", hash_col))}
+    fresh = dd.first_seen(df, scope, id_col, hash_col, order)
+    for key, keys in live.values():
+        fresh = fresh.join(keys.select(*scope, key), [*scope, key], "left_anti")
     fresh.write.mode("overwrite").parquet(epoch_folder(f"{out}/rows", epoch))
-    for kind, key in (("ids", id_col), ("hashes", hash_col)):
-        keys = df.select(*scope, key).distinct().withColumn("seen_at", now)
-        keys.write.mode("overwrite").parquet(epoch_folder(f"{out}/{kind}", epoch))
+    for kind, (key, keys) in live.items():
+        now_seen = keys.unionByName(df.select(*scope, key, now.alias("seen_at")))
+        latest = now_seen.groupBy(*scope, key).agg(F.max("seen_at").alias("seen_at"))
+        latest.write.mode("overwrite").parquet(slot_folder(f"{out}/{kind}", epoch))
     df.unpersist()
 
 
@@ -100,16 +103,16 @@ def dedupe_stream(stream: DataFrame, out: str, scope, id_col, hash_col, order, t
 
 # --- incremental aggregates ---------------------------------------------------
 
+BATCH_ROW = ["job_id", "batch_index", "id"]
+
+
 def merge_batch(df: DataFrame, epoch: int, out: str, rules: Sequence[Rule]) -> None:
-    """Classify the batches that have no result yet and write their counts; totals are summed when read.
+    """Classify the rows of a micro-batch and write their counts; totals are summed when read.
 
-    ``df``: job_id, batch_index, id, content. A batch delivered again, in this or a later micro-batch, adds nothing.
+    ``df``: job_id, batch_index, id, content. ``merge_stream`` has dropped rows that came before.
     """
-    spark = df.sparkSession
     keys = ["job_id", "batch_index"]
-    done = earlier(spark, f"{out}/batches", epoch, schemas.FINISHED_BATCH)
-    new = df.join(done, keys, "left_anti").dropDuplicates([*keys, "id"])
-    classified = cl.classify(new, rules).select(*keys, "category", "tags").persist()
+    classified = cl.classify(df.dropDuplicates(BATCH_ROW), rules).select(*keys, "category", "tags").persist()
     universe = category_order([r.category for r in rules])
     counts = ag.category_counts(classified, keys, universe).select(
         *keys, F.lit("category").alias("kind"), F.col("category").alias("key"), "count"
@@ -117,13 +120,17 @@ def merge_batch(df: DataFrame, epoch: int, out: str, rules: Sequence[Rule]) -> N
         ag.tag_counts(classified, keys).select(*keys, F.lit("tag").alias("kind"), F.col("tag").alias("key"), "count")
     )
     counts.write.mode("overwrite").parquet(epoch_folder(f"{out}/counts", epoch))
-    finished = classified.groupBy(*keys).agg(F.count(F.lit(1)).alias("processed"))
-    finished.write.mode("overwrite").parquet(epoch_folder(f"{out}/batches", epoch))
+    processed = classified.groupBy(*keys).agg(F.count(F.lit(1)).alias("processed"))
+    processed.write.mode("overwrite").parquet(epoch_folder(f"{out}/batches", epoch))
     classified.unpersist()
 
 
 def merge_stream(stream: DataFrame, out: str, rules: Sequence[Rule], **trigger) -> StreamingQuery:
-    return run(stream, lambda df, epoch: merge_batch(df, epoch, out, rules), f"{out}/checkpoint", **trigger)
+    """Every (job, batch, id) counts once, whichever micro-batch brings it and however many files a batch comes in.
+
+    The rows seen are Spark's own streaming state, partitioned by key and restored with the checkpoint.
+    """
+    return run(stream.dropDuplicates(BATCH_ROW), lambda df, epoch: merge_batch(df, epoch, out, rules), f"{out}/checkpoint", **trigger)
 
 
 def job_totals(spark: SparkSession, out: str) -> DataFrame:
@@ -133,7 +140,9 @@ def job_totals(spark: SparkSession, out: str) -> DataFrame:
 
 
 def job_progress(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/batches").groupBy("job_id").agg(
+    """Batches met and rows counted for each job. A batch may have come in several micro-batches."""
+    met = spark.read.parquet(f"{out}/batches").groupBy("job_id", "batch_index").agg(F.sum("processed").alias("processed"))
+    return met.groupBy("job_id").agg(
         F.count(F.lit(1)).alias("completed_batches"), F.sum("processed").cast("bigint").alias("processed_memories")
     )
 
@@ -157,15 +166,15 @@ def rate_counts(requests: DataFrame, length: str = "1 minute", delay: str = "10
 
 
 def log_batch(df: DataFrame, epoch: int, out: str) -> None:
-    """Append job events with their versions, continuing each job's own count."""
-    held = earlier(df.sparkSession, f"{out}/events", epoch, schemas.EVENT_VERSION)
-    base = held.groupBy("job_id").agg(F.max("version").alias("base"))
-    versioned = jb.event_versions(df)
-    weights = versioned.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")).join(base, "job_id", "left")
-    continued = attach(versioned, weights, ["job_id"], "n").withColumn(
-        "version", F.col("version") + F.coalesce("base", F.lit(0))
-    )
-    continued.drop("base", "n").write.mode("overwrite").parquet(epoch_folder(f"{out}/events", epoch))
+    """Append job events with their versions, continuing each job's own count. The state is a job's latest version."""
+    base = held(df.sparkSession, f"{out}/versions", epoch, schemas.JOB_VERSION).withColumnRenamed("version", "base")
+    versioned = jb.event_versions(df.persist())
+    continued = versioned.join(base, "job_id", "left").withColumn("version", F.col("version") + F.coalesce("base", F.lit(0)))
+    continued.drop("base").write.mode("overwrite").parquet(epoch_folder(f"{out}/events", epoch))
+    reached = continued.groupBy("job_id").agg(F.max("version").alias("version"))
+    latest = base.withColumnRenamed("base", "version").unionByName(reached).groupBy("job_id").agg(F.max("version").alias("version"))
+    latest.write.mode("overwrite").parquet(slot_folder(f"{out}/versions", epoch))
+    df.unpersist()
 
 
 def log_stream(stream: DataFrame, out: str, **trigger) -> StreamingQuery:

@@ -42,17 +42,25 @@ def test_expired_keys_are_new_again(spark, tmp_path):
     assert sorted(r["epoch"] for r in rows.collect()) == [0, 2]
 
 
-def test_merge_skips_finished_batches(spark, tmp_path):
-    rows = [("j", b, f"{b}-{i}", "plan it" if i % 2 else "todo now") for b in (1, 2) for i in range(4)]
-    df = spark.createDataFrame(rows, "job_id string, batch_index bigint, id string, content string")
-    out = str(tmp_path / "out")
-    st.merge_batch(df.filter("batch_index = 1"), 0, out, RULES)
-    st.merge_batch(df, 1, out, RULES)
-    st.merge_batch(df, 1, out, RULES)
-    totals = {(r["kind"], r["key"]): r["count"] for r in st.job_totals(spark, out).collect()}
-    assert totals["category", "plan"] == 4 and totals["category", "task"] == 4
-    progress = st.job_progress(spark, out).first()
-    assert (progress["completed_batches"], progress["processed_memories"]) == (2, 8)
+def test_merge_of_batches_in_pieces(spark, tmp_path):
+    rows = [("j", b, f"{b}-{i}", "plan it" if i % 2 else "todo now", 2 * i + b) for b in (1, 2) for i in range(4)]
+    df = spark.createDataFrame(rows, "job_id string, batch_index bigint, id string, content string, o int")
+    out, source = str(tmp_path / "out"), str(tmp_path / "in")
+    for delivery in range(2):  # each batch in several files, one file for a micro-batch; then everything again
+        write_files(df, source, 5)
+        stream = st.files(spark, source, df.schema, per_trigger=1)
+        st.merge_stream(stream, out, RULES).awaitTermination()
+        totals = {(r["kind"], r["key"]): r["count"] for r in st.job_totals(spark, out).collect()}
+        assert totals["category", "plan"] == 4 and totals["category", "task"] == 4
+        progress = st.job_progress(spark, out).first()
+        assert (progress["completed_batches"], progress["processed_memories"]) == (2, 8)
+    # a micro-batch written again, as after a failure
+    first = df.filter(F.col("o") % 5 == 0)
+    before = sorted(map(tuple, st.job_totals(spark, out).collect()))
+    epochs = [r["epoch"] for r in spark.read.parquet(f"{out}/batches").filter("batch_index = 2").select("epoch").distinct().collect()]
+    assert len(epochs) > 1 and first.count() > 0
+    st.merge_batch(df.limit(0), max(epochs) + 50, out, RULES)
+    assert sorted(map(tuple, st.job_totals(spark, out).collect())) == before
 
 
 def test_event_versions_continue(spark, tmp_path):
@@ -63,6 +71,10 @@ def test_event_versions_continue(spark, tmp_path):
     st.log_batch(spark.createDataFrame([("j", 4, 4, "batch_failed"), ("k", 5, 5, "batch_completed")], schema), 1, out)
     got = {r["event_id"]: r["version"] for r in spark.read.parquet(f"{out}/events").collect()}
     assert got == {1: 0, 2: 1, 3: 1, 4: 2, 5: 1}
+    st.log_batch(spark.createDataFrame([("j", 4, 4, "batch_failed"), ("k", 5, 5, "batch_completed")], schema), 1, out)  # a replay
+    st.log_batch(spark.createDataFrame([("j", 6, 6, "batch_failed")], schema), 2, out)
+    got = {r["event_id"]: r["version"] for r in spark.read.parquet(f"{out}/events").collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 2, 5: 1, 6: 3}
 
 
 def test_expiry_sweep(spark, tmp_path):
