@@ -46,9 +46,8 @@ def cards(counts: DataFrame, keys: Sequence[str], top: int | None = None) -> Dat
 
 def tag_counts(classified: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Tag counts; topic counts are the same numbers by definition."""
-    return classified.select(*keys, F.explode("tags").alias("tag")).groupBy(*keys, "tag").agg(
-        F.count(F.lit(1)).alias("count")
-    )
+    listed = classified.select(*keys, F.explode_outer("tags").alias("tag"))
+    return listed.groupBy(*keys, "tag").agg(F.count(F.lit(1)).alias("count")).filter(F.col("tag").isNotNull())
 
 
 def facet_stats(counts: DataFrame, keys: Sequence[str], value: str, limit: int = 50) -> DataFrame:

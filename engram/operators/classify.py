@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from engram import lexicons as lx
 from engram.functions import text as tx
-from engram.functions.binding import let
+from engram.functions.binding import computed, let
 from engram.functions.lexicon import jvm_regex, mentions
 from engram.functions.tokens import coverage_tokens, facet_tokens, top_tokens
 from engram.operators.rules import Rule, category_order
@@ -146,13 +146,13 @@ def classify(df: DataFrame, rules: Sequence[Rule], tags: int = 5) -> DataFrame:
 
     result = let(facet_tokens(F.col("content")), lambda tokens: let(scores, lambda s: verdict(s, tokens)))
     kept = [c for c in df.columns if c not in ("category", "confidence", "tags")]
-    return df.withColumn("__verdict", result).select(*kept, "__verdict.*")
+    return computed(df, "__verdict", result).select(*kept, "__verdict.*")
 
 
 def rule_scores(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One row per (memory, category) that scored."""
     scores = category_scores(matched_rules(rules, tx.normalized(F.col("content"))))
-    return df.select("owner_id", "id", F.explode(scores).alias("s")).select(
+    return df.select("owner_id", "id", F.explode_outer(scores).alias("s")).filter("s is not null").select(
         "owner_id", "id", F.col("s.category").alias("category"), (-F.col("s.minus_score")).alias("score")
     )
 

@@ -169,7 +169,7 @@ def boosted_themes(own: DataFrame, chunk_themes: DataFrame, limit: int = 8) -> D
 
 
 def entity_hits(features: DataFrame, keys: Sequence[str] = OWNER) -> DataFrame:
-    return features.select(*keys, "id", "created_at", F.explode("entities").alias("e")).select(
+    return features.select(*keys, "id", "created_at", F.explode_outer("entities").alias("e")).filter("e is not null").select(
         *keys, "id", "created_at", "e.*"
     )
 
@@ -195,7 +195,7 @@ def label_counts(hits: DataFrame, keys: Sequence[str] = OWNER) -> DataFrame:
 
 
 def relation_rows(features: DataFrame, keys: Sequence[str] = OWNER) -> DataFrame:
-    return features.select(*keys, "id", "created_at", "preview", F.explode("relations").alias("r")).select(
+    return features.select(*keys, "id", "created_at", "preview", F.explode_outer("relations").alias("r")).filter("r is not null").select(
         *keys,
         "id",
         "created_at",
@@ -220,7 +220,8 @@ def distinct_relations(relations: DataFrame, keys: Sequence[str] = OWNER, limit:
 
 
 def signal_rows(features: DataFrame, keys: Sequence[str] = OWNER) -> DataFrame:
-    return features.select(*keys, "id", "created_at", F.col("preview").alias("text"), F.explode("signals").alias("signal"))
+    rows = features.select(*keys, "id", "created_at", F.col("preview").alias("text"), F.explode_outer("signals").alias("signal"))
+    return rows.filter(F.col("signal").isNotNull())
 
 
 def representative_signals(signals: DataFrame, keys: Sequence[str] = OWNER, limit: int = 5) -> DataFrame:

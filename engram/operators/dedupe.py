@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from engram import lexicons as lx
 from engram.functions import text as tx
-from engram.operators.ranking import MAX_GROUP_ROWS, attach, running, top_per_group
+from engram.operators.ranking import MAX_GROUP_ROWS, running, top_per_group
 
 
 def first_seen(
@@ -88,10 +88,10 @@ def duplicate_clusters(df: DataFrame, top_n: int | None = 10) -> DataFrame:
     return top_per_group(clusters, ["owner_id"], order, top_n, rank="cluster_index")
 
 
-def cluster_members(df: DataFrame, clusters: DataFrame, heavy_from: int = 100_000) -> DataFrame:
+def cluster_members(df: DataFrame, clusters: DataFrame) -> DataFrame:
     """One row per duplicate of a cluster, the canonical memory itself left out."""
     keyed = clusters.select("owner_id", "content_hash", "cluster_index", "canonical_id", "copies")
-    members = attach(df, keyed, ["owner_id", "content_hash"], "copies", heavy_from)
+    members = df.join(keyed, ["owner_id", "content_hash"])  # adaptive skew join splits a large cluster
     return members.filter(F.col("id") != F.col("canonical_id"))
 
 
@@ -106,13 +106,13 @@ def duplicate_export(
     # Few canonicals carry many rows, so their previews are attached to the cluster list (one row each)
     # before it fans out to the duplicates, which are unique.
     canonical = (
-        clusters_long.groupBy("owner_id", "canonical_id")
-        .agg(F.count(F.lit(1)).alias("n"))
+        clusters_long.select("owner_id", "canonical_id")
+        .distinct()
         .join(previews.withColumnRenamed("id", "canonical_id"), ["owner_id", "canonical_id"], "left")
-        .select("owner_id", "canonical_id", "n", F.coalesce("p", F.lit("")).alias("canonical_preview"))
+        .select("owner_id", "canonical_id", F.coalesce("p", F.lit("")).alias("canonical_preview"))
     )
     return (
-        attach(clusters_long, canonical, ["owner_id", "canonical_id"], "n")
+        clusters_long.join(canonical, ["owner_id", "canonical_id"])
         .join(previews.withColumnRenamed("id", "duplicate_id"), ["owner_id", "duplicate_id"], "left")
         .select(
             "owner_id",

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram import lexicons as lx
-from engram.operators.ranking import MAX_GROUP_ROWS, attach, running, top_per_group
+from engram.operators.ranking import MAX_GROUP_ROWS, running, top_per_group
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: Sequence[str], version: Sequence[str]) -> DataFrame:
@@ -166,9 +166,9 @@ def event_versions(events: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> D
 
 def changes_since(versioned: DataFrame, cursors: DataFrame, results: DataFrame) -> DataFrame:
     """Events newer than each job's cursor, the batch result behind completed ones, and the next cursor."""
-    current = versioned.groupBy("job_id").agg(F.max("version").alias("next_cursor"), F.count(F.lit(1)).alias("events"))
-    wanted = cursors.join(current, "job_id")
-    newer = attach(versioned, wanted, ["job_id"], "events").filter(F.col("version") > F.col("cursor")).drop("events")
+    current = versioned.groupBy("job_id").agg(F.max("version").alias("next_cursor"))
+    # adaptive skew join splits a job that holds many events
+    newer = versioned.join(cursors.join(current, "job_id"), "job_id").filter(F.col("version") > F.col("cursor"))
     done = results.select("job_id", "batch_index", F.col("processed").alias("batch_processed"))
     return newer.join(
         done.withColumn("type", F.lit("batch_completed")), ["job_id", "batch_index", "type"], "left"

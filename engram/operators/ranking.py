@@ -5,7 +5,6 @@
   window.  When a group is larger than ``max_group_rows`` the rows are range-partitioned by (group, order)
   instead, every slice is scanned on its own, and the totals of the earlier slices are added.  Only groups
   that cross a slice border need those totals: at most two per slice, so their table is safe to broadcast.
-* :func:`attach` - join many rows to one row per key when a few keys carry most of the rows.
 """
 
 from __future__ import annotations
@@ -19,7 +18,6 @@ from pyspark.sql import functions as F
 from engram.session import materialize
 
 MAX_GROUP_ROWS = 2_000_000
-HEAVY_KEYS = 1000
 
 
 def top_per_group(
@@ -116,27 +114,5 @@ def _sliced(df, keys, order, number, sums, previous) -> DataFrame:
     return joined.withColumns(columns).select(*keep)
 
 
-def attach(
-    rows: DataFrame, per_key: DataFrame, keys: Sequence[str], weight: str, heavy_from: int = 100_000
-) -> DataFrame:
-    """Inner join of ``rows`` with one ``per_key`` row per key, ``weight`` being its number of rows.
-
-    The heaviest keys (never more than ``HEAVY_KEYS``) are broadcast, so their rows do not move; all other
-    keys take the shuffle join.
-    """
-    heavy = (
-        per_key.filter(F.col(weight) >= heavy_from)
-        .orderBy(F.desc(weight), *keys)
-        .limit(HEAVY_KEYS)
-    )
-    heavy = materialize(heavy)
-    if heavy.isEmpty():
-        return rows.join(per_key, list(keys))
-    heavy_keys = heavy.select(*keys)
-    light_rows = rows.join(F.broadcast(heavy_keys), list(keys), "left_anti")
-    light_keys = per_key.join(F.broadcast(heavy_keys), list(keys), "left_anti")
-    return rows.join(F.broadcast(heavy), list(keys)).unionByName(light_rows.join(light_keys, list(keys)))
-
-
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -11,8 +11,6 @@ from engram import lexicons as lx
 from engram.functions import text as tx
 from engram.operators.ranking import union_all
 
-MAX_RULES = 20_000
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -49,10 +47,11 @@ def enabled_rules(rules: DataFrame, version: str | None = None) -> DataFrame:
     return kept.orderBy(F.desc("weight"), "id")
 
 
-def rule_list(rules: DataFrame, limit: int = MAX_RULES) -> list[Rule]:
-    """Rules as literals for expressions. The table is a dimension; its size is checked, not assumed."""
-    rows = rules.select("category", "match_type", "pattern", "weight").limit(limit + 1).collect()
-    if len(rows) > limit:
+def rule_list(rules: DataFrame, limit: int | None = None) -> list[Rule]:
+    """Rules as literals for expressions. The table is a dimension; ``limit`` rejects one that is larger than expected."""
+    rows = rules.select("category", "match_type", "pattern", "weight")
+    rows = (rows if limit is None else rows.limit(limit + 1)).collect()
+    if limit is not None and len(rows) > limit:
         raise ValueError(f"more than {limit} rules")
     return [Rule(r["category"], r["match_type"], r["pattern"], int(r["weight"])) for r in rows]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from engram import lexicons as lx
+from engram.functions.binding import computed
 from engram.functions import text as tx
 from engram.functions.tokens import facet_tokens, top_tokens
 from engram.operators import aggregate as ag
@@ -119,7 +120,7 @@ def low_confidence(spark, sf):
     f"WITH {tb.MEM}, {TOKENS} SELECT id, string_agg(tag, ' ' ORDER BY r) AS tags FROM tags GROUP BY id",
 )
 def memory_tags(spark, sf):
-    df = tb.documents(spark, sf).select("id", top_tokens(facet_tokens(F.col("content"))).alias("tags"))
+    df = computed(tb.documents(spark, sf).select("id", "content"), "tags", top_tokens(facet_tokens(F.col("content"))))
     return df.filter(F.size("tags") > 0).select("id", F.array_join("tags", " ").alias("tags"))
 
 

@@ -138,11 +138,11 @@ def _features(spark, sf):
 
 @query(
     "token_frequency",
-    f"WITH {TERMS} SELECT kind, name, count(*) AS n FROM terms GROUP BY ALL HAVING count(*) >= 2",
+    f"WITH {TERMS} SELECT kind, name, count(*) AS n FROM terms GROUP BY ALL",
 )
 def token_frequency(spark, sf):
     features = _features(spark, sf).withColumn("all", F.lit(1))
-    return cp.document_frequency(features, ["all"]).filter("n >= 2").drop("all")
+    return cp.document_frequency(features, ["all"]).drop("all")
 
 
 @query(
@@ -252,12 +252,12 @@ def chunk_insights(spark, sf):
 @query(
     "cleaned_insights",
     f"""WITH {tb.SES}, r AS (SELECT owner_id, conv_id AS chunk, role AS section, turn AS pos,
-        {tb.sql_trim("CASE WHEN turn % 4 = 0 THEN '  ' ELSE ' ' || substring(content, 1, 20) || ' ' END")} AS value FROM ses)
+        {tb.sql_trim("CASE WHEN turn % 4 = 0 THEN '  ' ELSE ' ' || content || ' ' END")} AS value FROM ses)
     SELECT owner_id, chunk, section, value, place FROM (SELECT *, row_number() OVER (PARTITION BY owner_id, chunk, section ORDER BY pos) AS place
       FROM r WHERE value <> '') WHERE place <= 12""",
 )
 def cleaned_insights(spark, sf):
-    padded = F.concat(F.lit(" "), F.substring("content", 1, 20), F.lit(" "))
+    padded = F.concat(F.lit(" "), F.col("content"), F.lit(" "))
     raw = tb.sessions(spark, sf).select(
         "owner_id",
         F.col("conv_id").alias("chunk"),

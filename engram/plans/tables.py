@@ -13,18 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a small table out over the cores; a file with one row group would keep a single one busy.
-
-    Larger inputs have splits enough and are left where they are read.
-    """
-    spark = df.sparkSession
-    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > SMALL_INPUT_BYTES:
-        return df
-    return df.repartition(spark.sparkContext.defaultParallelism)
+    """Deal a table out over the cores where it comes in fewer splits than there are cores; else it stays where it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
