@@ -105,4 +105,18 @@ SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (row_id) LEFT JOIN ids USING (row_id)'''
 
-ORACLES: dict[str, str] = {"op9_decontaminate": OP9_SQL}
+OP3_SQL = rf'''
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(words) < 2 THEN words[1] ELSE words[k] || ' ' || words[k + 1] END AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words), 2))) AS k FROM d WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r(doc_id, m) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.y, r.m FROM r JOIN e ON e.x = r.doc_id WHERE r.m < e.y),
+c AS (SELECT doc_id, min(m) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)'''
+
+ORACLES: dict[str, str] = {"op3_near_duplicates": OP3_SQL, "op9_decontaminate": OP9_SQL}
