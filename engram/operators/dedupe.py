@@ -26,8 +26,12 @@ def first_seen(
     text copied into a third of the table loads one task.  ``order`` must be unique inside ``scope``.
     """
 
+    keys = df.select(*dict.fromkeys([*scope, id_col, hash_col, *order]))
+
     def firsts(key: str) -> DataFrame:
-        first = df.groupBy(*scope, key).agg(F.min(F.struct(*order)).alias("f"))
+        if len(order) == 1:  # a plain minimum is a hash aggregate, one of structs has to sort
+            return keys.groupBy(*scope, key).agg(F.min(order[0]).alias(order[0])).drop(key)
+        first = keys.groupBy(*scope, key).agg(F.min(F.struct(*order)).alias("f"))
         return first.select(*scope, "f.*")
 
     position = [*scope, *order]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from engram import lexicons as lx
@@ -11,6 +13,7 @@ from engram.operators import jobs as jb
 from engram.operators import limits as lm
 from engram.plans import tables as tb
 from engram.plans.registry import query
+from engram.session import ensure_checkpoint_dir
 from engram.sources import memories as src
 
 ISO = "'%Y-%m-%d %H:%M:%S.%f'"
@@ -548,6 +551,56 @@ def edit_overlay(spark, sf):
     return jb.with_edits(messages, first.unionByName(second)).withColumn("tags", F.array_join("tags", ","))
 
 
+# --- files written and read again ----------------------------------------------
+
+
+def _folder(spark, name: str) -> str:
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "snapshot_roundtrip",
+    f"""WITH {tb.MEM} SELECT id, owner_id, sha256(content) AS content_hash, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created_at, memory_type, state,
+        array_to_string(tags, ',') AS tags, metadata_json FROM mem WHERE state = 'active' AND memory_type IN ('pinned', 'insight')""",
+)
+def snapshot_roundtrip(spark, sf):
+    path = _folder(spark, "snapshot")
+    src.write_snapshot(tb.documents(spark, sf).withColumn("updated_at", F.lit(None).cast("timestamp")), path)
+    back = src.deep_memories(src.read_snapshot(spark, path))
+    return back.select(
+        "id", "owner_id", F.sha2("content", 256).alias("content_hash"), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
+        "memory_type", "state", F.array_join("tags", ",").alias("tags"), "metadata_json",
+    )
+
+
+@query(
+    "table_scan",
+    f"""WITH {tb.MEM} SELECT id, memory_type, 0 AS tags, metadata_json FROM mem WHERE state = 'active'""",
+)
+def table_scan(spark, sf):
+    path = _folder(spark, "memories")
+    tb.documents(spark, sf).drop("tags", "doc_id").write.parquet(path)  # a source without tags
+    back = src.read_memories(spark, path).filter("state = 'active'")
+    return back.select("id", "memory_type", F.size("tags").alias("tags"), "metadata_json")
+
+
+@query(
+    "batch_read",
+    """SELECT source AS job_id, doc_id // 100 AS batch_index, CAST(row_number() OVER (PARTITION BY source, doc_id // 100 ORDER BY doc_id) - 1 AS BIGINT) AS position,
+        CAST(doc_id AS VARCHAR) AS id, sha256(text) AS content_hash FROM documents""",
+)
+def batch_read(spark, sf):
+    path = _folder(spark, "batches")
+    memory = F.struct("doc_id", F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"))
+    docs = tb.table(spark, sf, "documents").groupBy(F.col("source").alias("job_id"), F.floor(F.col("doc_id") / 100).alias("batch_index"))
+    # a batch holds at most a hundred memories
+    batches = docs.agg(F.count(F.lit(1)).alias("memory_count"), F.sort_array(F.collect_list(memory)).alias("memories"))
+    batches.withColumn("memories", F.transform("memories", lambda m: F.struct(m["id"].alias("id"), m["content"].alias("content")))).write.json(path)
+    rows = src.batch_memories(src.read_batches(spark, path))
+    return rows.select("job_id", F.col("batch_index").cast("bigint").alias("batch_index"), "position", "id", F.sha2("content", 256).alias("content_hash"))
+
+
 # --- calls --------------------------------------------------------------------
 
 # fixed values: error codes of calls

@@ -12,6 +12,7 @@ from engram.operators.ranking import top_per_group
 DEEP_TYPES = ("pinned", "insight")
 PERIOD_TYPES = ("session",)
 PROFILE_TYPES = ("fact", "insight", "pinned")
+SNAPSHOT_FILE_ROWS = 50_000
 
 
 def with_defaults(df: DataFrame) -> DataFrame:
@@ -75,13 +76,15 @@ def page_per_owner(df: DataFrame, order: list[Column], limit: int, offset: int)
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:
-    """gzip JSON lines, partitioned by owner; the writer spreads a large owner over many files."""
-    df.select(*[f.name for f in schemas.MEMORY.fields]).write.mode("overwrite").option("compression", "gzip").json(path)
+    """gzip JSON lines, one folder for each day; files stay small because gzip cannot be split."""
+    rows = df.select(*[f.name for f in schemas.MEMORY.fields]).withColumn("day", F.date_format("created_at", "yyyy-MM-dd"))
+    writer = rows.write.mode("overwrite").partitionBy("day").option("compression", "gzip")
+    writer.option("maxRecordsPerFile", SNAPSHOT_FILE_ROWS).json(path)
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """Snapshots written as lines, or as documents ``{fetchedAt, memoryCount, memories: [...]}``."""
-    return with_defaults(spark.read.schema(schemas.MEMORY).json(path))
+    return with_defaults(spark.read.schema(schemas.MEMORY).json(path)).select(*[f.name for f in schemas.MEMORY.fields])
 
 
 def read_snapshot_documents(spark: SparkSession, path: str) -> DataFrame:
