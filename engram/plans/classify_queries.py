@@ -101,8 +101,7 @@ def phrase_rules(spark, sf):
     FROM norm n JOIN pairs p ON contains(n.nc, p.pattern) JOIN prio ON prio.p = p.item % 29 GROUP BY ALL""",
 )
 def rule_match_large(spark, sf):
-    rules = ru.rule_list(phrase_rules(spark, sf))
-    return cl.rule_scores(tb.documents(spark, sf), rules).drop("owner_id")
+    return cl.literal_scores(tb.documents(spark, sf), phrase_rules(spark, sf)).drop("owner_id")
 
 
 @query("classify_confidence", f"WITH {CLASSIFIED} SELECT id, category, confidence FROM classified")
