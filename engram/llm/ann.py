@@ -194,8 +194,8 @@ def usable(vector: Column) -> Column:
     return F.coalesce(F.forall(vector, number) & (squares > 0) & (squares < float("inf")), F.lit(False))
 
 
-def index(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(shards, members): graphs of all classes of equal vectors, and (class, vec_id) of the rows.
+def index(vectors: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(graphs, members, shards): a graph for each shard of the classes of equal vectors, (class, vec_id) of the rows, number of shards.
 
     ``vectors``: vec_id and embedding (array<double>, usable).
     """
@@ -206,7 +206,7 @@ def index(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     shards = max(LEAST_SHARDS, -(-classes.count() // SHARD_ROWS))
     dealt = classes.select("class", "embedding", F.size("embedding").alias("dim"), F.pmod("class", F.lit(shards)).cast("int").alias("shard"))
     schema = "dim int, shard int, classes binary, vectors binary, links binary, entry int"
-    return save(dealt.groupBy("dim", "shard").applyInArrow(_build, schema)), members
+    return save(dealt.groupBy("dim", "shard").applyInArrow(_build, schema)), members, shards
 
 
 def nearest(vectors: DataFrame, queries: Column, count: int = 5) -> DataFrame:
@@ -218,7 +218,7 @@ def nearest(vectors: DataFrame, queries: Column, count: int = 5) -> DataFrame:
     """
     usable_rows = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     rows = save(usable_rows.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).distinct())
-    shards, members = index(rows)
+    graphs, members, shards = index(rows)
     # of equal vectors only the smallest ids can be among the nearest: one for each place and the query's own
     first = Window.partitionBy("class").orderBy("vec_id")
     members = save(members.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= count + 1).select("class", "vec_id"))
@@ -226,8 +226,8 @@ def nearest(vectors: DataFrame, queries: Column, count: int = 5) -> DataFrame:
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("dim", F.size("embedding"))
     packed = asked.groupBy("dim", "block").applyInPandas(_pack, "dim int, query_ids binary, queries binary")
-    every = max(1, shards.count())
-    pairs = shards.join(packed, "dim").repartition(every * blocks)
+    packed = save(packed).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    pairs = graphs.join(packed, ["dim", "shard"]).repartition(shards * blocks)
     found = pairs.mapInArrow(_search(count + 1), "query_id long, class long, score double")
     # each shard adds count + 1 rows for a query
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
