@@ -38,6 +38,22 @@ def unknown_ids(checked: DataFrame, limit: int = 12) -> DataFrame:
     return top_per_group(first, ["owner_id"], [F.asc("pos"), F.asc("id")], limit, rank="place").drop("pos")
 
 
+def repair_diagnostics(checked: DataFrame, item: Sequence[str], others: DataFrame | None = None, limit: int = 12) -> DataFrame:
+    """(owner_id, repair_count, invalid_ids) of every owner with a repair.
+
+    An item with unknown ids is one repair, whatever their number; ``others`` (owner_id, repaired BIGINT) adds further
+    repairs, as those of text lists. ``invalid_ids`` are the first ``limit`` distinct unknown ids in order of appearance.
+    """
+    counts = checked.filter(~F.col("valid")).select(*item).distinct().select("owner_id", F.lit(1).cast("bigint").alias("repaired"))
+    if others is not None:
+        counts = counts.unionByName(others.select("owner_id", "repaired").filter("repaired > 0"))
+    counts = counts.groupBy("owner_id").agg(F.sum("repaired").cast("bigint").alias("repair_count"))
+    listed = unknown_ids(checked, limit).groupBy("owner_id").agg(F.sort_array(F.collect_list(F.struct("place", "id"))).alias("ids"))
+    no_ids = F.array().cast("array<string>")
+    ids = F.coalesce(F.transform("ids", lambda x: x["id"]), no_ids)
+    return counts.join(listed, "owner_id", "left").select("owner_id", "repair_count", ids.alias("invalid_ids"))
+
+
 def _with_evidence(items: DataFrame, memories: DataFrame, keys: Sequence[str], column: str, limit: int = 6) -> DataFrame:
     """``items`` with ``valid`` (distinct known ids in order) and ``had_unknown``, replacing ``column``."""
     cut = tx.string_list(F.col(column), limit)
