@@ -88,6 +88,27 @@ def stream_rate_counts(spark, sf):
     return last.select("owner_id", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "used")
 
 
+@query(
+    "stream_rate_verdicts",
+    """WITH q AS (SELECT event_id AS request_id, user_id AS owner_id, ts, CASE event_type WHEN 'purchase' THEN 3 ELSE 1 END AS cost FROM events),
+      w AS (SELECT *, sum(cost) OVER (PARTITION BY owner_id, date_trunc('minute', ts) ORDER BY ts, request_id) AS m,
+        sum(cost) OVER (PARTITION BY owner_id, date_trunc('day', ts) ORDER BY ts, request_id) AS d FROM q)
+    SELECT request_id, owner_id, CAST(m AS BIGINT) AS minute_count, CAST(d AS BIGINT) AS day_count, m > 2 OR d > 5 AS rejected FROM w""",
+)
+def stream_rate_verdicts(spark, sf):
+    requests = _stream(spark, sf, "events").select(
+        F.col("event_id").alias("request_id"),
+        F.col("user_id").alias("owner_id"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.when(F.col("event_type") == "purchase", 3).otherwise(1).cast("bigint").alias("cost"),
+        F.lit(2).alias("rpm_limit"),
+        F.lit(5).alias("daily_limit"),
+    )
+    out = _out(spark, "verdicts")
+    st.verdict_stream(requests, out).awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("request_id", "owner_id", "minute_count", "day_count", "rejected")
+
+
 @query(
     "stream_event_log",
     """WITH e AS (SELECT user_id, event_id, ts, event_type IN ('purchase', 'error') AS bump FROM events)

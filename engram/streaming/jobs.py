@@ -21,6 +21,7 @@ from engram.operators import aggregate as ag
 from engram.operators import classify as cl
 from engram.operators import dedupe as dd
 from engram.operators import jobs as jb
+from engram.operators import limits as lm
 from engram.operators import periods as pd
 from engram.operators.rules import Rule, category_order
 
@@ -165,6 +166,39 @@ def rate_counts(requests: DataFrame, length: str = "1 minute", delay: str = "10
     )
 
 
+def verdict_batch(df: DataFrame, epoch: int, out: str, keep_hours: int = 48) -> None:
+    """Write the verdict of every request, counting what its minute and day have used in this and earlier micro-batches.
+
+    ``df``: owner_id, request_id, ts, cost, rpm_limit, daily_limit. Inside a micro-batch requests count by time, between them
+    by arrival. The state is one row for each owner and window; windows ``keep_hours`` older than the newest request go.
+    """
+    df = df.persist()
+    schema = StructType([df.schema["owner_id"]]).add("length", schemas.TEXT).add("start", schemas.TIME).add("base", schemas.LONG)
+    used = held(df.sparkSession, f"{out}/used", epoch, schema)
+    rows = lm.rate_windows(df).drop("rejected")
+    for length in ("minute", "day"):
+        base = used.filter(F.col("length") == length).select(F.col("owner_id").alias("__owner"), F.col("start").alias("__start"), F.col("base").alias("__base"))
+        rows = rows.join(base, (F.col("owner_id") == F.col("__owner")) & (F.date_trunc(length, "ts") == F.col("__start")), "left")
+        count = F.col(f"{length}_count") + F.coalesce("__base", F.lit(0))
+        rows = rows.withColumn(f"{length}_count", count).drop("__owner", "__start", "__base")
+    over = (F.col("minute_count") > F.col("rpm_limit")) | (F.col("day_count") > F.col("daily_limit"))
+    rows.withColumn("rejected", F.coalesce(over, F.lit(True))).write.mode("overwrite").parquet(epoch_folder(f"{out}/rows", epoch))
+    spent = [
+        df.select("owner_id", F.lit(length).alias("length"), F.date_trunc(length, "ts").alias("start"), F.col("cost").cast("bigint").alias("base"))
+        for length in ("minute", "day")
+    ]
+    state = used.unionByName(spent[0]).unionByName(spent[1]).groupBy("owner_id", "length", "start").agg(F.sum("base").alias("base"))
+    newest = df.agg(F.max("ts")).first()[0]
+    if newest is not None:
+        state = state.filter(F.col("start") > F.lit(newest) - F.make_dt_interval(hours=F.lit(keep_hours)))
+    state.write.mode("overwrite").parquet(slot_folder(f"{out}/used", epoch))
+    df.unpersist()
+
+
+def verdict_stream(requests: DataFrame, out: str, **trigger) -> StreamingQuery:
+    return run(requests, lambda df, epoch: verdict_batch(df, epoch, out), f"{out}/checkpoint", **trigger)
+
+
 def log_batch(df: DataFrame, epoch: int, out: str) -> None:
     """Append job events with their versions, continuing each job's own count. The state is a job's latest version."""
     base = held(df.sparkSession, f"{out}/versions", epoch, schemas.JOB_VERSION).withColumnRenamed("version", "base")

@@ -63,6 +63,22 @@ def test_merge_of_batches_in_pieces(spark, tmp_path):
     assert sorted(map(tuple, st.job_totals(spark, out).collect())) == before
 
 
+def test_rate_verdicts_continue(spark, tmp_path):
+    from engram.operators import limits as lm
+
+    rnd = random.Random(5)
+    rows = [(f"o{rnd.randrange(3)}", i, 1704067200 + 7 * i, 1 + i % 3, 8, 90) for i in range(150)]
+    df = spark.createDataFrame(rows, "owner_id string, request_id int, t long, cost long, rpm_limit int, daily_limit int")
+    df = df.withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    out = str(tmp_path / "out")
+    for epoch in (0, 1, 1, 2):  # the second one twice, as after a failure
+        st.verdict_batch(df.filter((F.col("request_id") / 50).cast("int") == epoch), epoch, out)
+    columns = ["owner_id", "request_id", "minute_count", "day_count", "rejected"]
+    got = sorted(map(tuple, spark.read.parquet(f"{out}/rows").select(columns).collect()))
+    assert got == sorted(map(tuple, lm.rate_windows(df).select(columns).collect()))
+    assert {r[-1] for r in got} == {True, False}
+
+
 def test_event_versions_continue(spark, tmp_path):
     schema = "job_id string, event_id int, ts int, type string"
     out = str(tmp_path / "log")
