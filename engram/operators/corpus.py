@@ -216,6 +216,25 @@ def distinct_relations(relations: DataFrame, keys: Sequence[str] = OWNER, limit:
     return top_per_group(first, keys, order, limit, rank="rank_in_report")
 
 
+def relations_with_chunks(
+    relations: DataFrame, chunk_relations: DataFrame, keys: Sequence[str] = OWNER, limit: int = 18
+) -> DataFrame:
+    """Relations found in the texts, then those of chunk insights made elsewhere; the first ``limit`` distinct ones per group.
+
+    ``chunk_relations``: (keys), pos, source, relation, target, confidence, excerpt, evidence ARRAY<STRING>. Two are the same if
+    source, relation, target and evidence agree; the first stays, text relations before chunk relations.
+    """
+    named = ["source", "relation", "target", "confidence", "excerpt"]
+    own = relations.select(*keys, *named, F.array("id").alias("evidence"), F.lit(0).alias("part"), "created_at", "id", "place", "pos")
+    missing = [F.lit(None).cast(own.schema[c].dataType).alias(c) for c in ("created_at", "id", "place")]
+    outside = chunk_relations.select(*keys, *named, "evidence", F.lit(1).alias("part"), *missing, F.col("pos").cast(own.schema["pos"].dataType))
+    both = own.unionByName(outside).withColumn("same", F.array_join("evidence", "|"))
+    order = [F.asc(c) for c in ("part", "created_at", "id", "place", "pos", "relation")]
+    first = top_per_group(both, [*keys, "source", "relation", "target", "same"], order, 1)
+    ranked = top_per_group(first, keys, order, limit, rank="rank_in_report")
+    return ranked.select(*keys, "rank_in_report", *named, "evidence")
+
+
 # --- persona signals ----------------------------------------------------------
 
 
