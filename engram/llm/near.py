@@ -1,8 +1,8 @@
 """Near-duplicate documents by a chosen-path join over word shingles, with every link confirmed on full sets.
 
 1. Documents with the same shingle set form a class (id: a 64-bit hash of the set). Only classes go on.
-2. Star rounds: classes that share a band of minwise tokens are paired with one head per band, another one each round.
-   Confirmed pairs join large groups of near copies into components early, in a number of pairs that grows with the rows.
+2. Stars: classes that share a band of minwise tokens are paired with two heads drawn for the band. Confirmed pairs join
+   large groups of near copies into components early, in a number of pairs that grows with the rows.
 3. Trees: each tree sends every class down paths. A node picks one or two token positions from its own hash (1.25 on
    average, one over the similarity), and its children are the values found there. A node with few classes is
    compared exhaustively, a larger one is branched again; a node that lies in one component has nothing left to
@@ -33,7 +33,7 @@ TREES = 16
 MAX_DEPTH = 8
 LEAF_ROWS = 32
 BANDS, BAND_WIDTH = 8, 6
-STAR_ROUNDS = 3
+STAR_HEADS = 2
 
 _MULTIPLIERS = np.random.default_rng(7).integers(0, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SKETCH = [f"s{k}" for k in range(POSITIONS // 8)]
@@ -182,26 +182,21 @@ def _with_comp(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(groups, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-def _star_rounds(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _stars(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(id, comp) of classes that confirmed star pairs join, and the full sets read for them.
 
-    Each round draws another head for each band and pairs it with the classes of the band outside its component.
+    Each band draws STAR_HEADS heads and pairs them with the other classes of the band.
     """
     bands = [F.xxhash64(F.lit(k), F.slice("sig", k * BAND_WIDTH + 1, BAND_WIDTH)) for k in range(BANDS)]
     banded = classes.select("id", F.explode(F.array(*bands)).alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     banded = save(banded.join(shared, "key"))
     sets = _full(banded.select("id").distinct(), classes, docs, size)
-    groups = classes.limit(0).select("id", F.col("id").alias("comp"))
-    for k in range(STAR_ROUNDS):
-        rows = _with_comp(banded, groups)
-        drawn = F.struct(F.xxhash64("id", F.lit(k)).alias("by"), F.col("id").alias("head"), F.col("comp").alias("of"))
-        heads = rows.groupBy("key").agg(F.min(drawn).alias("m")).select("key", "m.head", "m.of")
-        pairs = rows.join(heads, "key").filter("comp != of")
-        pairs = pairs.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
-        links = _linked(_likely(pairs, classes, percent), sets, percent)
-        groups = components(links.union(groups.toDF("a", "b")))
-    return groups, sets
+    drawn = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("by"), F.col("id").alias("head"))) for k in range(STAR_HEADS)]
+    heads = banded.groupBy("key").agg(F.array(*drawn).alias("drawn")).select("key", F.explode("drawn.head").alias("head"))
+    pairs = banded.join(heads, "key").filter("id != head")
+    pairs = pairs.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+    return components(_linked(_likely(pairs, classes, percent), sets, percent)), sets
 
 
 def _token(node: Column, depth: int, k: int) -> tuple[Column, Column]:
@@ -257,7 +252,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     same = ["n_shingles", "sig", *_SKETCH]  # equal for all rows of a class
     one = found.filter("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in same])
     classes = save(one)
-    groups, sets = _star_rounds(classes, docs, size, percent)
+    groups, sets = _stars(classes, docs, size, percent)
     rows = _with_comp(classes, groups)
     # large components get a rank by size, a hash tells equal sizes apart
     large = rows.groupBy("comp").agg(F.count("*").alias("n")).filter(F.col("n") >= BLOCK_ROWS)
