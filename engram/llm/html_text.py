@@ -2,8 +2,8 @@
 
 Markup is stripped into lines, one for each block element, in page order. A line counts the characters outside links; blocks that
 belong to the frame of a page (menus, headers, footers, sidebars, notices, adverts, forms, comments) count as
-EMPTY_LINES empty lines, and so does everything outside ``article`` or ``main`` where a page has one. Text lengths are
-summed over sliding windows of WINDOW lines. The text surges where a window holds SURGE characters after an empty one and
+EMPTY_LINES empty lines. Where a page has an ``article`` or ``main`` with text, all lines in it that belong to no frame block are kept.
+On other pages text lengths are summed over sliding windows of WINDOW lines. The text surges where a window holds SURGE characters after an empty one and
 dives where the windows are empty again; what lies between a surge and its dive is a section. The section with most
 text is kept whole, and others that hold at least OTHER_SHARE of it.
 """
@@ -171,7 +171,7 @@ def main_text(page: str | None) -> str:
     """The kept lines, joined by an empty line; empty where there is no text."""
     lines = page_lines(page or "")
     if any(inside and size for _, size, inside in lines):
-        lines = [line if line[2] else ("", 0, False) for line in lines]
+        return "\n\n".join(text for text, _, inside in lines if inside and text)
     sizes = [size for _, size, _ in lines]
     sums = [sum(sizes[k : k + WINDOW]) for k in range(len(sizes))]
     sections, k = [], 0

@@ -35,6 +35,12 @@ def test_pages(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_article_is_kept_whole_around_frame_blocks():
+    middle, last = "word " * 200 + "end", "A closing paragraph of some more words. " * 3 + "Done."
+    page = f"<article><h1>Title</h1><div class=share>Share</div><p>{middle}</p><div class=ad>Buy</div><p>{last}</p><p><a href=/>Read the sequel</a></p></article><p>Outside.</p>"
+    assert html_text.main_text(page) == "\n\n".join(["Title", middle, last, "Read the sequel"])
+
+
 def brute_rule(url):
     if url is None or "://" not in url:
         return "", "", None, None
