@@ -41,6 +41,20 @@ def test_article_is_kept_whole_around_frame_blocks():
     assert html_text.main_text(page) == "\n\n".join(["Title", middle, last, "Read the sequel"])
 
 
+@pytest.mark.parametrize(
+    "opening",
+    ["<div id=content class='has-sidebar'>", "<div class='with-comments'>", "<div class='post no-social'>", "<section id='notice-of-appeal'>", "<div class=related>", "<p class='related'>"],
+)
+def test_names_of_a_wrapper_lose_no_text(opening):
+    body = "Some text of the article, long enough to surge. " * 4 + "End."
+    page = f"<body>{opening}{body}<div class='sidebar left'>In the side</div><div id=comments-list>A reader wrote</div></div></body>"
+    assert html_text.main_text(page) == body
+    page = f"<body><p>{body}</p><div class='ad-slot'>Buy</div><div class='site-footer'>Foot</div><ul class='nav-menu'><li>Go</ul></body>"
+    assert html_text.main_text(page) == body
+    page = f"<body><div class='page widget'><div class=sidebar>{'Side text. ' * 80}</div><h1>Title</h1><p>{body}</p></div></body>"
+    assert f"Title\n\n{body}" in html_text.main_text(page)
+
+
 def brute_rule(url):
     if url is None or "://" not in url:
         return "", "", None, None
