@@ -208,6 +208,13 @@ def test_dedup_lines_of_repeated_rows(spark):
     assert [r["n_removed"] for r in got] == [0, 0]
 
 
+def test_short_and_unspaced_lines_repeat_too(spark):
+    wide = "この文書は無断で複製することを禁じます。"
+    texts = [f"Read more\nfirst text\n{wide}\nYes", f"read more.\nsecond text\n{wide}\nyes\n---", "---\nthird text"]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.dedup_lines(docs_of(spark, texts)).collect()}
+    assert got == {0: (texts[0], 0), 1: ("second text\n---", 3), 2: (texts[2], 0)}
+
+
 # ---- mixing ----------------------------------------------------------------------------------------------------
 def brute_targets(sizes):
     """Weights 1, 2, 3 by code point, null last; the excess over three times the size shared again."""
