@@ -215,6 +215,39 @@ def test_short_and_unspaced_lines_repeat_too(spark):
     assert got == {0: (texts[0], 0), 1: ("second text\n---", 3), 2: (texts[2], 0)}
 
 
+def scattered(text, n, draw):
+    """n single-character edits at random places."""
+    parts = list(text)
+    for at in draw.sample(range(len(parts)), n):
+        parts[at] = draw.choice(["", "z", parts[at] + "y"])
+    return "".join(parts).strip()
+
+
+def test_recall_of_fuzzy_lines_on_edit_similarity_alone(spark):
+    import random
+
+    draw = random.Random(11)
+    pairs = []
+    for k in range(400):
+        words = [5, 9, 14, 24, 40, 60, 100][k % 7]
+        text = sentence(f"recall{k}", words)
+        near_ = edited(text, *draw.sample(range(words), 1 + words // 40)) if k % 2 and words > 20 else scattered(text, max(1, int(len(text) * 0.07)), draw)
+        pairs.append((text, near_))
+    wide = "".join(chr(0x4E00 + draw.randrange(5000)) for _ in range(60))
+    pairs.append((wide, wide[:20] + "改" + wide[21:]))
+    pairs = [p for p in pairs if 1 - lines.distance(*p) / max(map(len, p)) >= lines.SIMILARITY]
+    assert len(pairs) > 380
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs_of(spark, [t for p in pairs for t in p])).collect()}
+    assert all(got[2 * k] == a for k, (a, _) in enumerate(pairs))
+    assert sum(got[2 * k + 1] == "" for k in range(len(pairs))) >= 0.99 * len(pairs)
+
+
+def test_distance_stops_only_beyond_the_bound():
+    a, b = sentence("stop", 12), edited(sentence("stop", 12), 1, 4)
+    exact = lines.distance(a, b)
+    assert lines.distance(a, b, exact) == exact and lines.distance(a, b, exact - 1) > exact - 1
+
+
 # ---- mixing ----------------------------------------------------------------------------------------------------
 def brute_targets(sizes):
     """Weights 1, 2, 3 by code point, null last; the excess over three times the size shared again."""
