@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import ann, decontaminate, html_text, lines, mixing, near, quality, secrets, toxicity, urls
+from engram.llm import ann, copies, decontaminate, html_text, lines, mixing, near, quality, secrets, toxicity, urls
 from engram.llm.store import small_batches, table
 
 
@@ -59,6 +59,11 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts by composable fingerprints, compared piece by piece."""
+    return copies.copies(table(spark, sf_dir, "documents"))
+
+
 def _registered(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         small_batches(spark)
@@ -81,6 +86,7 @@ QUERIES = {
         op8_html_text,
         op9_decontaminate,
         op10_secrets,
+        op13_exact_dedup,
     )
 }
 
@@ -119,4 +125,8 @@ c AS (SELECT doc_id, min(m) AS component_id FROM r GROUP BY 1)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)'''
 
-ORACLES: dict[str, str] = {"op3_near_duplicates": OP3_SQL, "op9_decontaminate": OP9_SQL}
+OP13_SQL = f'''
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, coalesce({_LOWER}, '') AS t FROM documents) WINDOW same AS (PARTITION BY t)'''
+
+ORACLES: dict[str, str] = {"op3_near_duplicates": OP3_SQL, "op9_decontaminate": OP9_SQL, "op13_exact_dedup": OP13_SQL}
