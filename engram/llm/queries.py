@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import ann, copies, decontaminate, html_text, lines, mixing, near, quality, secrets, toxicity, urls
+from engram.llm import ann, copies, decontaminate, html_text, lines, merkle, mixing, near, quality, secrets, toxicity, urls, whitening
 from engram.llm.store import small_batches, table
 
 
@@ -59,6 +59,17 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every vector, by a bidiagonal qd solver."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle leaves, roots and proofs of all documents, and which rows no longer fit after tampering."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered=tampered)
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts by composable fingerprints, compared piece by piece."""
     return copies.copies(table(spark, sf_dir, "documents"))
@@ -86,6 +97,8 @@ QUERIES = {
         op8_html_text,
         op9_decontaminate,
         op10_secrets,
+        op11_whiten,
+        op12_manifest,
         op13_exact_dedup,
     )
 }
@@ -129,4 +142,55 @@ OP13_SQL = f'''
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, coalesce({_LOWER}, '') AS t FROM documents) WINDOW same AS (PARTITION BY t)'''
 
-ORACLES: dict[str, str] = {"op3_near_duplicates": OP3_SQL, "op9_decontaminate": OP9_SQL, "op13_exact_dedup": OP13_SQL}
+def _merkle_levels(prefix: str, count: int) -> str:
+    """Levels of FAN nodes of the trees in ``prefix``_0 (tree, r, h); at each level left and right siblings of every node."""
+    parts = []
+    for k in range(count):
+        here, up = f"{prefix}_{k}", f"{prefix}_{k + 1}"
+        parts.append(f"""
+{here}n AS (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {here}),
+{here}s AS (SELECT tree, r, n,
+    coalesce(string_agg(h, '') OVER (PARTITION BY tree, r // 8 ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(h, '') OVER (PARTITION BY tree, r // 8 ORDER BY r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS t
+    FROM {here}n),
+{up} AS (SELECT tree, r // 8 AS r, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY r)) END AS h
+    FROM {here}n GROUP BY tree, r // 8)""")
+    return ",".join(parts)
+
+
+def _merkle_folds(start: str, prefix: str, rank: str, tree: str, count: int) -> str:
+    """``prefix``f_k: the rows of ``start`` (f, proof so far) after the first k levels."""
+    parts, before = [], start
+    for k in range(count):
+        step = f"{prefix}f_{k + 1}"
+        parts.append(f"""
+{step} AS (SELECT x.* REPLACE (CASE WHEN s.n = 1 THEN x.f ELSE sha256(s.l || x.f || s.t) END AS f, x.proof || s.l || s.t AS proof)
+    FROM {before} x JOIN {prefix}_{k}s s ON s.tree = x.{tree} AND s.r = x.{rank} // {8**k})""")
+        before = step
+    return ",".join(parts)
+
+
+#: Levels that the SQL twin unrolls: 8^6 rows a language and 64 languages.
+_DEEP, _WIDE = 6, 2
+_CODED = " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END" for c in merkle.FIELDS)
+_CRC_STEPS = "flatten([[CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(CAST(doc_id AS VARCHAR), '')])"
+_CRC = f"""xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {_CRC_STEPS}),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END))"""
+
+OP12_SQL = f'''
+WITH d AS (SELECT CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS tree, doc_id, sha256({_CODED}) AS leaf,
+    CASE WHEN {_CRC} % 3 = 0 THEN sha256({_CODED.replace("text", _LOWER)}) END AS changed FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank FROM d),
+a_0 AS (SELECT tree, rank AS r, leaf AS h FROM leaves),
+{_merkle_levels("a", _DEEP)},
+tops AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS place FROM a_{_DEEP}),
+b_0 AS (SELECT 0 AS tree, place AS r, h FROM tops),
+{_merkle_levels("b", _WIDE)},
+starts AS (SELECT doc_id, leaf, tree, rank, coalesce(changed, leaf) AS f, '' AS proof FROM leaves),
+{_merkle_folds("starts", "a", "rank", "tree", _DEEP)},
+grown AS (SELECT x.*, 0 AS over_all, t.place, t.h AS subroot FROM af_{_DEEP} x JOIN tops t USING (tree)),
+{_merkle_folds("grown", "b", "place", "over_all", _WIDE)}
+SELECT doc_id, leaf, subroot, (SELECT h FROM b_{_WIDE}) AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = (SELECT h FROM b_{_WIDE}) AS verified
+FROM bf_{_WIDE}'''
+
+ORACLES: dict[str, str] = {"op3_near_duplicates": OP3_SQL, "op9_decontaminate": OP9_SQL, "op12_manifest": OP12_SQL, "op13_exact_dedup": OP13_SQL}
