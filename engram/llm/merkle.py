@@ -171,7 +171,8 @@ def manifest(docs: DataFrame, tree: str = "lang", order: str = "doc_id", fields:
     changed = digest(encoded(*[F.when(F.col(c).isNotNull(), lowered(F.col(c))) if c == "text" else F.col(c) for c in fields]))
     found = F.lit(False) if tampered is None else F.coalesce(tampered, F.lit(False))
     leaves = docs.select(tree_key(F.col(tree)).alias("tree"), F.col(order).alias("id"), leaf.alias("hash"), F.when(found, changed).alias("changed"))
-    proved = proofs(leaves, ["id", "hash"])
+    # written down, so that dealing the leaves by range reads and hashes the texts once
+    proved = proofs(save(leaves), ["id", "hash"])
     siblings = F.array_join(F.transform("path", lambda s: F.concat(s["left"], s["right"])), "")
     proved = proved.select(
         F.col("id").alias(order), F.col("hash").alias("leaf"), "subroot", "root", digest(siblings).alias("proof_sha256"),
