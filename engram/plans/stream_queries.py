@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from engram.functions import text as tx
 from engram.operators import jobs as jb
+from engram.operators import ranking as rk
 from engram.plans import tables as tb
 from engram.plans.classify_queries import CLASSIFIED
 from engram.plans.dedupe_queries import HASHED
@@ -46,6 +47,29 @@ def stream_dedupe(spark, sf):
     return spark.read.parquet(f"{out}/rows").drop("epoch")
 
 
+@query(
+    "stream_dedupe_expiry",
+    """WITH e AS (SELECT event_id, user_id, ts, event_type, CAST(floor(value) AS BIGINT) % 5 AS h,
+        ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 24 HOURS AS ended FROM events),
+      s AS (SELECT *, sum(CASE WHEN ended THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM e),
+      n AS (SELECT *, row_number() OVER (PARTITION BY user_id, session, event_type ORDER BY ts, event_id) AS a,
+        row_number() OVER (PARTITION BY user_id, session, h ORDER BY ts, event_id) AS b FROM s)
+    SELECT user_id AS job_id, event_type AS memory_id, h AS content_hash, event_id FROM n WHERE a = 1 AND b = 1""",
+)
+def stream_dedupe_expiry(spark, sf):
+    """Keys that a silent job forgets, and that an active one keeps however long ago it wrote them."""
+    rows = _stream(spark, sf, "events").select(
+        F.col("user_id").alias("job_id"),
+        F.col("event_type").alias("memory_id"),
+        (F.floor("value") % 5).cast("bigint").alias("content_hash"),
+        "event_id",
+        F.col("ts").cast("timestamp").alias("ts"),
+    )
+    out = _out(spark, "dedupe-expiry")
+    st.dedupe_stream(rows, out, ["job_id"], "memory_id", "content_hash", ["event_id"], time=F.col("ts")).awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("job_id", "memory_id", "content_hash", "event_id")
+
+
 @query(
     "stream_merge",
     f"""WITH {CLASSIFIED}, k AS (SELECT owner_id AS job_id, 'category' AS kind, category AS key, count(*) AS c FROM classified GROUP BY ALL
@@ -138,3 +162,47 @@ def stream_invalidation(spark, sf):
     out = _out(spark, "invalid")
     st.invalidation_stream(changes, out).awaitTermination()
     return spark.read.parquet(f"{out}/days").select("owner_id", "day").distinct()
+
+
+@query(
+    "stream_ordered_results",
+    """SELECT user_id AS report_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS idx,
+        row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place, false AS late FROM events""",
+)
+def stream_ordered_results(spark, sf):
+    """Results that come in three scrambled deliveries, released in index order."""
+    events = tb.events(spark, sf).select(F.col("user_id").alias("report_id"), "ts", "event_id")
+    numbered = rk.running(events, ["report_id"], ["ts", "event_id"], number="idx").select("report_id", "event_id", "idx")
+    out = _out(spark, "ordered")
+    numbered.repartition(3, F.xxhash64("event_id")).write.parquet(f"{out}/in")
+    results = st.files(spark, f"{out}/in", numbered.schema, per_trigger=1)
+    st.ordered_stream(results, out).awaitTermination()
+    rows = spark.read.parquet(f"{out}/rows")
+    return rows.select("row.report_id", "row.event_id", "idx", "place", "late")
+
+
+@query(
+    "stream_expiry",
+    """WITH c AS (SELECT CAST(user_id AS VARCHAR) || ':' || strftime(ts, '%d') AS report_id, ts, event_id,
+        CASE event_type WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'fail' WHEN 'click' THEN 'running' ELSE 'queued' END AS status FROM events),
+      d AS (SELECT *, CASE status WHEN 'queued' THEN ts + INTERVAL 10 MINUTES WHEN 'running' THEN ts + INTERVAL 60 MINUTES END AS deadline,
+        lead(ts) OVER (PARTITION BY report_id ORDER BY ts, event_id) AS next, row_number() OVER (PARTITION BY report_id ORDER BY ts, event_id) AS n FROM c),
+      s AS (SELECT *, deadline IS NULL AS ended, CASE WHEN next IS NULL THEN epoch_ms(deadline) < (SELECT epoch_ms(max(ts)) FROM events)
+        ELSE deadline < next END AS stale FROM d),
+      f AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY n) AS k FROM s WHERE ended OR stale)
+    SELECT report_id, 'fail' AS render_status, 'failed' AS report_stage, deadline AS completed_at FROM f WHERE k = 1 AND stale""",
+)
+def stream_expiry(spark, sf):
+    """Each report that stays queued or running too long, failed once at its deadline."""
+    kind = F.col("event_type")
+    ts = F.col("ts").cast("timestamp")
+    changes = _stream(spark, sf, "events").select(
+        F.concat_ws(":", F.col("user_id").cast("string"), F.date_format(ts, "dd")).alias("report_id"),
+        F.when(kind == "purchase", "success").when(kind == "error", "fail").when(kind == "click", "running").otherwise("queued").alias("render_status"),
+        ts.alias("generated_at"),
+        F.when(kind == "click", ts).alias("started_at"),
+        ts.alias("ts"),
+    )
+    out = _out(spark, "expiry")
+    st.expiry_stream(changes, out).awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("report_id", "render_status", "report_stage", "completed_at")

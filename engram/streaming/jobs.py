@@ -1,9 +1,8 @@
 """Structured Streaming versions of the job operators.
 
 Every sink is a folder with one sub-folder per micro-batch, written in overwrite mode: a replayed micro-batch
-replaces its own output, so results are exactly-once without locks.  State that must be looked up (seen ids and
-hashes, versions) is a table of its live keys, joined like any other and never one group per job, so a single
-large job spreads over all tasks.
+replaces its own output, so results are exactly-once without locks.  Keyed state (seen keys, results that wait, deadlines) is
+Spark's own, see :mod:`engram.streaming.stateful`; a large job is many keys there, so that it spreads over all tasks.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from engram import lexicons as lx
 from engram import schemas
 from engram.operators import aggregate as ag
 from engram.operators import classify as cl
@@ -24,6 +24,8 @@ from engram.operators import jobs as jb
 from engram.operators import limits as lm
 from engram.operators import periods as pd
 from engram.operators.rules import Rule, category_order
+from engram.streaming import folded
+from engram.streaming import stateful as sf
 
 
 def files(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", per_trigger: int | None = None) -> DataFrame:
@@ -62,49 +64,71 @@ def run(stream: DataFrame, process: Callable[[DataFrame, int], None], checkpoint
 # --- first-seen dedupe --------------------------------------------------------
 
 
-def dedupe_batch(
-    df: DataFrame, epoch: int, out: str, scope: Sequence[str], id_col: str, hash_col: str, order: Sequence[str],
-    ttl_hours: int | None = 24, now: Column | None = None,
-) -> None:
-    """Write the rows whose id and hash are new, and remember the ids and hashes of all rows.
+def arrival() -> Column:
+    """When a micro-batch began: the same for all its rows, and the same again in a replay."""
+    return F.current_timestamp()
 
-    An id or hash is forgotten ``ttl_hours`` after it was last written, as a job's keys expire together.
+
+def _key(column: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
+
+
+def first_seen_stream(
+    stream: DataFrame, scope: Sequence[str], id_col: str, hash_col: str, order: Sequence[str],
+    ttl_hours: float = 24, time: Column | None = None, delay: str = "0 seconds", buckets: int = 16, clock: str = "EventTime",
+) -> DataFrame:
+    """The first rows of ids and of hashes: (job, kind 0 or 1, ref, row of ids). A row is new where both name it.
+
+    Seen keys live in state by (job, kind, bucket), so a job of any size spreads over the tasks, and a micro-batch writes only keys that it
+    brings. They are forgotten together, ``ttl_hours`` after the job's last write of any key: every write moves the one timer of its job,
+    and the job tells its buckets. ``order`` names a row. ``time`` is the arrival unless given; rows that are later than ``delay``
+    are judged all the same but do not renew their job. ``clock`` ProcessingTime fires timers without new rows, and
+    needs arrival times and a continuous trigger.
     """
-    spark = df.sparkSession
-    now = F.current_timestamp() if now is None else now
-    df = df.persist()
+    ttl = round(ttl_hours * 3600 * 1_000_000)
+    at = F.unix_micros(arrival() if time is None else time)
+    both = F.array(
+        F.struct(F.lit(0).alias("kind"), _key(id_col).alias("key"), F.struct(*stream.columns).alias("row")),
+        F.struct(F.lit(1).alias("kind"), _key(hash_col).alias("key"), F.lit(None).cast(stream.schema).alias("row")),
+    )
+    # one name for a job, null fields and all
+    job = F.to_json(F.struct(*scope), {"ignoreNullFields": "false"})
+    keys = stream.select(job.alias("job"), at.alias("at"), F.struct(*order).alias("ref"), F.inline(both))
+    keys = keys.withColumn("bucket", F.pmod(F.xxhash64("job", "kind", "key"), F.lit(buckets)).cast("int"))
+    spans = stream.select(job.alias("job"), at.alias("at")).mapInPandas(sf.activity_spans(ttl), "job string, start long, end long")
+    spans = spans.withColumn("written", F.timestamp_micros("end")).withWatermark("written", delay)
+    ended = spans.groupBy("job").transformWithState(
+        sf.Activity(ttl, buckets), "job string, kind int, bucket int, forget_at long", "Append", clock
+    )
+    events = keys.withColumn("forget_at", F.lit(None).cast("long")).unionByName(ended, allowMissingColumns=True)
+    out = f"job string, kind int, ref {keys.schema['ref'].dataType.simpleString()}, row {stream.schema.simpleString()}"
+    return events.groupBy("job", "kind", "bucket").transformWithState(sf.SeenKeys(), out, "Append", "None")
+
 
-    def seen(kind: str, key: str) -> DataFrame:
-        schema = StructType([*[df.schema[c] for c in scope], df.schema[key]]).add("seen_at", schemas.TIME)
-        keys = held(spark, f"{out}/{kind}", epoch, schema)
-        if ttl_hours is not None:
-            keys = keys.filter(F.col("seen_at") > now - F.make_dt_interval(hours=F.lit(ttl_hours)))
-        return keys
-
-    live = {"ids": (id_col, seen("ids", id_col)), "hashes": (hash_col, seen("hashes", hash_col))}
-    fresh = dd.first_seen(df, scope, id_col, hash_col, order)
-    for key, keys in live.values():
-        fresh = fresh.join(keys.select(*scope, key), [*scope, key], "left_anti")
-    fresh.write.mode("overwrite").parquet(epoch_folder(f"{out}/rows", epoch))
-    for kind, (key, keys) in live.items():
-        now_seen = keys.unionByName(df.select(*scope, key, now.alias("seen_at")))
-        latest = now_seen.groupBy(*scope, key).agg(F.max("seen_at").alias("seen_at"))
-        latest.write.mode("overwrite").parquet(slot_folder(f"{out}/{kind}", epoch))
+def dedupe_batch(df: DataFrame, epoch: int, out: str) -> None:
+    """Write the rows of a micro-batch whose id and hash are both new. ``df``: as :func:`first_seen_stream` gives it."""
+    df = df.persist()
+    hashes = df.filter("kind = 1").select(F.struct("job", "ref").alias("name"))
+    ids = df.filter("kind = 0").withColumn("id_name", F.struct("job", "ref"))
+    fresh = ids.join(hashes, F.col("id_name").eqNullSafe(F.col("name")), "left_semi")
+    fresh.select("row.*").write.mode("overwrite").parquet(epoch_folder(f"{out}/rows", epoch))
     df.unpersist()
 
 
-def dedupe_stream(stream: DataFrame, out: str, scope, id_col, hash_col, order, ttl_hours: int | None = 24, **trigger) -> StreamingQuery:
-    return run(
-        stream,
-        lambda df, epoch: dedupe_batch(df, epoch, out, scope, id_col, hash_col, order, ttl_hours),
-        f"{out}/checkpoint",
-        **trigger,
-    )
+def dedupe_stream(
+    stream: DataFrame, out: str, scope: Sequence[str], id_col: str, hash_col: str, order: Sequence[str],
+    ttl_hours: float = 24, time: Column | None = None, delay: str = "0 seconds", buckets: int = 16, clock: str = "EventTime", **trigger,
+) -> StreamingQuery:
+    """Write the rows whose id and hash the job has not seen, see :func:`first_seen_stream`."""
+    with sf.rocksdb(stream.sparkSession):
+        firsts = first_seen_stream(stream, scope, id_col, hash_col, order, ttl_hours, time, delay, buckets, clock)
+        return run(firsts, lambda df, epoch: dedupe_batch(df, epoch, out), f"{out}/checkpoint", **trigger)
 
 
 # --- incremental aggregates ---------------------------------------------------
 
 BATCH_ROW = ["job_id", "batch_index", "id"]
+COUNT_KEYS = ["job_id", "kind", "key"]
 
 
 def merge_batch(df: DataFrame, epoch: int, out: str, rules: Sequence[Rule]) -> None:
@@ -126,23 +150,34 @@ def merge_batch(df: DataFrame, epoch: int, out: str, rules: Sequence[Rule]) -> N
     classified.unpersist()
 
 
-def merge_stream(stream: DataFrame, out: str, rules: Sequence[Rule], **trigger) -> StreamingQuery:
+def merge_stream(
+    stream: DataFrame, out: str, rules: Sequence[Rule], time: Column | None = None, keep: str = "24 hours", fold_every: int = 20, **trigger
+) -> StreamingQuery:
     """Every (job, batch, id) counts once, whichever micro-batch brings it and however many files a batch comes in.
 
-    The rows seen are Spark's own streaming state, partitioned by key and restored with the checkpoint.
+    The rows seen are Spark's own streaming state, and go when they are ``keep`` older than the newest arrival; what is delivered again after that
+    counts again. ``time`` is the arrival unless given. Every ``fold_every`` micro-batches their counts are folded into one table.
     """
-    return run(stream.dropDuplicates(BATCH_ROW), lambda df, epoch: merge_batch(df, epoch, out, rules), f"{out}/checkpoint", **trigger)
+    arrived = stream.withColumn("__arrived", arrival() if time is None else time).withWatermark("__arrived", keep)
+    fresh = arrived.dropDuplicatesWithinWatermark(BATCH_ROW).drop("__arrived")
+
+    def process(df: DataFrame, epoch: int) -> None:
+        merge_batch(df, epoch, out, rules)
+        if (epoch + 1) % fold_every == 0:
+            folded.fold(df.sparkSession, f"{out}/counts", epoch, COUNT_KEYS, "count")
+            folded.fold(df.sparkSession, f"{out}/batches", epoch, ["job_id", "batch_index"], "processed")
+
+    return run(fresh, process, f"{out}/checkpoint", **trigger)
 
 
 def job_totals(spark: SparkSession, out: str) -> DataFrame:
     """Running counts of every job."""
-    counts = spark.read.parquet(f"{out}/counts")
-    return counts.groupBy("job_id", "kind", "key").agg(F.sum("count").cast("bigint").alias("count"))
+    return folded.total(spark, f"{out}/counts", COUNT_KEYS, "count")
 
 
 def job_progress(spark: SparkSession, out: str) -> DataFrame:
     """Batches met and rows counted for each job. A batch may have come in several micro-batches."""
-    met = spark.read.parquet(f"{out}/batches").groupBy("job_id", "batch_index").agg(F.sum("processed").alias("processed"))
+    met = folded.total(spark, f"{out}/batches", ["job_id", "batch_index"], "processed")
     return met.groupBy("job_id").agg(
         F.count(F.lit(1)).alias("completed_batches"), F.sum("processed").cast("bigint").alias("processed_memories")
     )
@@ -224,17 +259,72 @@ def invalidation_stream(stream: DataFrame, out: str, **trigger) -> StreamingQuer
     return run(stream, lambda df, epoch: invalidation_batch(df, epoch, out), f"{out}/checkpoint", **trigger)
 
 
-def expiry_stream(
-    spark: SparkSession,
-    read: Callable[[], DataFrame],
-    write: Callable[[DataFrame], None],
-    checkpoint: str,
-    every: str = "60 seconds",
-) -> StreamingQuery:
-    """Fail stale reports at a fixed interval; a sweep never overlaps the next one."""
-    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+def stale_reports(
+    changes: DataFrame, delay: str = "0 seconds", queued_minutes: int = 10, running_minutes: int = 60, clock: str = "EventTime"
+) -> DataFrame:
+    """Reports that stay queued or running too long, each once, as the rows that fail them.
+
+    ``changes``: report_id, render_status, generated_at, started_at, ts, one row for each status a report gets. A report has one timer, at the
+    deadline of its status; nothing is read again. Deadlines are due when a change later than ``delay`` after them arrives, or
+    with ``clock`` ProcessingTime by the clock. Changes that arrive later than ``delay`` are too late to count.
+    """
+    queued = F.col("generated_at") + F.make_dt_interval(mins=F.lit(queued_minutes))
+    running = F.coalesce("started_at", "generated_at") + F.make_dt_interval(mins=F.lit(running_minutes))
+    status = F.col("render_status")
+    deadline = F.unix_micros(F.when(status == "queued", queued).when(status == "running", running))
+    # of two changes at one time the last status comes last
+    rank = F.when(status == "queued", 0).when(status == "running", 1).otherwise(2)
+    rows = changes.withWatermark("ts", delay).select(
+        "report_id", "ts", F.unix_micros("ts").alias("at"), F.struct(rank.alias("rank"), deadline.alias("deadline")).alias("ref"), deadline.alias("deadline")
+    )
+    report_id = changes.schema["report_id"].dataType.simpleString()
+    failed = rows.groupBy("report_id").transformWithState(sf.StaleReports(), f"report_id {report_id}, failed_at long", "Append", clock)
+    return failed.select(
+        "report_id",
+        F.lit("fail").alias("render_status"),
+        F.lit("failed").alias("report_stage"),
+        F.timestamp_micros("failed_at").alias("completed_at"),
+        F.lit(lx.EXPIRED_CODE).alias("fail_code"),
+        F.lit(lx.EXPIRED_REASON).alias("fail_reason"),
+    )
+
+
+def _write_epochs(rows: DataFrame, out: str, **trigger) -> StreamingQuery:
+    def write(df: DataFrame, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(epoch_folder(f"{out}/rows", epoch))
+
+    with sf.rocksdb(rows.sparkSession):
+        return run(rows, write, f"{out}/checkpoint", **trigger)
+
+
+def expiry_stream(changes: DataFrame, out: str, delay: str = "0 seconds", clock: str = "EventTime", **trigger) -> StreamingQuery:
+    """Write the rows that fail stale reports, see :func:`stale_reports`."""
+    return _write_epochs(stale_reports(changes, delay, clock=clock), out, **trigger)
+
+
+# --- results in index order -----------------------------------------------------
+
+
+def in_index_order(
+    results: DataFrame, report: str = "report_id", index: str = "idx", limit_minutes: float = 10, time: Column | None = None,
+    first: int = 1, clock: str = "EventTime",
+) -> DataFrame:
+    """Results as they can be released: (report, idx, place, late, row), a report's in order of ``index``, counted by place.
+
+    A result waits for the ones before it, ``limit_minutes`` at most from its arrival; then those that wait go in order, and an index passed over
+    goes late when it comes. An index that comes again is not released again. Results without an index never are.
+    """
+    row = results.schema.simpleString()
+    id_type = results.schema[report].dataType.simpleString()
+    arrived = results.withColumn("arrived", arrival() if time is None else time).withWatermark("arrived", "0 seconds")
+    rows = arrived.filter(F.col(index).isNotNull()).select(
+        F.col(report).alias("report"), F.col(index).cast("long").alias("idx"), "arrived", F.unix_micros("arrived").alias("at"),
+        F.struct(*results.columns).alias("row"),
+    )
+    buffer = sf.Reorder(round(limit_minutes * 60_000_000), row, first)
+    return rows.groupBy("report").transformWithState(buffer, f"report {id_type}, idx long, place long, late boolean, row {row}", "Append", clock)
 
-    def sweep(_: DataFrame, epoch: int) -> None:
-        write(jb.expire_stale(read(), F.current_timestamp()))
 
-    return run(ticks, sweep, checkpoint, processingTime=every)
+def ordered_stream(results: DataFrame, out: str, trigger: dict | None = None, **options) -> StreamingQuery:
+    """Write results in index order, see :func:`in_index_order`."""
+    return _write_epochs(in_index_order(results, **options), out, **(trigger or {}))
