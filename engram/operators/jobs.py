@@ -207,10 +207,6 @@ def audit_rows(requests: DataFrame) -> DataFrame:
     )
 
 
-def append_audit(requests: DataFrame, path: str) -> None:
-    audit_rows(requests).withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
-
-
 def owner_activity(audit: DataFrame, owners: DataFrame | None = None) -> DataFrame:
     seen = audit.groupBy("owner_id").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
     if owners is None:

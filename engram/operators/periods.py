@@ -125,6 +125,21 @@ def invalidated_days(changes: DataFrame) -> DataFrame:
     return changes.select("owner_id", day.alias("day")).filter("day <> 'unknown-date'").distinct()
 
 
+def day_overview(messages: DataFrame) -> DataFrame:
+    """Per (owner, day): messages, how they were reviewed, how many were edited, and their characters.
+
+    ``messages``: owner_id, day, content, correctness, edit_version.
+    """
+    number = lambda c: F.count_if(F.coalesce(c, F.lit(False))).cast("bigint")
+    return messages.groupBy("owner_id", "day").agg(
+        F.count(F.lit(1)).cast("bigint").alias("messages"),
+        number(F.col("correctness") == "correct").alias("correct"),
+        number(F.col("correctness") == "incorrect").alias("incorrect"),
+        number(F.col("edit_version") > 0).alias("edited"),
+        F.coalesce(F.sum(F.length("content")), F.lit(0)).cast("bigint").alias("characters"),
+    )
+
+
 def without_invalidated(cache: DataFrame, changes: DataFrame) -> DataFrame:
     return cache.join(invalidated_days(changes), ["owner_id", "day"], "left_anti")
 

@@ -196,28 +196,26 @@ def relations(spark, sf):
     "chunk_relations_union",
     f"""WITH {UNIQUE}, {RELATIONS},
       o AS (SELECT owner_id, 0 AS part, created_at, id, place, pos, 'user' AS source, relation, target, id AS evidence FROM rel
-        UNION ALL SELECT source, 1, NULL, NULL, NULL, doc_id, 'chunk', 'written_in', lang, 'all' FROM documents WHERE doc_id % 5 = 0
-        UNION ALL SELECT source, 1, NULL, NULL, NULL, doc_id, 'chunk', 'has', lang, CAST(doc_id AS VARCHAR) || '|x' FROM documents WHERE doc_id % 7 = 0),
+        UNION ALL SELECT source, 1, NULL, NULL, NULL, doc_id, 'chunk', CASE doc_id % 5 WHEN 0 THEN 'written_in' ELSE 'has' END, lang,
+          CASE doc_id % 5 WHEN 0 THEN 'all' ELSE CAST(doc_id AS VARCHAR) || '|x' END FROM documents),
       f AS (SELECT *, row_number() OVER (PARTITION BY owner_id, source, relation, target, evidence ORDER BY part, created_at, id, place, pos, relation) AS r FROM o)
     SELECT owner_id, source, relation, target, evidence, place AS rank_in_report FROM (
       SELECT owner_id, source, relation, target, evidence, row_number() OVER (PARTITION BY owner_id ORDER BY part, created_at, id, place, pos, relation) AS place FROM f WHERE r = 1) WHERE place <= 18""",
 )
 def chunk_relations_union(spark, sf):
     docs = tb.table(spark, sf, "documents")
-    parts = [
-        docs.filter(F.col("doc_id") % n == 0).select(
-            F.col("source").alias("owner_id"),
-            F.col("doc_id").alias("pos"),
-            F.lit("chunk").alias("source"),
-            F.lit(relation).alias("relation"),
-            F.col("lang").alias("target"),
-            F.lit(0.5).alias("confidence"),
-            F.lit("").alias("excerpt"),
-            evidence.alias("evidence"),
-        )
-        for n, relation, evidence in ((5, "written_in", F.array(F.lit("all"))), (7, "has", F.array(F.col("doc_id").cast("string"), F.lit("x"))))
-    ]
-    found = cp.relations_with_chunks(cp.relation_rows(_features(spark, sf)), parts[0].unionByName(parts[1]))
+    whole = F.col("doc_id") % 5 == 0
+    chunks = docs.select(
+        F.col("source").alias("owner_id"),
+        F.col("doc_id").alias("pos"),
+        F.lit("chunk").alias("source"),
+        F.when(whole, "written_in").otherwise("has").alias("relation"),
+        F.col("lang").alias("target"),
+        F.lit(0.5).alias("confidence"),
+        F.lit("").alias("excerpt"),
+        F.when(whole, F.array(F.lit("all"))).otherwise(F.array(F.col("doc_id").cast("string"), F.lit("x"))).alias("evidence"),
+    )
+    found = cp.relations_with_chunks(cp.relation_rows(_features(spark, sf)), chunks)
     return found.select("owner_id", "source", "relation", "target", F.array_join("evidence", "|").alias("evidence"), "rank_in_report")
 
 

@@ -13,6 +13,7 @@ from engram.operators import jobs as jb
 from engram.operators import limits as lm
 from engram.plans import tables as tb
 from engram.plans.registry import query
+from engram.sources import keyed
 from engram.session import ensure_checkpoint_dir
 from engram.sources import memories as src
 
@@ -110,7 +111,25 @@ def owner_hashes(spark, sf):
       nullif(CAST(floor(value) AS BIGINT), 0) AS memory_count, CASE event_type WHEN 'error' THEN 500 ELSE 200 END AS status_code FROM events""",
 )
 def audit_rows(spark, sf):
-    e = tb.events(spark, sf).select(
+    return jb.audit_rows(_requests(spark, sf)).select("request_id", "owner_id", "batch_index", "memory_count", "status_code")
+
+
+@query(
+    "audit_table",
+    """SELECT event_id AS request_id, user_id AS owner_id, nullif(event_id % 4, 0) AS batch_index, nullif(CAST(floor(value) AS BIGINT), 0) AS memory_count,
+      CASE event_type WHEN 'error' THEN 500 ELSE 200 END AS status_code, 't' || CAST(event_id % 2 AS VARCHAR) AS transaction, CAST(ts AS DATE) AS day FROM events""",
+)
+def audit_table(spark, sf):
+    """Requests appended in two transactions, each tried twice, and the rows that count read back."""
+    path = tb.fresh_folder(spark, "audit")
+    e = _requests(spark, sf)
+    for k in (0, 1, 0, 1):
+        keyed.append_audit(e.filter(F.col("request_id") % 2 == k), path, f"t{k}")
+    return keyed.read_audit(spark, path).select("request_id", "owner_id", "batch_index", "memory_count", "status_code", "transaction", "day")
+
+
+def _requests(spark, sf):
+    return tb.events(spark, sf).select(
         F.col("event_id").alias("request_id"),
         F.col("user_id").alias("owner_id"),
         "ts",
@@ -121,7 +140,6 @@ def audit_rows(spark, sf):
         F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status_code"),
         F.lit(1).alias("latency_ms"),
     )
-    return jb.audit_rows(e).select("request_id", "owner_id", "batch_index", "memory_count", "status_code")
 
 
 # --- limits -------------------------------------------------------------------
@@ -423,6 +441,22 @@ def state_upsert(spark, sf):
     return jb.upsert(old, new, ["key"], ["version"])
 
 
+@query(
+    "keyed_upsert",
+    """SELECT user_id AS key, event_id AS version, CAST(floor(value) AS BIGINT) AS v FROM (SELECT *, row_number() OVER
+      (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1""",
+)
+def keyed_upsert(spark, sf):
+    """Three rounds of changes to a table on storage, the last one tried twice, and the table read back."""
+    e = tb.events(spark, sf).select(
+        F.col("user_id").alias("key"), F.col("event_id").alias("version"), F.floor("value").cast("bigint").alias("v")
+    )
+    path = tb.fresh_folder(spark, "keyed")
+    for token in (0, 1, 2, 2):
+        keyed.upsert(spark, path, e.filter(F.col("version") % 3 == token), ["key"], ["version"], f"round-{token}")
+    return keyed.read(spark, path, e.schema)
+
+
 @query(
     "retention",
     """SELECT event_id, CASE WHEN ts > TIMESTAMP '2024-01-30' - INTERVAL 24 HOUR THEN 'result' WHEN ts > TIMESTAMP '2024-01-30' - INTERVAL 7 DAY THEN 'payload'

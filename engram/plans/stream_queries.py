@@ -2,27 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from engram.functions import text as tx
 from engram.operators import jobs as jb
+from engram.operators import periods as pd
 from engram.operators import ranking as rk
 from engram.plans import tables as tb
 from engram.plans.classify_queries import CLASSIFIED
 from engram.plans.dedupe_queries import HASHED
 from engram.plans.registry import query
-from engram.session import ensure_checkpoint_dir
+from engram.sources import keyed
 from engram.streaming import jobs as st
 
 
-def _out(spark, name: str) -> str:
-    """A fresh folder next to the checkpoints, where every executor can see it."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 def _stream(spark, sf, name: str):
     path = f"{sf}/{name}*.parquet"
     return st.files(spark, path, tb.table(spark, sf, name).schema)
@@ -42,7 +35,7 @@ def stream_dedupe(spark, sf):
         "doc_id",
         tx.content_hash(tx.normalized(F.col("text"))).alias("content_hash"),
     )
-    out = _out(spark, "dedupe")
+    out = tb.fresh_folder(spark, "dedupe")
     st.dedupe_stream(rows, out, ["job_id"], "memory_id", "content_hash", ["doc_id"]).awaitTermination()
     return spark.read.parquet(f"{out}/rows").drop("epoch")
 
@@ -65,7 +58,7 @@ def stream_dedupe_expiry(spark, sf):
         "event_id",
         F.col("ts").cast("timestamp").alias("ts"),
     )
-    out = _out(spark, "dedupe-expiry")
+    out = tb.fresh_folder(spark, "dedupe-expiry")
     st.dedupe_stream(rows, out, ["job_id"], "memory_id", "content_hash", ["event_id"], time=F.col("ts")).awaitTermination()
     return spark.read.parquet(f"{out}/rows").select("job_id", "memory_id", "content_hash", "event_id")
 
@@ -83,7 +76,7 @@ def stream_merge(spark, sf):
         F.col("doc_id").cast("string").alias("id"),
         F.col("text").alias("content"),
     )
-    out = _out(spark, "merge")
+    out = tb.fresh_folder(spark, "merge")
     st.merge_stream(rows, out, tb.RULES).awaitTermination()
     return st.job_totals(spark, out).filter("count > 0")
 
@@ -99,7 +92,7 @@ def stream_rate_counts(spark, sf):
         F.col("ts").cast("timestamp").alias("ts"),
         F.when(F.col("event_type") == "purchase", 3).otherwise(1).alias("cost"),
     )
-    out = _out(spark, "rates")
+    out = tb.fresh_folder(spark, "rates")
     counts = st.rate_counts(requests, "1 day")
 
     def keep(df, epoch):
@@ -128,7 +121,7 @@ def stream_rate_verdicts(spark, sf):
         F.lit(2).alias("rpm_limit"),
         F.lit(5).alias("daily_limit"),
     )
-    out = _out(spark, "verdicts")
+    out = tb.fresh_folder(spark, "verdicts")
     st.verdict_stream(requests, out).awaitTermination()
     return spark.read.parquet(f"{out}/rows").select("request_id", "owner_id", "minute_count", "day_count", "rejected")
 
@@ -146,7 +139,7 @@ def stream_event_log(spark, sf):
         F.col("ts").cast("timestamp").alias("ts"),
         F.when(kind == "purchase", "batch_completed").when(kind == "error", "batch_failed").otherwise("batch_started").alias("type"),
     )
-    out = _out(spark, "log")
+    out = tb.fresh_folder(spark, "log")
     st.log_stream(log, out).awaitTermination()
     return spark.read.parquet(f"{out}/events").select("job_id", "event_id", "version")
 
@@ -159,11 +152,37 @@ def stream_invalidation(spark, sf):
     changes = _stream(spark, sf, "events").filter("event_type = 'error'").select(
         F.col("user_id").cast("string").alias("owner_id"), F.col("ts").cast("timestamp").alias("created_at")
     )
-    out = _out(spark, "invalid")
+    out = tb.fresh_folder(spark, "invalid")
     st.invalidation_stream(changes, out).awaitTermination()
     return spark.read.parquet(f"{out}/days").select("owner_id", "day").distinct()
 
 
+@query(
+    "stream_day_cache",
+    f"""WITH {tb.SES} SELECT owner_id, strftime(created_at, '%Y-%m-%d') AS day, count(*) AS messages,
+      count(*) FILTER (turn % 3 = 1 AND conv_id % 4 > 1) AS correct, count(*) FILTER (turn % 3 = 1 AND conv_id % 4 = 0) AS incorrect,
+      count(*) FILTER (turn % 3 = 1) AS edited, CAST(sum(length(content)) AS BIGINT) AS characters FROM ses GROUP BY ALL""",
+)
+def stream_day_cache(spark, sf):
+    """Day summaries of all messages, kept up to date with a stream of reviews: only reviewed days are computed again."""
+    said = tb.sessions(spark, sf).select("owner_id", "id", "created_at", "content")
+    path, turn, conv = tb.fresh_folder(spark, "days"), F.col("turn"), F.col("conv_id")
+    reviews = tb.table(spark, sf, "conversations").filter(turn % 3 == 1).select(
+        F.concat_ws(":", conv.cast("string"), turn.cast("string")).alias("id"),
+        F.when(conv % 4 == 0, "incorrect").when(conv % 4 == 1, "unknown").otherwise("correct").alias("correctness"),
+        turn.cast("int").alias("edit_version"),
+    )
+    before = said.withColumns({"correctness": F.lit(None).cast("string"), "edit_version": F.lit(None).cast("int")})
+    st.recompute_batch(before, -1, path, lambda: before)
+    changed = said.join(reviews, "id").select("owner_id", "created_at")
+    changed.write.parquet(f"{path}-changes")
+    stream = st.files(spark, f"{path}-changes", changed.schema)
+    st.recompute_stream(stream, path, f"{path}-checkpoint", lambda: said.join(reviews, "id", "left")).awaitTermination()
+    columns = ["owner_id", "day", "messages", "correct", "incorrect", "edited", "characters"]
+    schema = before.withColumn("day", F.lit("")).transform(pd.day_overview).withColumn("computed", F.lit(0).cast("bigint")).schema
+    return keyed.read(spark, path, schema).select(columns)
+
+
 @query(
     "stream_ordered_results",
     """SELECT user_id AS report_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS idx,
@@ -173,7 +192,7 @@ def stream_ordered_results(spark, sf):
     """Results that come in three scrambled deliveries, released in index order."""
     events = tb.events(spark, sf).select(F.col("user_id").alias("report_id"), "ts", "event_id")
     numbered = rk.running(events, ["report_id"], ["ts", "event_id"], number="idx").select("report_id", "event_id", "idx")
-    out = _out(spark, "ordered")
+    out = tb.fresh_folder(spark, "ordered")
     numbered.repartition(3, F.xxhash64("event_id")).write.parquet(f"{out}/in")
     results = st.files(spark, f"{out}/in", numbered.schema, per_trigger=1)
     st.ordered_stream(results, out).awaitTermination()
@@ -203,6 +222,6 @@ def stream_expiry(spark, sf):
         F.when(kind == "click", ts).alias("started_at"),
         ts.alias("ts"),
     )
-    out = _out(spark, "expiry")
+    out = tb.fresh_folder(spark, "expiry")
     st.expiry_stream(changes, out).awaitTermination()
     return spark.read.parquet(f"{out}/rows").select("report_id", "render_status", "report_stage", "completed_at")

@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram import lexicons as lx
 from engram.operators.rules import Rule
+from engram.session import ensure_checkpoint_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder next to the checkpoints, where every executor can see it."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal a table out over the cores where it comes in fewer splits than there are cores; else it stays where it is read."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -72,12 +72,13 @@ def unknown_evidence(spark, sf):
       b AS (SELECT * FROM c WHERE (owner_id, id) NOT IN (SELECT (owner_id, id) FROM known)),
       u AS (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY pos, id) AS place FROM (SELECT owner_id, id, min(pos) AS pos FROM b GROUP BY ALL)),
       l AS (SELECT owner_id, string_agg(id, ',' ORDER BY place) AS invalid_ids FROM u WHERE place <= 12 GROUP BY 1),
-      k AS (SELECT owner_id, count(DISTINCT event_type) AS n FROM b GROUP BY 1 UNION ALL SELECT user_id, sum(event_id % 3) FROM events WHERE event_id % 50 = 1 GROUP BY 1 HAVING sum(event_id % 3) > 0)
+      k AS (SELECT owner_id, count(DISTINCT event_type) AS n FROM b GROUP BY 1 UNION ALL SELECT user_id, sum(CASE event_id % 50 WHEN 1 THEN event_id % 3 ELSE 0 END) FROM events GROUP BY 1)
     SELECT owner_id, CAST(sum(n) AS BIGINT) AS repair_count, coalesce(any_value(invalid_ids), '') AS invalid_ids FROM k LEFT JOIN l USING (owner_id) GROUP BY 1""",
 )
 def repair_diagnostics(spark, sf):
     checked = va.check_evidence(_refs(spark, sf), _memories(spark, sf), ["owner_id", "event_type"])
-    others = _events(spark, sf).filter(_key() % 50 == 1).select("owner_id", (_key() % 3).cast("bigint").alias("repaired"))
+    repaired = F.when(_key() % 50 == 1, _key() % 3).otherwise(0).cast("bigint")
+    others = _events(spark, sf).select("owner_id", repaired.alias("repaired"))
     found = va.repair_diagnostics(checked, ["owner_id", "event_type"], others)
     return found.withColumn("invalid_ids", F.array_join("invalid_ids", ","))
 

@@ -9,54 +9,37 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engram.sources.folders import numbered, remove
 
-def _files(spark: SparkSession, path: str):
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path, jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
 
-
-def complete(spark: SparkSession, path: str, name: str) -> list[int]:
-    """Numbers of the complete folders ``path``/``name``=N, ascending."""
-    folder, files = _files(spark, path)
-    if not files.exists(folder):
-        return []
-    found = [f.getPath() for f in files.listStatus(folder) if f.getPath().getName().startswith(f"{name}=")]
-    done = [f for f in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
-    return sorted(int(f.getName().split("=")[1]) for f in done)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    folder, files = _files(spark, path)
-    files.delete(folder, True)
-
-
-def _rows(spark: SparkSession, path: str, upto: int | None, keys: Sequence[str], value: str) -> tuple[DataFrame, int]:
+def _rows(spark: SparkSession, path: str, upto: int | None, keys: Sequence[str], value: str) -> tuple[DataFrame | None, int]:
     """(rows whose sums are the totals, micro-batch that the folded table reaches), up to a micro-batch or of all."""
-    folded = [n for n in complete(spark, f"{path}_folded", "upto") if upto is None or n < upto]
-    base = folded[-1] if folded else -1
-    epochs = [n for n in complete(spark, path, "epoch") if n > base and (upto is None or n <= upto)]
-    folders = [f"{path}_folded/upto={base}"] * bool(folded) + [f"{path}/epoch={n}" for n in epochs]
-    if not folders:
-        raise FileNotFoundError(path)
-    return spark.read.parquet(*folders).select(*keys, value), base
+    done = [n for n in numbered(spark, f"{path}_folded", "upto") if upto is None or n <= upto]
+    base = done[-1] if done else -1
+    epochs = [n for n in numbered(spark, path, "epoch") if n > base and (upto is None or n <= upto)]
+    folders = [f"{path}_folded/upto={base}"] * bool(done) + [f"{path}/epoch={n}" for n in epochs]
+    return (spark.read.parquet(*folders).select(*keys, value) if folders else None), base
 
 
-def total(spark: SparkSession, path: str, keys: Sequence[str], value: str) -> DataFrame:
-    """Sums over all micro-batches."""
-    rows, _ = _rows(spark, path, None, keys, value)
-    return rows.groupBy(*keys).agg(F.sum(value).cast("bigint").alias(value))
+def total(spark: SparkSession, path: str, keys: Sequence[str], value: str, upto: int | None = None) -> DataFrame | None:
+    """Sums over all micro-batches, or those up to one; None where nothing was written yet."""
+    rows, _ = _rows(spark, path, upto, keys, value)
+    return None if rows is None else rows.groupBy(*keys).agg(F.sum(value).cast("bigint").alias(value))
 
 
-def fold(spark: SparkSession, path: str, epoch: int, keys: Sequence[str], value: str) -> None:
-    """Fold the micro-batches up to ``epoch``; drop what the folding before had replaced already."""
-    rows, base = _rows(spark, path, epoch, keys, value)
+def fold(spark: SparkSession, path: str, epoch: int, keys: Sequence[str], value: str, keep: Column | None = None) -> None:
+    """Fold the micro-batches up to ``epoch``, of the rows that ``keep`` holds for; drop what the folding before had replaced already."""
+    rows, base = _rows(spark, path, epoch - 1, keys, value)
+    last = spark.read.parquet(f"{path}/epoch={epoch}").select(*keys, value)
+    rows = last if rows is None else rows.unionByName(last)
+    rows = rows if keep is None else rows.filter(keep)
     rows.groupBy(*keys).agg(F.sum(value).cast("bigint").alias(value)).write.mode("overwrite").parquet(f"{path}_folded/upto={epoch}")
-    for n in complete(spark, path, "epoch"):
+    for n in numbered(spark, path, "epoch"):
         if n <= base:
             remove(spark, f"{path}/epoch={n}")
-    for n in complete(spark, f"{path}_folded", "upto"):
+    for n in numbered(spark, f"{path}_folded", "upto"):
         if n < base:
             remove(spark, f"{path}_folded/upto={n}")

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from engram import lexicons as lx
 from engram import schemas
+from engram.functions import text as tx
 from engram.operators import aggregate as ag
 from engram.operators import classify as cl
 from engram.operators import dedupe as dd
@@ -24,6 +24,7 @@ from engram.operators import jobs as jb
 from engram.operators import limits as lm
 from engram.operators import periods as pd
 from engram.operators.rules import Rule, category_order
+from engram.sources import keyed
 from engram.streaming import folded
 from engram.streaming import stateful as sf
 
@@ -40,22 +41,6 @@ def epoch_folder(path: str, epoch: int) -> str:
     return f"{path}/epoch={epoch}"
 
 
-def held(spark: SparkSession, path: str, epoch: int, schema: StructType) -> DataFrame:
-    """State as the micro-batch before ``epoch`` left it; empty at first."""
-    try:
-        return spark.read.schema(schema).parquet(slot_folder(path, epoch - 1))
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
-def slot_folder(path: str, epoch: int) -> str:
-    """State is one row for each live key, in two folders by turns: a micro-batch reads one and replaces the other,
-    so a replay finds what the first try found, and nothing but live keys is ever read."""
-    return f"{path}/slot={epoch % 2}"
-
-
 def run(stream: DataFrame, process: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
     writer = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
@@ -201,15 +186,21 @@ def rate_counts(requests: DataFrame, length: str = "1 minute", delay: str = "10
     )
 
 
-def verdict_batch(df: DataFrame, epoch: int, out: str, keep_hours: int = 48) -> None:
+USED_KEYS = ["owner_id", "length", "start"]
+
+
+def verdict_batch(df: DataFrame, epoch: int, out: str, keep_hours: int = 48, fold_every: int = 20) -> None:
     """Write the verdict of every request, counting what its minute and day have used in this and earlier micro-batches.
 
     ``df``: owner_id, request_id, ts, cost, rpm_limit, daily_limit. Inside a micro-batch requests count by time, between them
-    by arrival. The state is one row for each owner and window; windows ``keep_hours`` older than the newest request go.
+    by arrival. A micro-batch writes what its own windows use; folding every ``fold_every`` drops windows ``keep_hours`` older
+    than the newest request.
     """
     df = df.persist()
-    schema = StructType([df.schema["owner_id"]]).add("length", schemas.TEXT).add("start", schemas.TIME).add("base", schemas.LONG)
-    used = held(df.sparkSession, f"{out}/used", epoch, schema)
+    used = folded.total(df.sparkSession, f"{out}/used", USED_KEYS, "base", epoch - 1)
+    if used is None:
+        schema = StructType([df.schema["owner_id"]]).add("length", schemas.TEXT).add("start", schemas.TIME).add("base", schemas.LONG)
+        used = df.sparkSession.createDataFrame([], schema)
     rows = lm.rate_windows(df).drop("rejected")
     for length in ("minute", "day"):
         base = used.filter(F.col("length") == length).select(F.col("owner_id").alias("__owner"), F.col("start").alias("__start"), F.col("base").alias("__base"))
@@ -222,11 +213,12 @@ def verdict_batch(df: DataFrame, epoch: int, out: str, keep_hours: int = 48) ->
         df.select("owner_id", F.lit(length).alias("length"), F.date_trunc(length, "ts").alias("start"), F.col("cost").cast("bigint").alias("base"))
         for length in ("minute", "day")
     ]
-    state = used.unionByName(spent[0]).unionByName(spent[1]).groupBy("owner_id", "length", "start").agg(F.sum("base").alias("base"))
-    newest = df.agg(F.max("ts")).first()[0]
-    if newest is not None:
-        state = state.filter(F.col("start") > F.lit(newest) - F.make_dt_interval(hours=F.lit(keep_hours)))
-    state.write.mode("overwrite").parquet(slot_folder(f"{out}/used", epoch))
+    now_used = spent[0].unionByName(spent[1]).groupBy(*USED_KEYS).agg(F.sum("base").alias("base"))
+    now_used.write.mode("overwrite").parquet(epoch_folder(f"{out}/used", epoch))
+    if (epoch + 1) % fold_every == 0:
+        newest = df.agg(F.max("ts")).first()[0]
+        keep = None if newest is None else F.col("start") > F.lit(newest) - F.make_dt_interval(hours=F.lit(keep_hours))
+        folded.fold(df.sparkSession, f"{out}/used", epoch, USED_KEYS, "base", keep)
     df.unpersist()
 
 
@@ -234,15 +226,17 @@ def verdict_stream(requests: DataFrame, out: str, **trigger) -> StreamingQuery:
     return run(requests, lambda df, epoch: verdict_batch(df, epoch, out), f"{out}/checkpoint", **trigger)
 
 
-def log_batch(df: DataFrame, epoch: int, out: str) -> None:
-    """Append job events with their versions, continuing each job's own count. The state is a job's latest version."""
-    base = held(df.sparkSession, f"{out}/versions", epoch, schemas.JOB_VERSION).withColumnRenamed("version", "base")
+def log_batch(df: DataFrame, epoch: int, out: str, fold_every: int = 20) -> None:
+    """Append job events with their versions, continuing each job's own count. A micro-batch writes the steps of its own jobs."""
+    base = folded.total(df.sparkSession, f"{out}/versions", ["job_id"], "version", epoch - 1)
+    base = (df.sparkSession.createDataFrame([], schemas.JOB_VERSION) if base is None else base).withColumnRenamed("version", "base")
     versioned = jb.event_versions(df.persist())
     continued = versioned.join(base, "job_id", "left").withColumn("version", F.col("version") + F.coalesce("base", F.lit(0)))
     continued.drop("base").write.mode("overwrite").parquet(epoch_folder(f"{out}/events", epoch))
-    reached = continued.groupBy("job_id").agg(F.max("version").alias("version"))
-    latest = base.withColumnRenamed("base", "version").unionByName(reached).groupBy("job_id").agg(F.max("version").alias("version"))
-    latest.write.mode("overwrite").parquet(slot_folder(f"{out}/versions", epoch))
+    steps = versioned.groupBy("job_id").agg(F.max("version").alias("version"))
+    steps.write.mode("overwrite").parquet(epoch_folder(f"{out}/versions", epoch))
+    if (epoch + 1) % fold_every == 0:
+        folded.fold(df.sparkSession, f"{out}/versions", epoch, ["job_id"], "version")
     df.unpersist()
 
 
@@ -259,6 +253,33 @@ def invalidation_stream(stream: DataFrame, out: str, **trigger) -> StreamingQuer
     return run(stream, lambda df, epoch: invalidation_batch(df, epoch, out), f"{out}/checkpoint", **trigger)
 
 
+def day_part(day: Column, owner: Column, slices: int = 8) -> Column:
+    """Where a day of an owner lies in a table of days."""
+    return F.concat_ws("-", day, F.pmod(F.xxhash64(owner), F.lit(slices)).cast("string"))
+
+
+def recompute_batch(
+    df: DataFrame, epoch: int, path: str, messages: Callable[[], DataFrame], summarise: Callable[[DataFrame], DataFrame] = pd.day_overview
+) -> list[str]:
+    """Summarise again the days of the changed messages in ``df``, and put them into the table at ``path``; no other part is read or written.
+
+    ``messages`` gives all messages as they are now (owner_id, created_at and what ``summarise`` reads); those of other days do not
+    reach it. A day of which nothing is left gets a summary of no messages. Returns the parts that were rewritten.
+    """
+    days = pd.invalidated_days(df)
+    now = messages().withColumn("day", tx.day_key(F.col("created_at"))).join(days, ["owner_id", "day"], "left_semi")
+    fresh = summarise(now)
+    rest = days.join(fresh.select("owner_id", "day"), ["owner_id", "day"], "left_anti")
+    rows = fresh.unionByName(rest, allowMissingColumns=True).na.fill(0).withColumn("computed", F.lit(epoch).cast("bigint"))
+    part = day_part(F.col("day"), F.col("owner_id"))
+    return keyed.upsert(df.sparkSession, path, rows, ["owner_id", "day"], ["computed"], f"epoch-{epoch}", part)
+
+
+def recompute_stream(changes: DataFrame, path: str, checkpoint: str, messages: Callable[[], DataFrame], **trigger) -> StreamingQuery:
+    """Keep a table of day summaries up to date with a stream of changed messages (owner_id, created_at)."""
+    return run(changes, lambda df, epoch: recompute_batch(df, epoch, path, messages), checkpoint, **trigger)
+
+
 def stale_reports(
     changes: DataFrame, delay: str = "0 seconds", queued_minutes: int = 10, running_minutes: int = 60, clock: str = "EventTime"
 ) -> DataFrame:
