@@ -19,6 +19,7 @@ from engram.functions import text as tx
 from engram.functions.binding import computed, let
 from engram.functions.lexicon import jvm_regex, mentions
 from engram.functions.tokens import coverage_tokens, facet_tokens, top_tokens
+from engram.operators.containment import contained
 from engram.operators.rules import Rule, category_order
 from engram.session import materialize
 
@@ -157,27 +158,14 @@ def rule_scores(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     )
 
 
-#: Lengths of the pattern beginnings that texts look up; a pattern uses the largest one it reaches.
-LOOKUP_SIZES = (12, 6, 3, 2, 1)
-
-
 def literal_scores(df: DataFrame, rules: DataFrame) -> DataFrame:
     """(owner_id, id, category, score) from a table of keyword and phrase rules (category, pattern, weight) of any size.
 
-    Each text is opened into its distinct runs of the lengths in use, which join the beginnings of the patterns; only
-    the texts of those candidates are then searched for the whole pattern. ``id`` must be unique inside ``owner_id``.
+    Texts and patterns meet by rare character runs, see :mod:`engram.operators.containment`. ``id`` must be unique inside ``owner_id``.
     """
-    lowered = F.lower("pattern")
-    size = F.coalesce(*[F.when(F.length(lowered) >= n, n) for n in LOOKUP_SIZES])
-    begun = rules.filter(size.isNotNull()).groupBy(lowered.alias("pattern"), "category", size.alias("size"))
-    begun = begun.agg(F.sum(F.col("weight").cast("bigint")).alias("weight")).withColumn("gram", F.substring("pattern", F.lit(1), F.col("size")))
-    sizes = [r["size"] for r in begun.select("size").distinct().collect()]  # five at most
-    texts = computed(df.select("owner_id", "id", "content"), "text", tx.normalized(F.col("content"))).drop("content")
-    runs = [F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]
-    runs = F.array_distinct(F.concat(*runs)) if runs else F.array().cast("array<string>")
-    candidates = texts.select("owner_id", "id", F.explode_outer(runs).alias("gram")).join(begun, "gram")
-    found = candidates.select("owner_id", "id", "pattern", "category", "weight").join(texts, ["owner_id", "id"])
-    found = found.filter(F.contains(F.col("text"), F.col("pattern")))
+    weights = rules.groupBy(F.lower("pattern").alias("pattern"), "category").agg(F.sum(F.col("weight").cast("bigint")).alias("weight"))
+    texts = df.select("owner_id", "id", tx.normalized(F.col("content")).alias("text"))
+    found = contained(texts, weights.select("pattern"), ["owner_id", "id"]).join(weights, "pattern")
     return found.groupBy("owner_id", "id", "category").agg(F.sum("weight").cast("bigint").alias("score"))
 
 

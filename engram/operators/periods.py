@@ -17,6 +17,8 @@ INSIGHTS_PER_DIMENSION = 3
 EVIDENCE_PER_INSIGHT = 1
 EVIDENCE_PER_CHANGE = 3
 QUOTE_CHARS = 280
+#: Quotes that are searched in a period's texts together, about.
+QUOTES_AT_ONCE = 500
 CACHE_DAYS = 30
 
 
@@ -149,7 +151,7 @@ def without_invalidated(cache: DataFrame, changes: DataFrame) -> DataFrame:
 
 def repair_evidence(evidence: DataFrame, periods_: DataFrame) -> DataFrame:
     """Evidence with an id of its period: the given one if it exists there, else the first memory that holds
-    the quote (or is held by it). Rows without a match are dropped.
+    the quote (or is held by it). Rows without a match are dropped. A quote is searched once for each period.
 
     ``evidence``: owner_id, day, key columns, raw_id, quote.
     """
@@ -160,20 +162,20 @@ def repair_evidence(evidence: DataFrame, periods_: DataFrame) -> DataFrame:
     )
     checked = quoted.join(texts, ["owner_id", "day", "raw_id"], "left")
     given = checked.filter("known").withColumn("evidence_id", F.col("raw_id"))
-    # The period's texts sit in one bounded array, so a quote scans them without making pairs.
-    searched = (
-        checked.filter("known is null")
-        .join(periods_.select("owner_id", "day", "memories"), ["owner_id", "day"])
-        .withColumn(
-            "evidence_id",
-            F.get(
-                F.filter("memories", lambda m: F.contains(m["text"], F.col("quote")) | F.contains(F.col("quote"), m["text"])),
-                F.lit(0),
-            )["id"],
-        )
-        .filter("evidence_id is not null")
-        .drop("memories")
-    )
+    # Quotes go to their period in lists of bounded size, and only the ids found come back: no row of a quote carries texts.
+    per = ["owner_id", "day"]
+    lost = checked.filter("known is null")
+    asked = lost.select(*per, "quote").distinct()
+    lists = F.ceil(F.count(F.lit(1)) / QUOTES_AT_ONCE).cast("int")
+    dealt = asked.join(asked.groupBy(*per).agg(lists.alias("lists")), per)
+    dealt = dealt.groupBy(*per, F.pmod(F.xxhash64("quote"), "lists").alias("list")).agg(F.collect_list("quote").alias("quotes"))
+
+    def first_holder(quote: Column) -> Column:
+        held = F.filter("memories", lambda m: F.contains(m["text"], quote) | F.contains(quote, m["text"]))
+        return F.struct(quote.alias("quote"), F.get(held, F.lit(0))["id"].alias("evidence_id"))
+
+    met = dealt.join(periods_.select(*per, "memories"), per).select(*per, F.inline_outer(F.transform("quotes", first_holder)))
+    searched = lost.join(met.filter("evidence_id is not null"), [*per, "quote"])
     return given.unionByName(searched).drop("known")
 
 
