@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import zlib
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,14 +19,71 @@ def _in(x: Column, words: Sequence[str]) -> Column:
     return x.isin(list(words))
 
 
-def word_tokens(c: Column) -> Column:
-    """Words longer than one character. Han runs stay whole (no segmenter in the JVM)."""
+#: Turns a run of Han characters into its words (array<string>).
+Segmenter = Callable[[Column], Column]
+
+
+def word_tokens(c: Column, segment: Segmenter | None = None) -> Column:
+    """Words longer than one character. Han runs stay whole, unless ``segment`` cuts them."""
     found = F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+(?:[._'][\p{L}\p{N}]+)*"), F.lit(0))
+    if segment is not None:
+        found = F.flatten(F.transform(found, lambda t: F.when(has_han(t), _cut_han(t, segment)).otherwise(F.array(t))))
     return F.filter(found, lambda t: F.length(t) > 1)
 
 
-def facet_tokens(c: Column, stopwords: Sequence[str] = tuple(lx.FACET_STOPWORDS)) -> Column:
-    return F.filter(F.transform(word_tokens(c), F.lower), lambda t: (F.length(t) > 1) & ~_in(t, stopwords))
+def _cut_han(token: Column, segment: Segmenter) -> Column:
+    """The words of the Han runs of a token, and what stands between them."""
+    parts = F.regexp_extract_all(token, F.lit(r"\p{IsHan}+|\P{IsHan}+"), F.lit(0))
+    return F.flatten(F.transform(parts, lambda x: F.when(has_han(x), segment(x)).otherwise(F.array(x))))
+
+
+def facet_tokens(c: Column, stopwords: Sequence[str] = tuple(lx.FACET_STOPWORDS), segment: Segmenter | None = None) -> Column:
+    return F.filter(F.transform(word_tokens(c, segment), F.lower), lambda t: (F.length(t) > 1) & ~_in(t, stopwords))
+
+
+def lattice(dictionary: Mapping[str, float], unknown: float = 20.0) -> Segmenter:
+    """A segmenter by dictionary: of all ways to cut a run into words, the one of least cost.
+
+    ``dictionary``: word -> cost, such as the negative logarithm of its frequency. A character that is no word by itself costs ``unknown``. At
+    equal cost the longer last word wins. The best cut up to each character follows from those before it. The
+    dictionary becomes a constant of the plan, which bounds it to some ten thousands of words; pass a segmenter of your own for more.
+    """
+    longest = max(map(len, dictionary), default=1)
+    size = 1 << max(4, (2 * len(dictionary)).bit_length())
+    buckets: list[list] = [[] for _ in range(size)]
+    for word, cost in dictionary.items():
+        buckets[zlib.crc32(word.encode()) % size].append({"w": word, "c": float(cost)})
+    index = F.from_json(F.lit(json.dumps(buckets)), "array<array<struct<w:string,c:double>>>")
+
+    def cost(word: Column, length: Column) -> Column:
+        known = F.filter(F.get(index, F.pmod(F.crc32(word.cast("binary")), F.lit(size)).cast("int")), lambda r: r["w"] == word)
+        return F.coalesce(F.get(known, F.lit(0))["c"], F.when(length == 1, F.lit(float(unknown))))
+
+    def step(text: Column, best: Column, i: Column) -> Column:
+        ends = F.transform(
+            F.sequence(F.lit(1), F.least(i, F.lit(longest))),
+            lambda n: F.struct((F.get(best, i - n)["cost"] + cost(F.substring(text, i - n + 1, n), n)).alias("cost"), (-n).alias("back")),
+        )
+        return F.array_min(F.filter(ends, lambda e: e["cost"].isNotNull()))
+
+    def words(text: Column, best: Column) -> Column:
+        def back(s: Column, _: Column) -> Column:
+            n = -F.get(best, s["end"])["back"]
+            word = F.substring(text, s["end"] - n + 1, n)
+            return F.when(s["end"] > 0, F.struct((s["end"] - n).alias("end"), F.concat(F.array(word), s["words"]).alias("words"))).otherwise(s)
+
+        start = F.struct(F.length(text).alias("end"), F.array().cast("array<string>").alias("words"))
+        return F.aggregate(F.sequence(F.lit(1), F.length(text)), start, back)["words"]
+
+    def segment(run: Column) -> Column:
+        def cut(text: Column) -> Column:
+            start = F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("back")))
+            best = F.aggregate(F.sequence(F.lit(1), F.length(text)), start, lambda b, i: F.concat(b, F.array(step(text, b, i))))
+            return let(best, lambda b: words(text, b))
+
+        return F.when(F.length(run) > 0, let(run, cut)).otherwise(F.array().cast("array<string>"))
+
+    return segment
 
 
 def meaningful_token(t: Column) -> Column:

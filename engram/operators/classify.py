@@ -18,7 +18,7 @@ from engram import lexicons as lx
 from engram.functions import text as tx
 from engram.functions.binding import computed, let
 from engram.functions.lexicon import jvm_regex, mentions
-from engram.functions.tokens import coverage_tokens, facet_tokens, top_tokens
+from engram.functions.tokens import Segmenter, coverage_tokens, facet_tokens, top_tokens
 from engram.operators.containment import contained
 from engram.operators.rules import Rule, category_order
 from engram.session import materialize
@@ -129,8 +129,8 @@ def fallback_category(tokens: Column, available: Sequence[str]) -> Column:
     return let(F.array_join(tokens, " "), chain)
 
 
-def classify(df: DataFrame, rules: Sequence[Rule], tags: int = 5) -> DataFrame:
-    """Add category, confidence and tags. Needs ``content``."""
+def classify(df: DataFrame, rules: Sequence[Rule], tags: int = 5, segment: Segmenter | None = None) -> DataFrame:
+    """Add category, confidence and tags. Needs ``content``. ``segment`` cuts Han runs into words, see ``tokens.lattice``."""
     available = category_order([r.category for r in rules])
     scores = category_scores(matched_rules(rules, tx.normalized(F.col("content"))))
 
@@ -145,7 +145,7 @@ def classify(df: DataFrame, rules: Sequence[Rule], tags: int = 5) -> DataFrame:
             top_tokens(tokens, tags).alias("tags"),
         )
 
-    result = let(facet_tokens(F.col("content")), lambda tokens: let(scores, lambda s: verdict(s, tokens)))
+    result = let(facet_tokens(F.col("content"), segment=segment), lambda tokens: let(scores, lambda s: verdict(s, tokens)))
     kept = [c for c in df.columns if c not in ("category", "confidence", "tags")]
     return computed(df, "__verdict", result).select(*kept, "__verdict.*")
 

@@ -16,7 +16,7 @@ from engram import lexicons as lx
 from engram.functions import text as tx
 from engram.functions import tokens as tk
 from engram.functions.binding import let
-from engram.operators.dedupe import chunk_of, duplicate_clusters, duplicate_quality, unique_memories
+from engram.operators.dedupe import chunked_texts, duplicate_clusters, duplicate_quality, memory_keys
 from engram.operators.ranking import MAX_GROUP_ROWS, top_per_group
 from engram.session import materialize
 
@@ -598,11 +598,15 @@ def corpus_report(
     tension_tests=lx.TENSION_TESTS,
     leads: Sequence[tuple[str, str]] = lx.RELATION_LEADS,
     max_group_rows: int = MAX_GROUP_ROWS,
+    chunk_relations: DataFrame | None = None,
 ) -> DataFrame:
-    """All report sections, one row per owner. ``memories``: owner_id, id, content, created_at, tags."""
-    hashed = memories.withColumn("content_hash", tx.content_hash(tx.normalized(F.col("content"))))
-    unique = unique_memories(hashed)
-    chunked = chunk_of(unique, chunk_size, max_group_rows, sized_by=memories)
+    """All report sections, one row per owner. ``memories``: owner_id, id, content, created_at, tags.
+
+    Texts are read twice, for their hashes and for the features of the distinct ones. ``chunk_relations``, of chunk insights made elsewhere
+    (see :func:`relations_with_chunks`), follow the relations found in the texts.
+    """
+    keys = memory_keys(memories)
+    chunked = chunked_texts(memories, chunk_size, max_group_rows, keys)
     features = materialize(extract(chunked, ["owner_id", "chunk"], lexicons, leads=leads))
 
     chunk_keys = ("owner_id", "chunk")
@@ -614,10 +618,14 @@ def corpus_report(
     labels = label_counts(hits).groupBy("owner_id").pivot("kind", ["people", "projects", "tools"]).agg(F.first("labels"))
     signals = signal_rows(features)
     texts = representative_signals(signals)
-    relations = distinct_relations(relation_rows(features)).withColumn("place", F.col("rank_in_report"))
-
-    report = overview(memories, unique).join(
-        duplicate_quality(hashed).select("owner_id", "duplicate_count", "duplicate_ratio"), "owner_id"
+    if chunk_relations is None:
+        relations = distinct_relations(relation_rows(features))
+    else:
+        relations = relations_with_chunks(relation_rows(features), chunk_relations).withColumn("id", F.get("evidence", F.lit(0)))
+    relations = relations.withColumn("place", F.col("rank_in_report"))
+
+    report = overview(keys, features).join(
+        duplicate_quality(keys).select("owner_id", "duplicate_count", "duplicate_ratio"), "owner_id"
     ).join(persona_flags(features, tension_tests=tension_tests), "owner_id")
 
     sections: list[tuple[str, str, DataFrame]] = [
@@ -694,7 +702,7 @@ def corpus_report(
         }
     )
     report = report.withColumn("discoveries", discovery_cards())
-    clusters = duplicate_clusters(hashed)
+    clusters = duplicate_clusters(keys)
     cluster_list = _listed(
         clusters.withColumn("place", F.col("cluster_index")),
         OWNER,

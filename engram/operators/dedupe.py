@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from engram import lexicons as lx
 from engram.functions import text as tx
 from engram.operators.ranking import MAX_GROUP_ROWS, running, top_per_group
+from engram.session import written
 
 
 def first_seen(
@@ -67,6 +68,35 @@ def unique_memories(df: DataFrame) -> DataFrame:
     return top_per_group(df, ["owner_id", "content_hash"], [F.asc("created_at"), F.asc("id")], 1)
 
 
+def memory_keys(memories: DataFrame) -> DataFrame:
+    """(owner_id, id, created_at, content_hash) of every memory, written down: texts are normalised and hashed once."""
+    return written(memories.select("owner_id", "id", "created_at", tx.content_hash(tx.normalized(F.col("content"))).alias("content_hash")))
+
+
+def with_texts(kept: DataFrame, memories: DataFrame) -> DataFrame:
+    """The memories that ``kept`` names (owner_id, id, created_at), with all their columns and the others of kept.
+
+    Kept rows are few and small, so they go to the texts where they can be broadcast; otherwise both are dealt by owner and id,
+    and no text is ever sorted or gathered by its owner.
+    """
+    names = {c: f"__{c}" for c in ("owner_id", "id", "created_at")}
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
+    return memories.join(kept.withColumnsRenamed(names), same).drop(*names.values())
+
+
+def distinct_texts(memories: DataFrame) -> DataFrame:
+    """The earliest memory of every distinct text per owner, found on hashes alone. ``id`` must be unique inside ``owner_id``."""
+    first = unique_memories(memory_keys(memories)).select("owner_id", "id", "created_at")
+    return with_texts(written(first), memories)
+
+
+def chunked_texts(memories: DataFrame, size: int = lx.CHUNK_SIZE, max_group_rows: int = MAX_GROUP_ROWS, keys: DataFrame | None = None) -> DataFrame:
+    """Distinct memories with the chunk that they fall into, numbered on hashes alone."""
+    keys = memory_keys(memories) if keys is None else keys
+    first = unique_memories(keys).select("owner_id", "id", "created_at")
+    return with_texts(written(chunk_of(first, size, max_group_rows, sized_by=keys).drop("position")), memories)
+
+
 def first_copy(df: DataFrame, values: Sequence[str]) -> DataFrame:
     """``values`` of the earliest memory per owner and text, where the texts themselves are not needed any more.
 

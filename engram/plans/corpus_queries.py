@@ -13,6 +13,7 @@ from engram.operators import corpus as cp
 from engram.operators import dedupe as dd
 from engram.plans import tables as tb
 from engram.plans.registry import query
+from engram.sources import sinks
 
 LEXICONS = {
     "preference": r"(rest|tone)",
@@ -128,8 +129,7 @@ flags AS (SELECT o.owner_id, {", ".join(f"(SELECT count(*) FROM sig s WHERE s.ow
 
 
 def _unique(spark, sf):
-    hashed = tb.documents(spark, sf).withColumn("content_hash", tx.content_hash(tx.normalized(F.col("content"))))
-    return dd.unique_memories(hashed)
+    return dd.distinct_texts(tb.documents(spark, sf))
 
 
 def _features(spark, sf):
@@ -165,7 +165,7 @@ bt AS (SELECT owner_id, place, name, n, description FROM (SELECT *, row_number()
 
 @query("theme_boosts", f"WITH {_BOOST} SELECT * FROM bt")
 def theme_boosts(spark, sf):
-    chunked = dd.chunk_of(_unique(spark, sf), CHUNK, sized_by=tb.documents(spark, sf))
+    chunked = dd.chunked_texts(tb.documents(spark, sf), CHUNK)
     features = cp.extract(chunked, ["owner_id", "chunk"], LEXICONS, leads=LEADS)
     keys = ("owner_id", "chunk")
     per_chunk = cp.themes(cp.document_frequency(features, keys), keys)
@@ -254,7 +254,8 @@ def low_quality_examples(spark, sf):
       strftime(max(created_at), '%Y-%m-%dT%H:%M:%S.000Z') AS span_end FROM u GROUP BY owner_id""",
 )
 def overview(spark, sf):
-    frame = cp.overview(tb.documents(spark, sf), _unique(spark, sf))
+    keys = dd.memory_keys(tb.documents(spark, sf))
+    frame = cp.overview(keys, dd.unique_memories(keys))
     return frame.withColumns({c: tx.iso(F.col(c)) for c in ("span_start", "span_end")})
 
 
@@ -272,7 +273,7 @@ def overview(spark, sf):
       (PARTITION BY owner_id, chunk ORDER BY created_at, id, place, pos) AS n FROM rel) WHERE n <= 10""",
 )
 def chunk_insights(spark, sf):
-    chunked = dd.chunk_of(_unique(spark, sf), CHUNK, sized_by=tb.documents(spark, sf))
+    chunked = dd.chunked_texts(tb.documents(spark, sf), CHUNK)
     return cp.chunk_insights(cp.extract(chunked, ["owner_id", "chunk"], LEXICONS, leads=LEADS))
 
 
@@ -380,3 +381,26 @@ def corpus_report(spark, sf):
 @query("report_documents")
 def report_documents(spark, sf):
     return cp.report_document(_report(spark, sf))
+
+
+@query(
+    "report_files",
+    f"""WITH {_REPORT} SELECT (SELECT count(*) FROM mem m WHERE m.owner_id = p.owner_id) AS memory_count,
+      (SELECT count(*) FROM u WHERE u.owner_id = p.owner_id) AS deduplicated_count, dups AS duplicate_count,
+      array_to_string(coalesce(themes, []), ',') AS themes, coalesce(nullif(persona, ''), {tb._q(lx.PERSONA_EMPTY)}) AS persona_summary,
+      coalesce(nullif(recs, ''), {tb._q(lx.RECOMMEND_HEALTHY)}) AS recommendations FROM parts p""",
+)
+def report_files(spark, sf):
+    """The report documents written as JSON and read again."""
+    path = tb.fresh_folder(spark, "reports")
+    sinks.write_report_documents(cp.report_document(_report(spark, sf)), path)
+    schema = """overview struct<memoryCount: bigint, deduplicatedMemoryCount: bigint>, persona struct<summary: string>,
+      themeLandscape struct<highlights: array<struct<name: string>>>, quality struct<duplicateMemoryCount: bigint>, recommendations array<string>"""
+    return spark.read.schema(schema).json(path).select(
+        F.col("overview.memoryCount").alias("memory_count"),
+        F.col("overview.deduplicatedMemoryCount").alias("deduplicated_count"),
+        F.col("quality.duplicateMemoryCount").alias("duplicate_count"),
+        F.array_join("themeLandscape.highlights.name", ",").alias("themes"),
+        F.col("persona.summary").alias("persona_summary"),
+        F.array_join("recommendations", "\n").alias("recommendations"),
+    )
