@@ -47,12 +47,15 @@ def enabled_rules(rules: DataFrame, version: str | None = None) -> DataFrame:
     return kept.orderBy(F.desc("weight"), "id")
 
 
-def rule_list(rules: DataFrame, limit: int | None = None) -> list[Rule]:
-    """Rules as literals for expressions. The table is a dimension; ``limit`` rejects one that is larger than expected."""
-    rows = rules.select("category", "match_type", "pattern", "weight")
-    rows = (rows if limit is None else rows.limit(limit + 1)).collect()
-    if limit is not None and len(rows) > limit:
-        raise ValueError(f"more than {limit} rules")
+#: Rules that expressions may hold as literals; ``classify.literal_scores`` takes a table of any size.
+MOST_LITERAL_RULES = 50_000
+
+
+def rule_list(rules: DataFrame, limit: int = MOST_LITERAL_RULES) -> list[Rule]:
+    """Rules as literals for expressions. A table of more than ``limit`` rows is refused, and no more than that is collected."""
+    rows = rules.select("category", "match_type", "pattern", "weight").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rules; use classify.literal_scores")
     return [Rule(r["category"], r["match_type"], r["pattern"], int(r["weight"])) for r in rows]
 
 

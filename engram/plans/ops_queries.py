@@ -10,6 +10,7 @@ from engram import lexicons as lx
 from engram.functions import text as tx
 from engram.operators import aggregate as ag
 from engram.operators import jobs as jb
+from engram.operators import ranking as rk
 from engram.operators import limits as lm
 from engram.plans import tables as tb
 from engram.plans.registry import query
@@ -82,6 +83,25 @@ def pages_with_total(spark, sf):
     return src.page_per_owner(df, [F.desc("ts"), F.desc("event_id")], 5, 10).drop("ts")
 
 
+@query(
+    "listing_pages",
+    """WITH r AS (SELECT event_id AS id, user_id AS owner_id, row_number() OVER (ORDER BY ts DESC, event_id) AS place FROM events)
+    SELECT id, owner_id, (place - 1) // 40 AS page FROM r WHERE place <= 160""",
+)
+def listing_pages(spark, sf):
+    """Four pages of a listing, each from the cursor of the one before."""
+    path = tb.fresh_folder(spark, "listing")
+    memories = tb.events(spark, sf).select(F.col("event_id").alias("id"), F.col("user_id").alias("owner_id"), F.col("ts").alias("created_at"))
+    src.write_listing(memories, path, 16)
+    pages, cursor = [], None
+    for number in range(4):
+        page = src.page_after(spark, path, cursor, 40)
+        pages.append(page.select("id", "owner_id", F.lit(number).cast("bigint").alias("page")))
+        last = page.orderBy("created_at", F.desc("id")).first()
+        cursor = (last["created_at"], last["id"])
+    return rk.union_all(pages)
+
+
 @query(
     "owner_activity",
     f"""SELECT user_id AS owner_id, strftime(min(ts), {ISO}) AS first_seen, strftime(max(ts), {ISO}) AS last_seen,

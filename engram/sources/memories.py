@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engram import schemas
@@ -62,11 +62,6 @@ def source_counts(df: DataFrame, types: tuple[str, ...], after=None, before=None
     return df.filter(in_source(types, after, before)).groupBy("owner_id").agg(F.count(F.lit(1)).alias("count"))
 
 
-def page(df: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
-    """One newest-first page. The offset is for interactive listings; deep scans read the table instead."""
-    return df.orderBy(*order).offset(offset).limit(limit)
-
-
 def page_per_owner(df: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
     """The same page for every owner at once, with each owner's total."""
     totals = df.groupBy("owner_id").agg(F.count(F.lit(1)).alias("total"))
@@ -75,6 +70,39 @@ def page_per_owner(df: DataFrame, order: list[Column], limit: int, offset: int)
     return ranked.filter(F.col("place") > offset).join(totals, "owner_id")
 
 
+def write_listing(df: DataFrame, path: str, parts: int = 64) -> None:
+    """Memories newest first (created_at, then id) in ``parts`` folders by range, and what each folder holds."""
+    rows = df.repartitionByRange(parts, F.desc("created_at"), F.asc("id")).sortWithinPartitions(F.desc("created_at"), F.asc("id"))
+    rows.withColumn("part", F.spark_partition_id()).write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows")
+    held = df.sparkSession.read.parquet(f"{path}/rows").groupBy("part")
+    # of the oldest time the largest id comes last
+    held.agg(F.count(F.lit(1)).alias("rows"), F.max(F.struct(-F.unix_micros("created_at"), "id")).alias("last")).coalesce(1).write.mode(
+        "overwrite"
+    ).parquet(f"{path}/parts")
+
+
+def page_after(spark: SparkSession, path: str, cursor: tuple | None, limit: int) -> DataFrame:
+    """The ``limit`` memories of a listing that follow the cursor (created_at, id) of the page before, newest first.
+
+    Only folders that can hold them are read: none that ends before the cursor, and of the others as many as fill a page. A page costs the
+    same however deep it lies. ``cursor``: None for the first page.
+    """
+    parts = spark.read.parquet(f"{path}/parts")
+    if cursor is not None:
+        at, id_ = F.lit(cursor[0]).cast("timestamp"), F.lit(cursor[1]).cast(parts.schema["last"].dataType["id"].dataType)
+        parts = parts.filter(F.col("last") > F.struct(-F.unix_micros(at), id_))
+    # one row for each folder; the first one left may hold only rows before the cursor's page, the next ones count in full
+    order = Window.orderBy("part")
+    full = F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, -1)) - F.first("rows").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    wanted = [r["part"] for r in parts.withColumn("full", full).filter(F.col("full").isNull() | (F.col("full") < limit)).select("part").collect()]
+    if not wanted:
+        return spark.read.parquet(f"{path}/rows").drop("part").limit(0)
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(*[f"{path}/rows/part={p}" for p in wanted]).drop("part")
+    if cursor is not None:
+        rows = rows.filter((F.col("created_at") < at) | ((F.col("created_at") == at) & (F.col("id") > id_)))
+    return rows.orderBy(F.desc("created_at"), F.asc("id")).limit(limit)
+
+
 def write_snapshot(df: DataFrame, path: str) -> None:
     """gzip JSON lines, one folder for each day; files stay small because gzip cannot be split."""
     rows = df.select(*[f.name for f in schemas.MEMORY.fields]).withColumn("day", F.date_format("created_at", "yyyy-MM-dd"))

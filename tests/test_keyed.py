@@ -122,3 +122,26 @@ def test_only_changed_days_are_computed_again(spark, tmp_path):
     got = {(r["owner_id"], r["day"]): tuple(r)[2:7] for r in keyed.read(spark, path, schema).collect() if r["messages"]}
     full = pd.day_overview(after.withColumn("day", F.date_format("created_at", "yyyy-MM-dd"))).collect()
     assert got == {(r["owner_id"], r["day"]): tuple(r)[2:7] for r in full}
+
+
+def test_pages_read_no_earlier_files(spark, tmp_path):
+    from engram.sources import memories as src
+
+    rnd = random.Random(12)
+    rows = [(k, 1704067200 + rnd.randrange(120)) for k in range(600)]  # many ties
+    df = spark.createDataFrame(rows, "id int, t long").withColumn("created_at", F.timestamp_seconds("t"))
+    path = str(tmp_path / "listing")
+    src.write_listing(df, path, 12)
+    want = sorted(rows, key=lambda r: (-r[1], r[0]))
+    got, cursor, read = [], None, []
+    while True:
+        page = src.page_after(spark, path, cursor, 70)
+        found = page.collect()
+        if not found:
+            break
+        read.append({int(f.split("/part=")[1].split("/")[0]) for f in page.inputFiles()})
+        got += [(r["id"], r["t"]) for r in found]
+        cursor = (found[-1]["created_at"], found[-1]["id"])
+    assert got == want
+    assert all(min(b) >= max(a) - 1 and len(b) <= 4 for a, b in zip(read, read[1:]))
+    assert src.page_after(spark, path, cursor, 70).collect() == []
