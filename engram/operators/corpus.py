@@ -373,6 +373,29 @@ def chunk_insights(features: DataFrame, keys: Sequence[str] = ("owner_id", "chun
     return out
 
 
+def chunk_annotations(features: DataFrame, keys: Sequence[str] = ("owner_id", "chunk"), tension_tests=lx.TENSION_TESTS) -> DataFrame:
+    """One row per chunk: summary, tensions, and the lists of :func:`chunk_insights` by section (theme, relation, kinds, signals)."""
+    sections = ["theme", "relation", "people", "teams", "projects", "tools", "places", *lx.SIGNAL_LEXICONS]
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda x: x["value"])
+    lists = chunk_insights(features, keys).groupBy(*keys).pivot("section", sections).agg(in_order)
+    rows = persona_flags(features, keys, tension_tests).join(lists, list(keys), "left")
+    rows = rows.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in sections})
+    summary = persona_summary(F.col("theme"), {s: F.col(f"n_{s}") > 0 for s in lx.SIGNAL_LEXICONS})
+    return rows.select(*keys, summary.alias("summary"), tensions(rows, tension_tests).alias("tensions"), *sections)
+
+
+def annotate(chunks: DataFrame, fn=None, schema: str | None = None, lexicons=None, leads=lx.RELATION_LEADS, tension_tests=lx.TENSION_TESTS) -> DataFrame:
+    """Annotations of chunked memories (owner_id, chunk, id, content, created_at, tags).
+
+    By default the heuristics of this module, all native: one row per chunk, see :func:`chunk_annotations`. A user's own ``fn`` gets and
+    yields pandas batches of ``schema`` instead, of memories or of whatever rows ``chunks`` has.
+    """
+    if fn is not None:
+        return chunks.mapInPandas(fn, schema)
+    keys = ("owner_id", "chunk")
+    return chunk_annotations(materialize(extract(chunks, keys, lexicons, leads=leads)), keys, tension_tests)
+
+
 def cleaned_insights(raw: DataFrame) -> DataFrame:
     """Outside chunk insights (owner_id, chunk, section, pos, value): trimmed, blanks dropped, 12 per list."""
     value = tx.blank_to_null(F.col("value"))

@@ -297,8 +297,3 @@ def insight_counts(insights: DataFrame) -> DataFrame:
     return insights.groupBy("owner_id").agg(
         F.countDistinct("day").alias("periods"), F.count("evidence_id").alias("insights")
     )
-
-
-def annotate(periods_: DataFrame, fn, schema: str) -> DataFrame:
-    """Hook for a user's own annotation of periods or chunks: ``fn`` gets and yields pandas batches."""
-    return periods_.mapInPandas(fn, schema)

@@ -277,6 +277,37 @@ def chunk_insights(spark, sf):
     return cp.chunk_insights(cp.extract(chunked, ["owner_id", "chunk"], LEXICONS, leads=LEADS))
 
 
+@query(
+    "chunk_annotations",
+    f"""WITH {TERMS}, {_themes_sql('owner_id, chunk', 'ct')}, {ENTITIES}, {_groups_sql('owner_id, chunk', 'eg', 5)}, {RELATIONS}, {SIGNALS},
+      k AS (SELECT DISTINCT owner_id, chunk FROM u),
+      n AS (SELECT owner_id, chunk, list(name ORDER BY place) AS names FROM ct GROUP BY ALL),
+      p AS (SELECT owner_id, chunk, string_agg(label, ',' ORDER BY place) AS people FROM eg WHERE kind = 'people' GROUP BY ALL),
+      r AS (SELECT owner_id, chunk, least(count(*), 10) AS relations FROM rel GROUP BY ALL),
+      s AS (SELECT owner_id, chunk, bool_or(signal IN ('working_style', 'preference')) AS style, bool_or(signal IN ('goal', 'decision')) AS goal,
+        bool_or(signal = 'routine') AS routine FROM sig GROUP BY ALL),
+      cpool AS (SELECT DISTINCT owner_id, chunk, id, lower(text) AS text FROM sig WHERE signal IN ('working_style', 'preference', 'constraint', 'decision')),
+      t AS (SELECT owner_id, chunk, {", ".join(
+        f"bool_or(regexp_matches(text, '{a}')) AND bool_or(regexp_matches(text, '{b}')) AS t{i}" for i, (a, b, _) in enumerate(TENSIONS))} FROM cpool GROUP BY ALL)
+    SELECT owner_id, chunk, coalesce(array_to_string(names, ','), '') AS themes, coalesce(people, '') AS people, coalesce(relations, 0) AS relations,
+      array_to_string(list_filter([{", ".join(f"CASE WHEN t{i} THEN {tb._q(text)} END" for i, (_, _, text) in enumerate(TENSIONS))}], lambda x: x IS NOT NULL), chr(10)) AS tensions,
+      coalesce(nullif(array_to_string(list_filter([CASE WHEN len(names) > 0 THEN 'This corpus concentrates on ' || array_to_string(names[1:3], ', ')
+        || ', with repeated memory traffic around those domains.' END, CASE WHEN style THEN {tb._q(lx.PERSONA_STYLE)} END,
+        CASE WHEN goal THEN {tb._q(lx.PERSONA_GOALS)} END, CASE WHEN routine THEN {tb._q(lx.PERSONA_ROUTINES)} END], lambda x: x IS NOT NULL), ' '), ''),
+        {tb._q(lx.PERSONA_EMPTY)}) AS summary
+    FROM k LEFT JOIN n USING (owner_id, chunk) LEFT JOIN p USING (owner_id, chunk) LEFT JOIN r USING (owner_id, chunk)
+      LEFT JOIN s USING (owner_id, chunk) LEFT JOIN t USING (owner_id, chunk)""",
+)
+def chunk_annotations(spark, sf):
+    """The default of the annotation hook: native heuristics for every chunk."""
+    chunks = dd.chunked_texts(tb.documents(spark, sf), CHUNK)
+    found = cp.annotate(chunks, lexicons=LEXICONS, leads=LEADS, tension_tests=TENSIONS)
+    return found.select(
+        "owner_id", "chunk", F.array_join("theme", ",").alias("themes"), F.array_join("people", ",").alias("people"),
+        F.size("relation").cast("bigint").alias("relations"), F.array_join("tensions", "\n").alias("tensions"), "summary",
+    )
+
+
 @query(
     "cleaned_insights",
     f"""WITH {tb.SES}, r AS (SELECT owner_id, conv_id AS chunk, role AS section, turn AS pos,

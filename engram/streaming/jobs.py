@@ -105,7 +105,7 @@ def dedupe_stream(
     ttl_hours: float = 24, time: Column | None = None, delay: str = "0 seconds", buckets: int = 16, clock: str = "EventTime", **trigger,
 ) -> StreamingQuery:
     """Write the rows whose id and hash the job has not seen, see :func:`first_seen_stream`."""
-    with sf.rocksdb(stream.sparkSession):
+    with sf.started_with(stream.sparkSession, sf.ROCKSDB | sf.ROWS_ONLY):
         firsts = first_seen_stream(stream, scope, id_col, hash_col, order, ttl_hours, time, delay, buckets, clock)
         return run(firsts, lambda df, epoch: dedupe_batch(df, epoch, out), f"{out}/checkpoint", **trigger)
 
@@ -152,7 +152,8 @@ def merge_stream(
             folded.fold(df.sparkSession, f"{out}/counts", epoch, COUNT_KEYS, "count")
             folded.fold(df.sparkSession, f"{out}/batches", epoch, ["job_id", "batch_index"], "processed")
 
-    return run(fresh, process, f"{out}/checkpoint", **trigger)
+    with sf.started_with(stream.sparkSession, sf.ROWS_ONLY):
+        return run(fresh, process, f"{out}/checkpoint", **trigger)
 
 
 def job_totals(spark: SparkSession, out: str) -> DataFrame:
@@ -314,7 +315,7 @@ def _write_epochs(rows: DataFrame, out: str, **trigger) -> StreamingQuery:
     def write(df: DataFrame, epoch: int) -> None:
         df.write.mode("overwrite").parquet(epoch_folder(f"{out}/rows", epoch))
 
-    with sf.rocksdb(rows.sparkSession):
+    with sf.started_with(rows.sparkSession, sf.ROCKSDB):
         return run(rows, write, f"{out}/checkpoint", **trigger)
 
 

@@ -124,8 +124,8 @@ def test_merge_state_and_files_stay_bounded(spark, tmp_path):
         assert totals["category", "plan"] == 5 * (d + 1)
         assert st.job_progress(spark, out).first()["processed_memories"] == 5 * (d + 1)
     assert max(held[3:]) <= max(held[:3])
-    assert len(st.folded.complete(spark, f"{out}/counts", "epoch")) <= 5
-    assert len(st.folded.complete(spark, f"{out}/counts_folded", "upto")) <= 2
+    assert len(st.folded.numbered(spark, f"{out}/counts", "epoch")) <= 5
+    assert len(st.folded.numbered(spark, f"{out}/counts_folded", "upto")) <= 2
 
 
 def test_rate_verdicts_continue(spark, tmp_path):
