@@ -38,11 +38,12 @@ def encoded(*values: Column) -> Column:
 def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
     """rows (tree, ...) with lo, the rank inside the tree by ``order`` from 0, and n, the tree's rows.
 
-    Rows are dealt by range, so that a tree of any size spreads over all tasks; equal rows are told apart by where they were read.
+    Rows are dealt by range, so that a tree of any size spreads over all tasks; by a hash only through its first 15 digits, as Spark
+    gathers a sample of the keys. Equal rows are interchangeable.
     """
     slices = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.withColumn("copy", F.monotonically_increasing_id())
-    dealt = dealt.repartitionByRange(slices, "tree", *order, "copy").sortWithinPartitions("tree", *order, "copy").drop("copy")
+    keys = [F.conv(F.substring(c, 1, 15), 16, 10).cast("long") if c == "hash" else F.col(c) for c in ("tree", *order)]
+    dealt = rows.repartitionByRange(slices, *keys).sortWithinPartitions("tree", *order)
     at = F.monotonically_increasing_id()
     placed = save(dealt.withColumn("slice", F.shiftright(at, 33)).withColumn("at", at.bitwiseAND(F.lit((1 << 33) - 1))))
     # one row for each tree and slice: the slices and the trees together
