@@ -38,7 +38,7 @@ def odd_rows():
     return rows + [(None, "a"), (None, "only null"), (None, "Only Null"), (7, "ba"), (1004, "a"), (1004, "A"), (1004, "a")]
 
 
-@pytest.mark.parametrize("options", [{}, {"piece": 64, "huge_bytes": 200}, {"primes": (5, 3)}, {"primes": (5, 3), "piece": 64, "huge_bytes": 200}])
+@pytest.mark.parametrize("options", [{}, {"piece": 64, "huge_bytes": 200}, {"primes": (5, 3), "piece": 64, "huge_bytes": 200}])
 def test_copies(spark, options):
     rows = odd_rows()
     got = copies.copies(frame(spark, rows), **options)
