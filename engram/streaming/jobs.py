@@ -19,7 +19,6 @@ from engram import schemas
 from engram.functions import text as tx
 from engram.operators import aggregate as ag
 from engram.operators import classify as cl
-from engram.operators import dedupe as dd
 from engram.operators import jobs as jb
 from engram.operators import limits as lm
 from engram.operators import periods as pd

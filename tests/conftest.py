@@ -11,5 +11,6 @@ def spark():
     from oracle import session
 
     spark = session()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")  # the tables of tests are small
     yield spark
     spark.stop()

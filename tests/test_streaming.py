@@ -89,7 +89,7 @@ def test_merge_of_batches_in_pieces(spark, tmp_path):
     df = spark.createDataFrame(rows, "job_id string, batch_index bigint, id string, content string, o int")
     out, source = str(tmp_path / "out"), str(tmp_path / "in")
     for delivery in range(2):  # each batch in several files, one file for a micro-batch; then everything again
-        write_files(df, source, 5)
+        write_files(df, source, 3)
         stream = st.files(spark, source, df.schema, per_trigger=1)
         st.merge_stream(stream, out, RULES).awaitTermination()
         totals = {(r["kind"], r["key"]): r["count"] for r in st.job_totals(spark, out).collect()}
