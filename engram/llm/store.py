@@ -9,6 +9,8 @@ import uuid
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,10 +34,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def save(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet and read it again: lineage ends, and a lost executor costs nothing before it."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as Parquet and read it again: lineage ends, and a lost executor costs nothing before it.
+
+    The write's shuffle files go when it has ended, instead of when the driver next collects garbage.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 class Shared:
