@@ -174,15 +174,12 @@ def brute_lines(rows):
             ws = re.findall(pattern, line.translate(LOW))
             if len(ws) >= lines.MIN_WORDS:
                 found.append((d, k, " ".join(ws)))
-    hashes = {}
-    for _, words in w.chunks(pa.array([x[2] for x in found]), w.ALNUM):
-        hashes.update(zip((x[2] for x in found), lines.simhashes(words, words.hashes()).tolist()))
     comp = list(range(len(found)))
     for i, (_, _, a) in enumerate(found):
         for j in range(i):
             b = found[j][2]
             n, m = sorted((len(a.split()), len(b.split())))
-            fuzzy = n >= lines.FUZZY_WORDS and 10 * n >= 9 * m and bin(hashes[a] ^ hashes[b]).count("1") <= lines.BITS and lines.alike(a, b)
+            fuzzy = 10 * n >= 9 * m and lines.alike(a, b)
             if (a == b or fuzzy) and comp[i] != comp[j]:
                 old, new = max(comp[i], comp[j]), min(comp[i], comp[j])
                 comp = [new if c == old else c for c in comp]
