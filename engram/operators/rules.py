@@ -88,6 +88,26 @@ KINDS = {
 }
 
 
+def filled_templates(terms: DataFrame) -> DataFrame:
+    """(category, label, lang, pattern, template_pos, pos): every different template filled with every different term.
+
+    Equal texts fill in equal patterns, of which only the first by (template_pos, pos) can stay, so the first of
+    the equal texts stands for all of them: copies never multiply each other.
+    """
+    scope = ["category", "lang"]
+    pos = F.col("pos").cast("bigint")
+    firsts = terms.filter("kind = 'term'").groupBy(*scope, "text").agg(F.min(F.struct(pos.alias("pos"), "label")).alias("f"))
+    templates = (
+        terms.filter("kind = 'template'")
+        .groupBy(*scope, F.col("text").alias("template"))
+        .agg(F.min(F.struct(pos.alias("pos"))).alias("t"))
+    )
+    pattern = F.replace("template", F.lit("{term}"), F.col("text"))
+    return firsts.join(templates, scope).select(
+        "category", "f.label", "lang", pattern.alias("pattern"), F.col("t.pos").alias("template_pos"), "f.pos"
+    )
+
+
 def generate_rules(terms: DataFrame, version: str) -> DataFrame:
     """Rules from term lists: category, label, lang, kind, pos, text.
 
@@ -109,28 +129,23 @@ def generate_rules(terms: DataFrame, version: str) -> DataFrame:
             for kind, (match_type, weight, place) in KINDS.items()
         ]
     )
-    templates = terms.filter("kind = 'template'").select(
-        "category", "lang", F.col("text").alias("template"), F.col("pos").cast("bigint").alias("template_pos")
-    )
-    filled = (
-        terms.filter("kind = 'term'")
-        .join(templates, ["category", "lang"])
-        .select(
-            *base,
-            F.lit("phrase").alias("match_type"),
-            F.replace("template", F.lit("{term}"), F.col("text")).alias("pattern"),
-            F.lit(5).alias("weight"),
-            F.lit(5).alias("place"),
-            "template_pos",
-            F.col("pos").cast("bigint").alias("pos"),
-        )
+    filled = filled_templates(terms).select(
+        *base,
+        F.lit("phrase").alias("match_type"),
+        "pattern",
+        F.lit(5).alias("weight"),
+        F.lit(5).alias("place"),
+        "template_pos",
+        "pos",
     )
     order = [F.col("place"), F.col("template_pos"), F.col("pos")]
-    same = Window.partitionBy("category", "lang", "match_type", F.lower("pattern")).orderBy(*order)
+    # an aggregate: copies of a pattern go before the shuffle
+    first = F.min(F.struct("place", "template_pos", "pos", "label", "pattern", "weight")).alias("f")
     rules = (
         plain.unionByName(filled)
-        .withColumn("__n", F.row_number().over(same))
-        .filter("__n = 1")
+        .groupBy("category", "lang", "match_type", F.lower("pattern").alias("__lower"))
+        .agg(first)
+        .select("category", "lang", "match_type", "f.*")
         .withColumn(
             "base_id",
             F.concat_ws("-", F.lit(version), "lang", "category", tx.rule_slug(F.col("pattern"))),
