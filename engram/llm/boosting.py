@@ -23,11 +23,12 @@ def _raw(model, rows: DataFrame) -> DataFrame:
 
 
 def fit(
-    training: DataFrame, key: Column, calibrate: bool, rounds: int = 20, depth: int = 3, rate: float = 0.3
+    training: DataFrame, key: Column, calibrate: bool, rounds: int = 20, depth: int = 3, rate: float = 0.3, parts: int | None = 4
 ) -> Callable[[DataFrame], DataFrame]:
     """A function that adds ``score`` (0 to 1) to rows with ``features``.
 
-    ``training``: features (array<double>), label (0 or 1), of a bounded number of rows. ``key`` deals rows to trees and calibration.
+    ``training``: features (array<double>), label (0 or 1). ``key`` deals rows to trees and calibration. ``parts``: tasks of each step
+    of each tree, for a bounded number of rows; None leaves the rows in the tasks that read them.
     Without rows of both labels the score is the mean label, 0 without any row; where the calibration part lacks a label,
     scores stay as the trees give them.
     """
@@ -38,15 +39,15 @@ def fit(
     calibrate = calibrate and seen[2] == 2 and seen[3] == 2
     if not calibrate and training.select("label").distinct().count() < 2:
         return lambda rows: rows.withColumn("score", F.lit(float(seen[1] or 0)))
-    # a few thousand rows: a few tasks for each step of each tree
+    few = (lambda rows: rows) if parts is None else (lambda rows: rows.coalesce(parts))
     grown = (training.filter(~part) if calibrate else training).select(
         array_to_vector("features").alias("_vector"), F.col("label").cast("double").alias("label")
     )
     trees = GBTClassifier(featuresCol="_vector", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=1)
-    model = trees.setProbabilityCol("_probability").setRawPredictionCol("_margin").setPredictionCol("_label").fit(grown.coalesce(4))
+    model = trees.setProbabilityCol("_probability").setRawPredictionCol("_margin").setPredictionCol("_label").fit(few(grown))
     if not calibrate:
         return lambda rows: _raw(model, rows).withColumnRenamed("_raw", "score")
-    held = _raw(model, training.filter(part).coalesce(4)).select(F.col("label").cast("double").alias("label"), F.col("_raw"))
+    held = _raw(model, few(training.filter(part))).select(F.col("label").cast("double").alias("label"), F.col("_raw"))
     steps = IsotonicRegression(featuresCol="_raw", labelCol="label", predictionCol="_step").fit(held)
 
     def score(rows: DataFrame) -> DataFrame:
