@@ -18,9 +18,11 @@ from engram.functions import tokens as tk
 from engram.functions.binding import let
 from engram.operators.dedupe import chunked_texts, duplicate_clusters, duplicate_quality, memory_keys
 from engram.operators.ranking import MAX_GROUP_ROWS, top_per_group
-from engram.session import materialize
+from engram.session import written
 
 OWNER = ("owner_id",)
+#: Tasks for each input split of words that meet by chunk, so that the terms of one task stay small.
+CHUNK_TASKS = 8
 
 
 def _by_time() -> list[Column]:
@@ -78,24 +80,17 @@ def extract(
 ) -> DataFrame:
     """One row of features per memory; the full text is not carried further."""
     c = F.col("content")
-    terms = let(
-        tk.corpus_tokens(c),
-        lambda t: F.struct(F.array_distinct(t).alias("tokens"), tk.phrases(t).alias("phrases")),
-    )
-    return (
-        memories.withColumn("__terms", terms)
-        .select(
-            *keys,
-            "id",
-            "created_at",
-            tx.preview(c).alias("preview"),
-            F.col("__terms.tokens").alias("tokens"),
-            F.col("__terms.phrases").alias("phrases"),
-            _entities(c, F.col("tags"), tools, places).alias("entities"),
-            tk.signals(c, lexicons or lx.SIGNAL_LEXICONS).alias("signals"),
-            _relations(c, leads).alias("relations"),
-            is_low_quality(c).alias("low_quality"),
-        )
+    return memories.select(
+        *keys,
+        "id",
+        "created_at",
+        tx.preview(c).alias("preview"),
+        # the words in order; their phrases, several times as long, are made where they are counted
+        tk.corpus_tokens(c).alias("words"),
+        _entities(c, F.col("tags"), tools, places).alias("entities"),
+        tk.signals(c, lexicons or lx.SIGNAL_LEXICONS).alias("signals"),
+        _relations(c, leads).alias("relations"),
+        is_low_quality(c).alias("low_quality"),
     )
 
 
@@ -104,20 +99,32 @@ def extract(
 
 def document_frequency(features: DataFrame, keys: Sequence[str] = OWNER) -> DataFrame:
     """(keys, kind token|phrase, name, n): number of memories with the token or phrase."""
-    terms = F.explode(
-        F.concat(
-            F.transform("tokens", lambda t: F.struct(F.lit("token").alias("kind"), t.alias("name"))),
-            F.transform("phrases", lambda t: F.struct(F.lit("phrase").alias("kind"), t.alias("name"))),
-        )
-    )
+
+    def named(kind: str, names: Column) -> Column:
+        return F.transform(names, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("name")))
+
+    terms = let(F.col("words"), lambda w: F.concat(named("token", F.array_distinct(w)), named("phrase", tk.phrases(w))))
     return (
-        features.select(*keys, terms.alias("t"))
+        features.select(*keys, F.explode_outer(terms).alias("t"))
+        .filter("t is not null")
         .select(*keys, "t.*")
         .groupBy(*keys, "kind", "name")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
+def chunk_frequency(features: DataFrame, keys: Sequence[str] = ("owner_id", "chunk")) -> DataFrame:
+    """:func:`document_frequency` of groups of bounded size.
+
+    The words of a group meet in one task, where their terms are counted: the words are shuffled, not the terms, which take many
+    times as much. ``features`` should be a written table; its splits say how many tasks there have to be.
+    """
+    words = features.select(*keys, "words")
+    splits = words.rdd.getNumPartitions()
+    parts = max(int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")), CHUNK_TASKS * splits)
+    return document_frequency(words.repartition(parts, *keys), keys)
+
+
 def themes(frequency: DataFrame, keys: Sequence[str] = OWNER, limit: int = 8) -> DataFrame:
     """Top phrases, then top tokens, seen in at least two memories: (keys, place, name, n, description)."""
     frequent = frequency.filter("n >= 2")
@@ -342,10 +349,13 @@ def overview(memories: DataFrame, unique: DataFrame) -> DataFrame:
 
 
 def chunk_insights(features: DataFrame, keys: Sequence[str] = ("owner_id", "chunk")) -> DataFrame:
-    """Long form (keys, section, place, value): themes, 5 labels per kind, 4 texts per signal, 10 relations."""
+    """Long form (keys, section, place, value): themes, 5 labels per kind, 4 texts per signal, 10 relations.
+
+    ``features`` is read four times, so it should be a written table.
+    """
     hits = entity_hits(features, keys)
     listed = [
-        themes(document_frequency(features, keys), keys).select(
+        themes(chunk_frequency(features, keys), keys).select(
             *keys, F.lit("theme").alias("section"), "place", F.col("name").alias("value")
         ),
         entity_groups(hits, keys, limit=5).select(
@@ -393,7 +403,7 @@ def annotate(chunks: DataFrame, fn=None, schema: str | None = None, lexicons=Non
     if fn is not None:
         return chunks.mapInPandas(fn, schema)
     keys = ("owner_id", "chunk")
-    return chunk_annotations(materialize(extract(chunks, keys, lexicons, leads=leads)), keys, tension_tests)
+    return chunk_annotations(written(extract(chunks, keys, lexicons, leads=leads)), keys, tension_tests)
 
 
 def cleaned_insights(raw: DataFrame) -> DataFrame:
@@ -630,11 +640,11 @@ def corpus_report(
     """
     keys = memory_keys(memories)
     chunked = chunked_texts(memories, chunk_size, max_group_rows, keys)
-    features = materialize(extract(chunked, ["owner_id", "chunk"], lexicons, leads=leads))
+    features = written(extract(chunked, ["owner_id", "chunk"], lexicons, leads=leads))
 
     chunk_keys = ("owner_id", "chunk")
     own = themes(document_frequency(features))
-    per_chunk = themes(document_frequency(features, chunk_keys), chunk_keys)
+    per_chunk = themes(chunk_frequency(features, chunk_keys), chunk_keys)
     theme_rows = boosted_themes(own, per_chunk.select("owner_id", "name", F.lit(0).cast("bigint").alias("references")))
     hits = entity_hits(features)
     groups = entity_groups(hits)

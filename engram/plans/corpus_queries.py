@@ -13,6 +13,7 @@ from engram.operators import corpus as cp
 from engram.operators import dedupe as dd
 from engram.plans import tables as tb
 from engram.plans.registry import query
+from engram.session import written
 from engram.sources import sinks
 
 LEXICONS = {
@@ -166,9 +167,9 @@ bt AS (SELECT owner_id, place, name, n, description FROM (SELECT *, row_number()
 @query("theme_boosts", f"WITH {_BOOST} SELECT * FROM bt")
 def theme_boosts(spark, sf):
     chunked = dd.chunked_texts(tb.documents(spark, sf), CHUNK)
-    features = cp.extract(chunked, ["owner_id", "chunk"], LEXICONS, leads=LEADS)
     keys = ("owner_id", "chunk")
-    per_chunk = cp.themes(cp.document_frequency(features, keys), keys)
+    features = written(cp.extract(chunked, keys, LEXICONS, leads=LEADS).select(*keys, "words"))
+    per_chunk = cp.themes(cp.chunk_frequency(features, keys), keys)
     references = per_chunk.select("owner_id", "name", F.lit(0).cast("bigint").alias("references"))
     return cp.boosted_themes(cp.themes(cp.document_frequency(features)), references)
 
@@ -274,7 +275,7 @@ def overview(spark, sf):
 )
 def chunk_insights(spark, sf):
     chunked = dd.chunked_texts(tb.documents(spark, sf), CHUNK)
-    return cp.chunk_insights(cp.extract(chunked, ["owner_id", "chunk"], LEXICONS, leads=LEADS))
+    return cp.chunk_insights(written(cp.extract(chunked, ["owner_id", "chunk"], LEXICONS, leads=LEADS)))
 
 
 @query(
