@@ -37,6 +37,28 @@ def alternatives(pattern: str) -> list[str]:
     return [*parts, pattern[last:]]
 
 
+_BOUNDED = re.compile(r"\\b\((?:\?:)?([A-Za-z0-9_]+(?:\|[A-Za-z0-9_]+)*)\)\\b|\\b([A-Za-z0-9_]+)\\b")
+#: Characters of lower-cased text that a regex which ignores case takes for ASCII letters.
+_FOLDED = ("\u017f", "\u0131", "i\u0307")
+
+
+def bounded_match(lowered: Column, raw: Column, pattern: str) -> Column:
+    """Whether ``raw`` has a match of a pattern, ignoring case; ``lowered`` is ``raw`` in lower case.
+
+    ``\\b(word|word)\\b`` is tried only where a word is a substring of ``lowered``, and there only at the words' first characters.
+    """
+    found = _BOUNDED.fullmatch(pattern)
+    if found is None:
+        return raw.rlike("(?iu)" + jvm_regex(pattern))
+    words = list(dict.fromkeys((found[1] or found[2]).lower().split("|")))
+    starts = "".join(sorted({w[0] for w in words}))
+    possible = F.lit(False)
+    for part in (*words, *_FOLDED):
+        possible = possible | F.contains(lowered, F.lit(part))
+    at_words = raw.rlike(f"(?iu)(?=[{starts}])(?<!{_W})(?:{'|'.join(words)})(?!{_W})")
+    return possible & at_words
+
+
 def mentions(lowered: Column, pattern: str) -> Column:
     """Whether lower-cased text contains a match of the lexicon ``pattern``. Never null.
 

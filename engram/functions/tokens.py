@@ -195,29 +195,30 @@ def signals(c: Column, lexicons: dict[str, str]) -> Column:
 def top_tokens(tokens: Column, k: int = 5) -> Column:
     """The ``k`` most frequent tokens, the one seen first winning a tie.
 
-    Sorted (token, position) pairs put equal tokens side by side, so a count is the distance to the next
-    run: O(n log n) inside the row and no shuffle, however long the text.
+    Sorting puts equal tokens side by side, so a count is the distance to the next run: O(n log n) inside the row and no shuffle, however
+    long the text. Only the fewer than ``k`` tokens above the ``k``-th count are sorted again; those at it come as they are seen.
     """
-    pairs = F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
-
-    def run_starts(p: Column) -> Column:
-        marked = F.transform(
-            p,
-            lambda x, j: F.when(
-                (j == 0) | (F.get(p, j - 1)["t"] != x["t"]), F.struct(j.alias("k"), x["t"].alias("t"), x["i"].alias("i"))
-            ),
-        )
-        return F.array_compact(marked)
-
-    def ranked(p: Column, runs: Column) -> Column:
-        counted = F.transform(
-            runs,
-            lambda x, j: F.struct(
-                (x["k"] - F.coalesce(F.get(runs, j + 1)["k"], F.size(p))).alias("minus_n"),
-                x["i"].alias("i"),
-                x["t"].alias("t"),
-            ),
+
+    def run_starts(s: Column) -> Column:
+        return F.array_compact(F.transform(s, lambda x, j: F.when((j == 0) | (F.get(s, j - 1) != x), j)))
+
+    def chosen(t: Column, s: Column, runs: Column, counts: Column, least: Column) -> Column:
+        def of(count_fits: Callable[[Column], Column]) -> Column:
+            fits = F.transform(
+                runs, lambda a, j: F.when(count_fits(F.get(counts, j)), F.struct((-F.get(counts, j)).alias("minus_n"), F.get(s, a).alias("t")))
+            )
+            return F.array_compact(fits)
+
+        above = F.transform(
+            of(lambda n: n > least), lambda x: F.struct(x["minus_n"].alias("minus_n"), F.array_position(t, x["t"]).alias("i"), x["t"].alias("t"))
         )
-        return F.transform(F.slice(F.sort_array(counted), 1, k), lambda x: x["t"])
+        level = F.transform(of(lambda n: n == least), lambda x: x["t"])
+        return F.slice(F.concat(F.transform(F.sort_array(above), lambda x: x["t"]), F.array_intersect(t, level)), 1, k)
+
+    def ranked(t: Column, s: Column, runs: Column) -> Column:
+        counts = F.transform(runs, lambda a, j: F.coalesce(F.get(runs, j + 1), F.size(s)) - a)
+        # the k-th largest count
+        least = lambda n: F.coalesce(F.get(F.sort_array(n, asc=False), F.lit(k - 1)), F.lit(1))
+        return let(counts, lambda n: let(least(n), lambda at: chosen(t, s, runs, n, at)))
 
-    return let(pairs, lambda p: let(run_starts(p), lambda runs: ranked(p, runs)))
+    return let(tokens, lambda t: let(F.sort_array(t), lambda s: let(run_starts(s), lambda runs: ranked(t, s, runs))))

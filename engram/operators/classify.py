@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from engram import lexicons as lx
 from engram.functions import text as tx
 from engram.functions.binding import computed, let
-from engram.functions.lexicon import jvm_regex, mentions
+from engram.functions.lexicon import bounded_match, mentions
 from engram.functions.tokens import Segmenter, coverage_tokens, facet_tokens, top_tokens
 from engram.operators.containment import contained
 from engram.operators.rules import Rule, category_order
@@ -87,7 +87,7 @@ def matched_rules(rules: Sequence[Rule], content: Column, regex_text: Column | N
         elif literal:
             parts.extend(_by_grams(literal, text))
         if regex:
-            parts.append(F.array_compact(F.array(*[F.when(raw.rlike("(?iu)" + jvm_regex(r.pattern)), _hit(r)) for r in regex])))
+            parts.append(F.array_compact(F.array(*[F.when(bounded_match(text, raw, r.pattern), _hit(r)) for r in regex])))
         return F.concat(*parts)
 
     return let(content, lambda text: found(text, text if regex_text is None else regex_text))
