@@ -21,6 +21,12 @@ def _stream(spark, sf, name: str):
     return st.files(spark, path, tb.table(spark, sf, name).schema)
 
 
+def _spread_stream(spark, sf, name: str):
+    """As :func:`_stream`, dealt out over the cores where the table comes in fewer splits than there are cores."""
+    cores, stream = spark.sparkContext.defaultParallelism, _stream(spark, sf, name)
+    return stream if tb.table(spark, sf, name).rdd.getNumPartitions() >= cores else stream.repartition(cores)
+
+
 @query(
     "stream_dedupe",
     f"""WITH {HASHED}, n AS (SELECT doc_id, tags[2] AS job_id, doc_id // 2 AS memory_id, hash,
@@ -70,7 +76,7 @@ def stream_dedupe_expiry(spark, sf):
     SELECT job_id, kind, key, c AS "count" FROM k""",
 )
 def stream_merge(spark, sf):
-    rows = _stream(spark, sf, "documents").select(
+    rows = _spread_stream(spark, sf, "documents").select(
         F.col("source").alias("job_id"),
         F.floor(F.col("doc_id") / 100).cast("bigint").alias("batch_index"),
         F.col("doc_id").cast("string").alias("id"),

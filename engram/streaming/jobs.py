@@ -115,13 +115,10 @@ BATCH_ROW = ["job_id", "batch_index", "id"]
 COUNT_KEYS = ["job_id", "kind", "key"]
 
 
-def merge_batch(df: DataFrame, epoch: int, out: str, rules: Sequence[Rule]) -> None:
-    """Classify the rows of a micro-batch and write their counts; totals are summed when read.
-
-    ``df``: job_id, batch_index, id, content. ``merge_stream`` has dropped rows that came before.
-    """
+def count_batch(classified: DataFrame, epoch: int, out: str, rules: Sequence[Rule]) -> None:
+    """Write the counts of a micro-batch of distinct classified rows (job_id, batch_index, category, tags)."""
     keys = ["job_id", "batch_index"]
-    classified = cl.classify(df.dropDuplicates(BATCH_ROW), rules).select(*keys, "category", "tags").persist()
+    classified = classified.select(*keys, "category", "tags").persist()
     universe = category_order([r.category for r in rules])
     counts = ag.category_counts(classified, keys, universe).select(
         *keys, F.lit("category").alias("kind"), F.col("category").alias("key"), "count"
@@ -134,6 +131,15 @@ def merge_batch(df: DataFrame, epoch: int, out: str, rules: Sequence[Rule]) -> N
     classified.unpersist()
 
 
+def merge_batch(df: DataFrame, epoch: int, out: str, rules: Sequence[Rule]) -> None:
+    """Classify the rows of a micro-batch and write their counts; totals are summed when read.
+
+    ``df``: job_id, batch_index, id, content. Rows that came in earlier micro-batches must be gone.
+    """
+    classified = cl.classify(df, rules).select(*BATCH_ROW, "category", "tags")
+    count_batch(classified.dropDuplicates(BATCH_ROW), epoch, out, rules)
+
+
 def merge_stream(
     stream: DataFrame, out: str, rules: Sequence[Rule], time: Column | None = None, keep: str = "24 hours", fold_every: int = 20, **trigger
 ) -> StreamingQuery:
@@ -141,17 +147,19 @@ def merge_stream(
 
     The rows seen are Spark's own streaming state, and go when they are ``keep`` older than the newest arrival; what is delivered again after that
     counts again. ``time`` is the arrival unless given. Every ``fold_every`` micro-batches their counts are folded into one table.
+    Rows are classified as they are read, so that no text reaches the state's shuffle or what is kept of a micro-batch.
     """
-    arrived = stream.withColumn("__arrived", arrival() if time is None else time).withWatermark("__arrived", keep)
-    fresh = arrived.dropDuplicatesWithinWatermark(BATCH_ROW).drop("__arrived")
+    arrived = stream.withColumn("__arrived", arrival() if time is None else time)
+    classified = cl.classify(arrived, rules).select(*BATCH_ROW, "category", "tags", "__arrived")
+    fresh = classified.withWatermark("__arrived", keep).dropDuplicatesWithinWatermark(BATCH_ROW).drop("__arrived")
 
     def process(df: DataFrame, epoch: int) -> None:
-        merge_batch(df, epoch, out, rules)
+        count_batch(df, epoch, out, rules)
         if (epoch + 1) % fold_every == 0:
             folded.fold(df.sparkSession, f"{out}/counts", epoch, COUNT_KEYS, "count")
             folded.fold(df.sparkSession, f"{out}/batches", epoch, ["job_id", "batch_index"], "processed")
 
-    with sf.started_with(stream.sparkSession, sf.ROWS_ONLY):
+    with sf.started_with(stream.sparkSession, sf.ROCKSDB | sf.ROWS_ONLY):
         return run(fresh, process, f"{out}/checkpoint", **trigger)
 
 

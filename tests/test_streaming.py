@@ -244,3 +244,19 @@ def test_results_in_index_order(spark, tmp_path):
     for report in range(3):
         in_time = [i for r, _, i, late in got if r == report and not late]
         assert in_time == sorted(in_time)
+
+
+def test_merge_stream_sends_no_text_to_its_state(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([("j", 0, str(i % 3), f"my debug text {i % 3}") for i in range(9)], "job_id string, batch_index long, id string, content string")
+    df.write.parquet(f"{tmp_path}/in")
+    columns, whole = [], st.count_batch
+
+    def seen(batch, *args):
+        columns.append(set(batch.columns))
+        whole(batch, *args)
+
+    monkeypatch.setattr(st, "count_batch", seen)
+    st.merge_stream(st.files(spark, f"{tmp_path}/in", df.schema), f"{tmp_path}/out", RULES).awaitTermination()
+    assert columns and not any("content" in c for c in columns)
+    totals = {(r.kind, r.key): r["count"] for r in st.job_totals(spark, f"{tmp_path}/out").filter("count > 0").collect()}
+    assert totals["tag", "debug"] == 3
