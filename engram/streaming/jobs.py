@@ -82,9 +82,9 @@ def first_seen_stream(
     spans = stream.select(job.alias("job"), at.alias("at")).mapInPandas(sf.activity_spans(ttl), "job string, start long, end long")
     spans = spans.withColumn("written", F.timestamp_micros("end")).withWatermark("written", delay)
     ended = spans.groupBy("job").transformWithState(
-        sf.Activity(ttl, buckets), "job string, kind int, bucket int, forget_at long", "Append", clock
+        sf.Activity(ttl, buckets), "job string, kind int, bucket int, forget_at array<long>", "Append", clock
     )
-    events = keys.withColumn("forget_at", F.lit(None).cast("long")).unionByName(ended, allowMissingColumns=True)
+    events = keys.withColumn("forget_at", F.lit(None).cast("array<long>")).unionByName(ended, allowMissingColumns=True)
     out = f"job string, kind int, ref {keys.schema['ref'].dataType.simpleString()}, row {stream.schema.simpleString()}"
     return events.groupBy("job", "kind", "bucket").transformWithState(sf.SeenKeys(), out, "Append", "None")
 
