@@ -18,6 +18,7 @@ from engram.functions import tokens as tk
 from engram.functions.binding import let
 from engram.operators.dedupe import chunked_texts, duplicate_clusters, duplicate_quality, memory_keys
 from engram.operators.ranking import MAX_GROUP_ROWS, top_per_group
+from engram.operators.terms import term_counts
 from engram.session import written
 
 OWNER = ("owner_id",)
@@ -97,15 +98,27 @@ def extract(
 # --- tokens, phrases, themes --------------------------------------------------
 
 
-def document_frequency(features: DataFrame, keys: Sequence[str] = OWNER) -> DataFrame:
-    """(keys, kind token|phrase, name, n): number of memories with the token or phrase."""
+def document_frequency(features: DataFrame, keys: Sequence[str] = OWNER, least: int = 1) -> DataFrame:
+    """(keys, kind token|phrase, name, n): number of memories with the token or phrase, where at least ``least``. See :mod:`engram.operators.terms`."""
+    return term_counts(features, keys, least)
+
+
+def chunk_frequency(features: DataFrame, keys: Sequence[str] = ("owner_id", "chunk")) -> DataFrame:
+    """:func:`document_frequency` of groups of bounded size.
+
+    The words of a group meet in one task, where their terms are counted: the words are shuffled, not the terms, which take many
+    times as much. ``features`` should be a written table; its splits say how many tasks there have to be.
+    """
+    words = features.select(*keys, "words")
+    splits = words.rdd.getNumPartitions()
+    parts = max(int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")), CHUNK_TASKS * splits)
 
     def named(kind: str, names: Column) -> Column:
         return F.transform(names, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("name")))
 
     terms = let(F.col("words"), lambda w: F.concat(named("token", F.array_distinct(w)), named("phrase", tk.phrases(w))))
     return (
-        features.select(*keys, F.explode_outer(terms).alias("t"))
+        words.repartition(parts, *keys).select(*keys, F.explode_outer(terms).alias("t"))
         .filter("t is not null")
         .select(*keys, "t.*")
         .groupBy(*keys, "kind", "name")
@@ -113,21 +126,13 @@ def document_frequency(features: DataFrame, keys: Sequence[str] = OWNER) -> Data
     )
 
 
-def chunk_frequency(features: DataFrame, keys: Sequence[str] = ("owner_id", "chunk")) -> DataFrame:
-    """:func:`document_frequency` of groups of bounded size.
-
-    The words of a group meet in one task, where their terms are counted: the words are shuffled, not the terms, which take many
-    times as much. ``features`` should be a written table; its splits say how many tasks there have to be.
-    """
-    words = features.select(*keys, "words")
-    splits = words.rdd.getNumPartitions()
-    parts = max(int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")), CHUNK_TASKS * splits)
-    return document_frequency(words.repartition(parts, *keys), keys)
+#: Memories that a theme is seen in, at least.
+THEME_MEMORIES = 2
 
 
 def themes(frequency: DataFrame, keys: Sequence[str] = OWNER, limit: int = 8) -> DataFrame:
     """Top phrases, then top tokens, seen in at least two memories: (keys, place, name, n, description)."""
-    frequent = frequency.filter("n >= 2")
+    frequent = frequency.filter(F.col("n") >= THEME_MEMORIES)
     ranked = top_per_group(frequent, [*keys, "kind"], [F.desc("n"), F.asc("name")], 12, rank="r")
     ranked = ranked.filter("kind = 'token' or r <= 10")
     first_phrases = F.when(F.col("kind") == "phrase", 0).otherwise(1)
@@ -643,7 +648,7 @@ def corpus_report(
     features = written(extract(chunked, ["owner_id", "chunk"], lexicons, leads=leads))
 
     chunk_keys = ("owner_id", "chunk")
-    own = themes(document_frequency(features))
+    own = themes(document_frequency(features, least=THEME_MEMORIES))
     per_chunk = themes(chunk_frequency(features, chunk_keys), chunk_keys)
     theme_rows = boosted_themes(own, per_chunk.select("owner_id", "name", F.lit(0).cast("bigint").alias("references")))
     hits = entity_hits(features)

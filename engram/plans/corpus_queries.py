@@ -151,7 +151,7 @@ def token_frequency(spark, sf):
     f"WITH {TERMS}, {_themes_sql('owner_id', 'th')} SELECT owner_id, place, name, n, {_DESCRIBED} AS description FROM th",
 )
 def themes(spark, sf):
-    return cp.themes(cp.document_frequency(_features(spark, sf)))
+    return cp.themes(cp.document_frequency(_features(spark, sf), least=cp.THEME_MEMORIES))
 
 
 _BOOST = f"""{TERMS}, {_themes_sql('owner_id', 'th')}, {_themes_sql('owner_id, chunk', 'ct')},
@@ -171,7 +171,7 @@ def theme_boosts(spark, sf):
     features = written(cp.extract(chunked, keys, LEXICONS, leads=LEADS).select(*keys, "words"))
     per_chunk = cp.themes(cp.chunk_frequency(features, keys), keys)
     references = per_chunk.select("owner_id", "name", F.lit(0).cast("bigint").alias("references"))
-    return cp.boosted_themes(cp.themes(cp.document_frequency(features)), references)
+    return cp.boosted_themes(cp.themes(cp.document_frequency(features, least=cp.THEME_MEMORIES)), references)
 
 
 @query(
