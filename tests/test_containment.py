@@ -52,3 +52,12 @@ def test_quotes_find_the_first_text_of_their_period(spark, monkeypatch):
         if quote and found:
             want.add((k, found))
     assert {(r["k"], r["evidence_id"]) for r in pd.repair_evidence(frame, periods).collect()} == want
+
+
+def test_runs_of_texts_do_not_become_rows(spark):
+    """Only runs that pass the bitmap leave the task that reads a text, and no expression runs for each character."""
+    texts = spark.createDataFrame([("a", "some text of some words"), ("b", None), ("c", "other")], "id string, text string")
+    anchors = ct.anchored(spark.createDataFrame([("some",), ("other",)], "pattern string"), texts, [])
+    found = ct.places(texts, anchors, [], ["id"])
+    assert "regexp_extract_all" not in found._jdf.queryExecution().toString()
+    assert {("a", "some"), ("c", "othe")} == {(r["id"], r["gram"][:4]) for r in found.collect()}
