@@ -289,13 +289,14 @@ def recompute_stream(changes: DataFrame, path: str, checkpoint: str, messages: C
 
 
 def stale_reports(
-    changes: DataFrame, delay: str = "0 seconds", queued_minutes: int = 10, running_minutes: int = 60, clock: str = "EventTime"
+    changes: DataFrame, delay: str = "0 seconds", queued_minutes: int = 10, running_minutes: int = 60, clock: str = "EventTime", groups: int = 1 << 14
 ) -> DataFrame:
     """Reports that stay queued or running too long, each once, as the rows that fail them.
 
-    ``changes``: report_id, render_status, generated_at, started_at, ts, one row for each status a report gets. A report has one timer, at the
-    deadline of its status; nothing is read again. Deadlines are due when a change later than ``delay`` after them arrives, or
-    with ``clock`` ProcessingTime by the clock. Changes that arrive later than ``delay`` are too late to count.
+    ``changes``: report_id, render_status, generated_at, started_at, ts, one row for each status a report gets. Reports are kept in ``groups``
+    by hash, and a group has one timer, at its first deadline: calls of the state do not grow with the reports. Deadlines are due when a
+    change later than ``delay`` after them arrives, or with ``clock`` ProcessingTime by the clock. Changes that arrive later than
+    ``delay`` are too late to count.
     """
     queued = F.col("generated_at") + F.make_dt_interval(mins=F.lit(queued_minutes))
     running = F.coalesce("started_at", "generated_at") + F.make_dt_interval(mins=F.lit(running_minutes))
@@ -304,10 +305,12 @@ def stale_reports(
     # of two changes at one time the last status comes last
     rank = F.when(status == "queued", 0).when(status == "running", 1).otherwise(2)
     rows = changes.withWatermark("ts", delay).select(
-        "report_id", "ts", F.unix_micros("ts").alias("at"), F.struct(rank.alias("rank"), deadline.alias("deadline")).alias("ref"), deadline.alias("deadline")
+        F.pmod(F.xxhash64("report_id"), F.lit(groups)).alias("group"),
+        "report_id", "ts", F.unix_micros("ts").alias("at"), F.struct(rank.alias("rank"), deadline.alias("deadline")).alias("ref"), deadline.alias("deadline"),
     )
     report_id = changes.schema["report_id"].dataType.simpleString()
-    failed = rows.groupBy("report_id").transformWithState(sf.StaleReports(), f"report_id {report_id}, failed_at long", "Append", clock)
+    stale = sf.StaleReports(report_id, clock == "EventTime")
+    failed = rows.groupBy("group").transformWithState(stale, f"report_id {report_id}, failed_at long", "Append", clock)
     return failed.select(
         "report_id",
         F.lit("fail").alias("render_status"),
