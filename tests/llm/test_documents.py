@@ -241,14 +241,12 @@ def test_recall_of_fuzzy_lines_on_edit_similarity_alone(spark):
 
 def test_lines_meet_in_parts_and_leave_no_texts_behind(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(lines, "PART_ROWS", 4)
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        base = [sentence(f"part{k}", 12) for k in range(6)]
-        docs = docs_of(spark, [t for b in base for t in (b, edited(b, 3), edited(b, 8))] + ["a line of its own"])
-        got = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(docs).collect()}
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+    numbers = iter(range(10**6))
+    for names in (vars(lines), lines.save.__globals__):
+        monkeypatch.setitem(names, "shared_folder", lambda _: f"file://{tmp_path}/{next(numbers)}")
+    base = [sentence(f"part{k}", 40) for k in range(6)]
+    docs = docs_of(spark, [t for b in base for t in (b, edited(b, 3), b.upper())] + ["a line of its own"])
+    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(docs).collect()}
     assert got == {k: int(k < 18 and k % 3 > 0) for k in range(19)}
     left = [spark.read.parquet(str(folder)).columns for folder in tmp_path.iterdir()]
     assert left and not any({"sketch", "normal", "near", "side"} & set(columns) for columns in left)
