@@ -253,6 +253,29 @@ def test_lines_meet_in_parts_and_leave_no_texts_behind(spark, tmp_path, monkeypa
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("llm_")]
 
 
+def test_lines_that_share_a_run_elsewhere_are_not_fetched(spark, monkeypatch):
+    fetched, real = [], lines.save_by
+    monkeypatch.setattr(lines, "save_by", lambda df, *rest: fetched.append(df.count()) or real(df, *rest))
+    common = sentence("common", 6)
+    texts = []
+    for k in range(60):
+        own = sentence(f"place{k}", 30).split()
+        texts.append(" ".join([*own[:k % 30], common, *own[k % 30 :]]))
+    got = lines.dedup_lines(docs_of(spark, [*texts, edited(texts[0], 3)])).collect()
+    assert [r["doc_id"] for r in got if r["n_removed"]] == [60]
+    assert len(fetched) == 1 and fetched[0] < 10
+
+
+def test_lines_of_a_common_key_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(lines, "GROUP_ROWS", 3)
+    monkeypatch.setattr(lines, "OPEN_ROWS", 4)
+    base = sentence("hot", 60)
+    kinds = [" ".join(x + "qx" if j % 4 == k else x for j, x in enumerate(base.split())) for k in range(4)]
+    texts = [edited(kinds[k % 4], k % 20, 20 + k) for k in range(36)] + kinds
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs_of(spark, texts)).collect()}
+    assert got == brute_lines(list(enumerate(texts)))
+
+
 def test_distance_stops_only_beyond_the_bound():
     a, b = sentence("stop", 12), edited(sentence("stop", 12), 1, 4)
     exact = lines.distance(a, b)
