@@ -18,7 +18,7 @@ from engram.functions import tokens as tk
 from engram.functions.binding import let
 from engram.operators.dedupe import chunked_texts, duplicate_clusters, duplicate_quality, memory_keys
 from engram.operators.ranking import MAX_GROUP_ROWS, top_per_group
-from engram.operators.terms import term_counts
+from engram.operators.terms import group_term_counts, term_counts
 from engram.session import written
 
 OWNER = ("owner_id",)
@@ -103,27 +103,15 @@ def document_frequency(features: DataFrame, keys: Sequence[str] = OWNER, least:
     return term_counts(features, keys, least)
 
 
-def chunk_frequency(features: DataFrame, keys: Sequence[str] = ("owner_id", "chunk")) -> DataFrame:
+def chunk_frequency(features: DataFrame, keys: Sequence[str] = ("owner_id", "chunk"), least: int = 1) -> DataFrame:
     """:func:`document_frequency` of groups of bounded size.
 
-    The words of a group meet in one task, where their terms are counted: the words are shuffled, not the terms, which take many
+    The words of a group meet in one task, where their terms are counted in arrays: the words are shuffled, not the terms, which take many
     times as much. ``features`` should be a written table; its splits say how many tasks there have to be.
     """
-    words = features.select(*keys, "words")
-    splits = words.rdd.getNumPartitions()
+    splits = features.select(*keys, "words").rdd.getNumPartitions()
     parts = max(int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")), CHUNK_TASKS * splits)
-
-    def named(kind: str, names: Column) -> Column:
-        return F.transform(names, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("name")))
-
-    terms = let(F.col("words"), lambda w: F.concat(named("token", F.array_distinct(w)), named("phrase", tk.phrases(w))))
-    return (
-        words.repartition(parts, *keys).select(*keys, F.explode_outer(terms).alias("t"))
-        .filter("t is not null")
-        .select(*keys, "t.*")
-        .groupBy(*keys, "kind", "name")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return group_term_counts(features, keys, parts, least)
 
 
 #: Memories that a theme is seen in, at least.
@@ -152,8 +140,9 @@ def themes(frequency: DataFrame, keys: Sequence[str] = OWNER, limit: int = 8) ->
 def boosted_themes(own: DataFrame, chunk_themes: DataFrame, limit: int = 8) -> DataFrame:
     """Owner themes, then the top 6 chunk themes that are not among them.
 
-    ``chunk_themes``: owner_id, name, references (memory references in that chunk, 0 counts as 1).
+    ``chunk_themes``: owner_id, name, references (memory references in that chunk, 0 counts as 1). ``own`` is written down: it is read twice.
     """
+    own = written(own)
     name = tx.token_key(F.col("name"))
     boosts = (
         chunk_themes.select("owner_id", name.alias("name"), F.greatest("references", F.lit(1)).alias("refs"))
@@ -360,7 +349,7 @@ def chunk_insights(features: DataFrame, keys: Sequence[str] = ("owner_id", "chun
     """
     hits = entity_hits(features, keys)
     listed = [
-        themes(chunk_frequency(features, keys), keys).select(
+        themes(chunk_frequency(features, keys, THEME_MEMORIES), keys).select(
             *keys, F.lit("theme").alias("section"), "place", F.col("name").alias("value")
         ),
         entity_groups(hits, keys, limit=5).select(
@@ -649,7 +638,7 @@ def corpus_report(
 
     chunk_keys = ("owner_id", "chunk")
     own = themes(document_frequency(features, least=THEME_MEMORIES))
-    per_chunk = themes(chunk_frequency(features, chunk_keys), chunk_keys)
+    per_chunk = themes(chunk_frequency(features, chunk_keys, THEME_MEMORIES), chunk_keys)
     theme_rows = boosted_themes(own, per_chunk.select("owner_id", "name", F.lit(0).cast("bigint").alias("references")))
     hits = entity_hits(features)
     groups = entity_groups(hits)

@@ -59,8 +59,14 @@ def _tally(row: np.ndarray, group: np.ndarray, term: np.ndarray, bits: int) -> t
     return found[start] >> bits, found[start] & below, np.diff(np.append(start, len(found)))
 
 
-def _counts(words: pa.Array, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
-    """(group, is a phrase, name, rows, hash) of the terms of rows that all have words."""
+def _frequent(found: tuple[np.ndarray, ...], least: int) -> tuple[np.ndarray, ...]:
+    """What :func:`_tally` found in at least ``least`` rows."""
+    wanted = found[-1] >= least
+    return found if least <= 1 else tuple(x[wanted] for x in found)
+
+
+def _counts(words: pa.Array, group: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """(group, is a phrase, name, rows, hash) of the terms of rows that all have words, of those in at least ``least`` rows."""
     row = np.repeat(np.arange(len(words), dtype=np.int64), pc.list_value_length(words).to_numpy())
     encoded = words.flatten().dictionary_encode()
     word, code = encoded.dictionary, encoded.indices.to_numpy().astype(np.int64)
@@ -69,7 +75,7 @@ def _counts(words: pa.Array, group: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     denied = pa.array([p for p in THEME_DENYLIST if " " in p], pa.string())
 
     bits = len(word).bit_length()
-    g, t, n = _tally(row, group, code, bits)
+    g, t, n = _frequent(_tally(row, group, code, bits), least)
     parts = [(g, np.zeros(len(g), bool), word.take(pa.array(t)), n, hashed[t])]
 
     def counted(g: np.ndarray, n: np.ndarray, *codes: np.ndarray) -> None:
@@ -87,10 +93,10 @@ def _counts(words: pa.Array, group: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     two = np.flatnonzero(row[1:] == row[:-1])
     pairs, pair = np.unique(code[two] << bits | code[two + 1], return_inverse=True)
     first, second = pairs >> bits, pairs & (1 << bits) - 1
-    g, t, n = _tally(row[two], group, pair, len(pairs).bit_length())
+    g, t, n = _frequent(_tally(row[two], group, pair, len(pairs).bit_length()), least)
     counted(g, n, first[t], second[t])
     three = np.flatnonzero(two[1:] == two[:-1] + 1)
-    g, t, n = _tally(row[two[three]], group, pair[three] << bits | code[two[three] + 2], len(pairs).bit_length() + bits)
+    g, t, n = _frequent(_tally(row[two[three]], group, pair[three] << bits | code[two[three] + 2], len(pairs).bit_length() + bits), least)
     counted(g, n, first[t >> bits], second[t >> bits], t & (1 << bits) - 1)
     join = lambda i: np.concatenate([p[i] for p in parts])
     return join(0), join(1), pa.concat_arrays([p[2] for p in parts]), join(3), join(4)
@@ -197,3 +203,38 @@ def term_counts(features: DataFrame, keys: Sequence[str], least: int = 1) -> Dat
     found = rows.mapInArrow(_sent(keys), sent)
     met = found.repartition(F.col("bucket")).sortWithinPartitions("bucket")
     return met.mapInArrow(_summed(keys, least), StructType([StructField(c, t) for c, t in named]))
+
+
+def _whole(keys: Sequence[str], least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [batch.filter(pc.greater(pc.list_value_length(batch.column("words")), 0)) for batch in batches]
+        held = [batch for batch in held if len(batch)]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        group, first = _grouped([table[k].combine_chunks() for k in keys], len(table))
+        values = {k: table[k].take(pa.array(first)) for k in keys}
+        order = np.argsort(group, kind="stable")
+        words = pc.list_value_length(table["words"]).to_numpy()[order]
+        ends = np.append(np.flatnonzero(np.diff(group[order])) + 1, len(order))
+        sums, start = np.append(0, np.cumsum(words)), 0
+        while start < len(order):
+            # whole groups; one of more words is counted alone
+            k = max(int(np.searchsorted(sums[ends], sums[start] + WORDS, "right")) - 1, int(np.searchsorted(ends, start, "right")))
+            rows, start = order[start : ends[k]], int(ends[k])
+            part = table["words"].take(pa.array(rows))
+            g, phrase, name, n, _ = _counts(pa.concat_arrays(part.chunks), group[rows], least)
+            out = {key: v.take(pa.array(g)) for key, v in values.items()}
+            out["kind"] = pc.if_else(pa.array(phrase), "phrase", "token")
+            yield from pa.table(out | {"name": name, "n": pa.array(n, pa.int64())}).combine_chunks().to_batches()
+
+    return run
+
+
+def group_term_counts(features: DataFrame, keys: Sequence[str], parts: int, least: int = 1) -> DataFrame:
+    """As :func:`term_counts`, for groups of bounded size: the words of a group meet in one of ``parts`` tasks and are counted there."""
+    keys = list(keys)
+    rows = features.select(*keys, "words")
+    schema = [StructField(k, rows.schema[k].dataType) for k in keys]
+    schema += [StructField("kind", StringType()), StructField("name", StringType()), StructField("n", LongType())]
+    return rows.repartition(parts, *keys).mapInArrow(_whole(keys, least), StructType(schema))

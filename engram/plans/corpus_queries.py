@@ -169,7 +169,7 @@ def theme_boosts(spark, sf):
     chunked = dd.chunked_texts(tb.documents(spark, sf), CHUNK)
     keys = ("owner_id", "chunk")
     features = written(cp.extract(chunked, keys, LEXICONS, leads=LEADS).select(*keys, "words"))
-    per_chunk = cp.themes(cp.chunk_frequency(features, keys), keys)
+    per_chunk = cp.themes(cp.chunk_frequency(features, keys, cp.THEME_MEMORIES), keys)
     references = per_chunk.select("owner_id", "name", F.lit(0).cast("bigint").alias("references"))
     return cp.boosted_themes(cp.themes(cp.document_frequency(features, least=cp.THEME_MEMORIES)), references)
 

@@ -65,3 +65,24 @@ def test_bounds_cut_nothing(monkeypatch, size):
         got = pa.Table.from_batches(terms._summed(["k"], 1)(iter(sent.to_batches(max_chunksize=rows)))).to_pylist()
         assert len(got) == len(plain(ROWS))
         assert {tuple(r.values()) for r in got} == plain(ROWS * 2)
+
+
+@pytest.mark.parametrize("size", [1, 4, 100])
+def test_terms_of_chunks_are_counted_in_arrays(spark, monkeypatch, size):
+    monkeypatch.setattr(terms, "WORDS", size)
+    df = spark.createDataFrame(ROWS * 3 + ROWS[:1], "owner_id string, words array<string>")
+    got = cp.chunk_frequency(df, ["owner_id"], 2)
+    assert got.columns == ["owner_id", "kind", "name", "n"]
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {r for r in plain(ROWS * 3 + ROWS[:1]) if r[3] >= 2}
+    plan = got._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
+
+
+def test_owner_themes_are_counted_once(spark):
+    df = spark.createDataFrame(ROWS * 3, "owner_id string, words array<string>")
+    own = cp.themes(cp.document_frequency(df, least=cp.THEME_MEMORIES), limit=3)
+    boosts = spark.createDataFrame([("a", "delta", 5), ("a", "zeta", 2)], "owner_id string, name string, references long")
+    got = cp.boosted_themes(own, boosts)
+    assert ("a", "zeta") in {(r["owner_id"], r["name"]) for r in got.collect()}
+    assert "MapInArrow" not in got._jdf.queryExecution().toString()
